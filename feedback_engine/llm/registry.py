@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedback_engine.llm import html, topk
+from feedback_engine.llm import html, quality_rules, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_html_extraction": html.op8_html_extraction,
     "op9_exact_top_k": topk.op9_exact_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_top_k": topk.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.OP1_SQL, "op9_exact_top_k": topk.OP9_SQL}
