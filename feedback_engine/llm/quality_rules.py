@@ -30,14 +30,15 @@ RULES = (
     ("symbols", "10 * n_symbols > n_words", "false"),
     ("capitals", "3 * n_upper > word_chars", "false"),
     ("shouting", "5 * n_bangs > n_words", "false"),
-    ("repeats", "10 * n_repeat_words > 4 * n_words", "10 * n_repeat_words <= n_words"),
+    ("repeats", "10 * n_repeat_words > 4 * n_words", "false"),
     ("lines", "10 * n_dup_lines > 4 * n_lines", "false"),
     ("word_length", "word_chars > 8 * n_words OR 10 * word_chars < 28 * n_words", "10 * word_chars BETWEEN 38 * n_words AND 62 * n_words"),
-    ("vocabulary", "10 * n_distinct < n_words", "4 * n_distinct >= n_words"),
+    ("vocabulary", "10 * n_distinct < n_words", "false"),
+    ("letters", "100 * n_letters < 90 * word_chars", "100 * n_letters >= 93 * word_chars AND n_words > 0"),
     ("points", "n_points = 0 OR 10 * n_points > 9 * n_words", "100 * n_points BETWEEN 4 * n_words AND 40 * n_words"),
 )
 BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_points", "n_distinct")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_points", "n_distinct", "n_letters")
 SYMBOLS, POINTS = "#*$%&|<>", ".,;:?"
 ROUNDS, SMOOTHING = 20, 0.5
 #: Pattern codes have a digit for each rule: 0 abstains, 1 votes bad, 2 votes good.
@@ -76,6 +77,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
         "n_bangs": _count(text, "!"),
         "n_points": _count(text, POINTS),
         "n_distinct": F.size(F.array_distinct("_words")),
+        "n_letters": F.length(F.regexp_replace(text, "\\P{L}+", "")),
     }
     return split.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[values[m].cast("long").alias(m) for m in MEASURES]).alias("_m"))
 
@@ -149,7 +151,8 @@ def verdict_sql(source: str) -> str:
         "cov AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, range(3) AS r(d) GROUP BY rid)",
         f"""m AS MATERIALIZED (SELECT src.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
             CAST({count(SYMBOLS)} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-            len(ls) AS n_lines, length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS n_upper, {count("!")} AS n_bangs, {count(POINTS)} AS n_points, len(list_distinct(w)) AS n_distinct
+            len(ls) AS n_lines, length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS n_upper, {count("!")} AS n_bangs, {count(POINTS)} AS n_points, len(list_distinct(w)) AS n_distinct,
+            length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS n_letters
             FROM src LEFT JOIN cov ON src.rid = cov.rid)""",
         f"coded AS MATERIALIZED (SELECT *, {CODE} AS code FROM m)",
         "pat AS MATERIALIZED (SELECT code, CAST(count(*) AS DOUBLE) AS n FROM coded GROUP BY code)",

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedback_engine.llm import html, packing, quality_rules, store, topk
+from feedback_engine.llm import html, language_id, packing, quality_classifier, quality_rules, store, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_token_store": store.op6_token_store,
+    "op7_language_id": language_id.op7_language_id,
     "op8_html_extraction": html.op8_html_extraction,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
