@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedback_engine.llm import html, language_id, packing, quality_classifier, quality_rules, store, topk
+from feedback_engine.llm import html, language_id, packing, quality_classifier, quality_rules, repeats, store, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_repeated_substrings": repeats.op4_repeated_substrings,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_token_store": store.op6_token_store,
     "op7_language_id": language_id.op7_language_id,
