@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedback_engine.llm import html, language_id, packing, quality_classifier, quality_rules, repeats, store, topk
+from feedback_engine.llm import html, language_id, ngram_join, packing, quality_classifier, quality_rules, repeats, store, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_repeated_substrings": repeats.op4_repeated_substrings,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_token_store": store.op6_token_store,
@@ -18,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.OP1_SQL, "op9_exact_top_k": topk.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.OP1_SQL, "op3_ngram_join": ngram_join.OP3_SQL, "op9_exact_top_k": topk.OP9_SQL}
