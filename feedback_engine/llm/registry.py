@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedback_engine.llm import html, language_id, ngram_join, packing, quality_classifier, quality_rules, repeats, store, topk
+from feedback_engine.llm import html, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, repeats, store, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_repeated_substrings": repeats.op4_repeated_substrings,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
