@@ -2,14 +2,15 @@
 
 A tokenizer that never looks across blanks (every piece of it matches within a
 word, its normalisers are local) is applied word by word through a bounded cache
-in each Python worker, which gives the same ids several times faster than the
-whole text at once; any other tokenizer gets the whole text.
+in each Python worker, and plain words go to its BPE model directly, which gives
+the same ids several times faster than the whole text at once; any other tokenizer gets the whole text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Split patterns known not to match across white space.
 WORD_PATTERNS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
-#: Words held in a worker's cache before it starts afresh.
+#: Words held in each of the two generations of a worker's cache.
 CACHE_WORDS = 400_000
 _made: dict[str, Callable[[str], bytes]] = {}
 
@@ -39,20 +40,66 @@ def word_local(spec: dict) -> bool:
     return normal and split and plain and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:]) and spec["post_processor"] is None
 
 
+#: Words of these characters alone need no normaliser but lower case, and split as WORD_PARTS says.
+SIMPLE = re.compile(r"[!-~\u00c0-\u00ff]{1,64}")
+WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The printable character that byte-level tokenizers write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Words(dict):
-    """Bytes of ids by word."""
+    """Bytes of ids by word; two generations, so frequent words outlive a full cache."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int) -> None:
+    def __init__(self, tokenizer, special: list[str], most: int) -> None:
         super().__init__({"": b""})
-        self.encode, self.most = encode, most
+        self.tokenizer, self.bpe, self.most, self.old = tokenizer, tokenizer.model.tokenize, most, {}
+        self.special, self.letters = special, byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size() + 1)]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, word: str) -> bytes:
+        if word.isascii() and word[-1] in ".,;" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        if not SIMPLE.fullmatch(word) or "<" in word and any(x in word for x in self.special):
+            return self.whole(word)
+        parts = WORD_PARTS.findall(word.lower())
+        if parts == [word]:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return b"".join([self.four[t.id] for t in self.bpe(shown)])
+        return b"".join([self[x] for x in parts])
+
+    def text(self, text: str) -> bytes:
+        """Ids of a text, word by word."""
+        if "<|" not in text:
+            try:  # Lower case of these letters is the same in and out of context, and hits the cache more often.
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
     def __missing__(self, word: str) -> bytes:
-        out = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-                self[""] = b""
-            self[word] = out
+        out = self.old.get(word)
+        if out is None:
+            if word.isascii() and word.isalpha() and word.islower():
+                four = self.four
+                out = b"".join([four[t.id] for t in self.bpe(word)])
+            else:
+                out = self.encode(word)
+            if len(word) > 64:
+                return out
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        self[word] = out
         return out
 
 
@@ -63,18 +110,10 @@ def encoder(path: str | None = None) -> Callable[[str], bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        def whole(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if word_local(spec):
-            words = Words(whole, CACHE_WORDS)
-            _made[path] = lambda text: b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
-        else:
-            _made[path] = whole
+        words = Words(Tokenizer.from_file(path), [a["content"] for a in spec["added_tokens"]], CACHE_WORDS)
+        _made[path] = words.text if word_local(spec) else words.whole
     return _made[path]
 
 
