@@ -14,8 +14,8 @@ positions are first narrowed without loss:
    built; a stack scan of its common prefixes walks the interval tree, and an
    interval whose left neighbours differ is a maximal repeat, with all its
    occurrences. Anchors with more than `most` distinct contexts (a passage cut
-   out of very many different texts) are not gathered: their windows are counted
-   by digest instead, which is as exact and spreads over all machines.
+   out of very many different texts) are not gathered: blocks of their windows
+   are counted by digest instead, which is as exact and spreads over all machines.
 
 Texts are shuffled once, to bring candidates to them, and contexts once.
 
@@ -276,18 +276,9 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 1024) -> tuple[DataFr
     few = grouped.filter(F.col("m") <= most).select("key", "ctx", "starts", "bytes")
     by_array = few.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(scan, ranges)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [("window", pa.binary()), ("key", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32())]
-        for batch in batches:
-            for key, ctx, starts, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                yield _batch([(hashlib.blake2b(data[s : s + least], digest_size=16).digest(), key, ctx, s) for s in range(starts)], types)
-
     many = grouped.filter(F.col("m") > most).select("key", "ctx", "starts", "bytes")
     if sizes.filter(F.col("m") > most).limit(1).count():
-        windows = written(many.mapInArrow(digests, "window binary, key long, ctx long, at int"), "windows")
-        twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-        by_digest = windows.join(twice, "window").groupBy("key", "ctx").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("at"), F.col("at") + least)))).alias("ranges"))
-        by_array = by_array.unionByName(by_digest)
+        by_array = by_array.unionByName(counted(written(many, "many"), least))
     uses = held.select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", "c.*")
     copied = contexts.filter("n > 1").select("key", "ctx", F.lit(True).alias("copied"))
     whole = uses.filter("not mixed").select("doc_id", "h", F.array(F.col("lo"), F.col("stop")).alias("r"))
@@ -297,6 +288,52 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 1024) -> tuple[DataFr
     return held, marks
 
 
+def counted(many: DataFrame, least: int, blocks: tuple[int, ...] = (32, 4, 1)) -> DataFrame:
+    """(key, ctx, ranges) of the repeated windows of contexts (key, ctx, starts, bytes), by counting digests.
+
+    A block of k consecutive windows has a core, the bytes all of them hold, and
+    a hull, the bytes any of them holds. A core that occurs once leaves nothing
+    repeated, a hull that occurs twice leaves everything; only the blocks between
+    are divided further.
+    """
+
+    def level(k: int, upto: int | None):
+        types = [("key", pa.int64()), ("ctx", pa.int64()), ("block", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("core", pa.binary()), ("hull", pa.binary())]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, ctx, starts, data, todo in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    rows, at = [], anchors(data, least)[0][1]
+                    # Blocks are cut by the distance to the anchor, so equal windows are in equal blocks.
+                    nearest, farthest = at - starts + 1, at
+                    for begin in [nearest // k * k] if todo is None else todo:
+                        for d in range(begin, min(farthest, begin + (upto or farthest + k) - 1) + 1, k):
+                            near, far = max(d, nearest), min(d + k - 1, farthest)
+                            if near <= far:
+                                core, hull = data[at - d : at - d - k + 1 + least], data[at - far : at - near + least]
+                                rows.append((key, ctx, d, at - far, at - near, hashlib.blake2b(core, digest_size=16).digest(), hashlib.blake2b(hull, digest_size=16).digest()))
+                    yield _batch(rows, types)
+
+        return run
+
+    found, todo, upto = [], None, None
+    for k in blocks:
+        rows = many.withColumn("todo", F.lit(None).cast("array<int>")) if todo is None else many.join(todo, ["key", "ctx"])
+        made = written(rows.select("key", "ctx", "starts", "bytes", "todo").mapInArrow(level(k, upto), "key long, ctx long, block int, first int, last int, core binary, hull binary"), f"windows-{k}")
+        cores = made.groupBy("core").agg(F.count("*").alias("n"), F.min(F.xxhash64("hull")).alias("x"), F.max(F.xxhash64("hull")).alias("y")).filter("n > 1").select("core", (F.col("x") != F.col("y")).alias("mixed"))
+        hulls = made.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "ctx", "block")).alias("one")).filter("n > 1").select("hull", "one")
+        known = made.join(cores, "core").join(hulls, "hull", "left")
+        # One block of each hull goes on with those that are left, which may equal a part of it.
+        known = known.select("key", "ctx", "block", "first", "last", F.col("one").isNotNull().alias("all"), (F.col("one").isNull() | F.col("mixed") & (F.col("one") == F.struct("key", "ctx", "block"))).alias("on"))
+        known = written(known, f"known-{k}")
+        found.append(known.filter("all").select("key", "ctx", F.array(F.col("first"), F.col("last") + least).alias("r")))
+        todo, upto = known.filter("on").groupBy("key", "ctx").agg(F.collect_list("block").alias("todo")), k
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("key", "ctx").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null) and h."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
