@@ -170,7 +170,8 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[
 def known_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those whose language is rejected, with their columns; learned from their own text and lang."""
     model = learned(docs.filter(fold(F.col("doc_id"), 3) != 1), F.col(text_col), F.col(lang_col))
-    return predicted(docs, model, text_col).filter("not _l.rejected").drop("_l")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return predicted(rows, model, keep=["row"]).filter("not _l.rejected").select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

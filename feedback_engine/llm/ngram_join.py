@@ -360,10 +360,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = joined(docs)
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "h").agg(F.max("n_links").alias("n"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.withColumn("_h", F.xxhash64(text)).withColumn("_id", F.col("doc_id").cast("long"))
-    kept = own.join(chosen, own["_id"].eqNullSafe(chosen["doc_id"]) & (own["_h"] == chosen["h"]), "left_semi")
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = own.join(chosen, own["doc_id"].eqNullSafe(chosen["doc_id"]) & (own["h"] == chosen["h"]), "left_semi")
     # Rows that share id and text are copies of each other, so one stays.
-    return kept.dropDuplicates(["_id", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates(["doc_id", "h"]).select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,8 @@ def _over(sql: str) -> str:
 
 def good_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that the rules reject, with their columns."""
-    return judged(docs, text_col).filter("_v.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return judged(rows, keep=["row"]).filter("_v.kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,20 +353,20 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the repeated bytes of their text removed (and n_chars, if there, brought up to date); the other columns stay."""
     _, marks = spans(hashed(docs), least)
     others = [c for c in docs.columns if c != "text"]
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    joined = own.join(marks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans")), ["_id", "_h"], "left").select(*[F.col(f"`{c}`") for c in others], "_spans", "text")
+    rest = F.struct(*[F.col(f"`{c}`") for c in others])
+    own = docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"))
+    joined = own.join(marks, ["doc_id", "h"], "left").select("row", "spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, flat in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True):
+            for text, flat in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts.append(remaining(text.encode("utf-8", "surrogatepass"), flat)[0].decode("utf-8", "ignore") if text is not None and flat else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*others, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    out = joined.mapInArrow(run, joined.drop("_spans").schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = joined.mapInArrow(run, joined.drop("spans").schema)
+    value = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[(value[c] if c in value else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
