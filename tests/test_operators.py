@@ -191,7 +191,7 @@ def test_readers_and_writers(spark, tmp_path):
     writers.swapped(spark.read.parquet(str(tmp_path / "p")).filter("id = 1"), str(tmp_path / "p"))
     assert values(spark.read.parquet(str(tmp_path / "p")), "id") == [1]
     writers.dashboard({"x": out}, str(tmp_path / "dash"))
-    assert json.loads(writers.assembled(spark, str(tmp_path / "dash"), ["x"]))["x"][0] == {"id": 1, "t": "a"}
+    assert sorted(json.loads(writers.assembled(spark, str(tmp_path / "dash"), ["x"]))["x"], key=lambda r: r["id"])[0] == {"id": 1, "t": "a"}
     writers.jsonl(out, str(tmp_path / "j"), ["t"])
     writers.merged(out.union(out), "id", ["t"], str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
