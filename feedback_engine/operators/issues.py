@@ -35,8 +35,8 @@ def by_language_and_tag(complaints: DataFrame, tagged: DataFrame, least: int = 5
     every = own.groupBy("language", "text").agg(F.count("*").alias("n")).withColumn("tag", F.lit("_all"))
     per_tag = own.join(tagged, "rec_id").groupBy("language", "tag", "text").agg(F.count("*").alias("n"))
     rows = every.select("language", "tag", "text", "n").unionByName(per_tag)
-    best = Window.partitionBy("language")
-    rows = rows.withColumn("best", F.max(F.when(F.col("tag") == "_all", F.col("n"))).over(best)).filter(F.col("best") >= least)
+    heard = every.groupBy("language").agg(F.max("n").alias("best")).filter(F.col("best") >= least).select("language")
+    rows = rows.join(heard, "language", "left_semi")
     ranked = top_per_group(rows, ["language", "tag"], [F.desc("n"), F.asc("text")], top)
     first = F.first("n").over(Window.partitionBy("language", "tag").orderBy("rank"))
     ranked = ranked.withColumn("_first", first)

@@ -10,31 +10,30 @@ from pyspark.sql import functions as F
 from feedback_engine.functions.numbers import change_percent, count_if, percent
 
 OUTSIDE = "Off-season"
-#: Largest interval table that is sent to every task.
-BROADCAST_ROWS = 10_000
+#: Intervals that become one CASE expression; more are joined by the day.
+CASE_ROWS = 200
 
 
 def with_period(df: DataFrame, periods: DataFrame, ts: str = "ts", outside: str = OUTSIDE) -> DataFrame:
-    """df with ord and season of the first interval [start_ts, end_ts) that holds ts; else null and `outside`.
+    """df with ord and season of the interval [start_ts, end_ts) that holds ts; else null and `outside`.
 
-    A small interval table becomes one CASE expression, so no row moves and no
-    join is planned. A larger one is joined by the day, exploded over its days.
+    A small interval table becomes one CASE expression (the first match wins), so
+    no row moves and no join is planned. A larger one, whose intervals must not
+    overlap, is joined by the day, exploded over its days.
     """
-    rows = periods.orderBy("ord").limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS and len(rows) <= 200:
+    rows = periods.orderBy("ord").limit(CASE_ROWS + 1).collect()
+    if not rows:
+        return df.withColumns({"ord": F.lit(None).cast("int"), "season": F.lit(outside)})
+    if len(rows) <= CASE_ROWS:
         name, ord_ = F, F
         for r in rows:
             inside = (F.col(ts) >= F.lit(r["start_ts"])) & (F.col(ts) < F.lit(r["end_ts"]))
             name, ord_ = name.when(inside, r["season"]), ord_.when(inside, r["ord"])
-        if not rows:
-            return df.withColumns({"ord": F.lit(None).cast("int"), "season": F.lit(outside)})
         return df.withColumns({"ord": ord_, "season": name.otherwise(outside)})
-    days = periods.withColumn("_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))))
-    keyed = df.withColumns({"_day": F.to_date(ts), "_row": F.struct(*df.columns)})
-    joined = keyed.join(days, "_day", "left").filter(F.col("start_ts").isNull() | (F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts")))
-    found = joined.select(*df.columns, "ord", F.coalesce("season", F.lit(outside)).alias("season"))
-    missed = df.join(found.select(*df.columns).distinct(), df.columns, "left_anti").withColumns({"ord": F.lit(None).cast("int"), "season": F.lit(outside)})
-    return found.unionByName(missed)
+    left = df.withColumn("_day", F.to_date(ts)).alias("l")
+    right = periods.withColumn("_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts")))).alias("r")
+    held = (F.col("l._day") == F.col("r._day")) & (F.col(f"l.{ts}") >= F.col("r.start_ts")) & (F.col(f"l.{ts}") < F.col("r.end_ts"))
+    return left.join(right, held, "left").select(*[F.col(f"l.{c}") for c in df.columns], "r.ord", F.coalesce("r.season", F.lit(outside)).alias("season"))
 
 
 def health(df: DataFrame, *keys: str) -> DataFrame:
