@@ -135,13 +135,25 @@ def class_of(own: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-LEAVES = "array<struct<p1:long,p2:long,p3:long>>"
-_LEAVES = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64())]))
+TREES = "array<struct<p1:long,kids:array<struct<p2:long,p3s:array<long>>>>>"
+_TREES = pa.list_(pa.struct([("p1", pa.int64()), ("kids", pa.list_(pa.struct([("p2", pa.int64()), ("p3s", pa.list_(pa.int64()))])))]))
+
+
+def trees(own: np.ndarray, runs: int) -> list[dict]:
+    """The paths of a set, nested by level."""
+    out: dict[int, dict[int, list[int]]] = {}
+    for a, b, c in paths(own, runs):
+        kids = out.setdefault(_signed(a), {})
+        if b:
+            grand = kids.setdefault(_signed(b), [])
+            if c:
+                grand.append(_signed(c))
+    return [{"p1": a, "kids": [{"p2": b, "p3s": c} for b, c in kids.items()]} for a, kids in out.items()]
 
 
 def members(docs: DataFrame, runs: int, width: int) -> DataFrame:
-    """doc_id, h, c1, c2 (its class), n, sketch, leaves for docs (doc_id, text, h); the last two once per class and task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("leaves", _LEAVES)])
+    """doc_id, h, c1, c2 (its class), n, sketch, trees for docs (doc_id, text, h); the last two once per class and task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("trees", _TREES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -157,19 +169,35 @@ def members(docs: DataFrame, runs: int, width: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(c)
-                    rows.append((doc_id, h, *c, len(own), sketch(own), [{"p1": _signed(a), "p2": _signed(b), "p3": _signed(d)} for a, b, d in paths(own, runs)]))
+                    rows.append((doc_id, h, *c, len(own), sketch(own), trees(own, runs)))
                 yield _batch(rows, schema)
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id long, h long, c1 long, c2 long, n int, sketch binary, leaves {LEAVES}")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id long, h long, c1 long, c2 long, n int, sketch binary, trees {TREES}")
 
 
 def leader_links(ids: list[int], rows: np.ndarray, same: float, near: float) -> list[tuple[int, int]]:
-    """Links from each member of a bucket to the leaders its sketch is near; one that is not the same as any leader becomes one."""
+    """Links that connect what a bucket holds in common: fewer than it has members.
+
+    A member is compared with the leaders; if its sketch is the same as none, it
+    becomes one. A link is made where it connects two parts not yet connected.
+    """
     leaders, table_, out = [], np.empty_like(rows), []
+    root = list(range(len(ids)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     for i in range(len(ids)):
         if leaders:
             share = (table_[: len(leaders)] == rows[i]).mean(1)
-            out += [(ids[i], ids[leaders[j]]) for j in np.flatnonzero(share >= near).tolist()]
+            for j in np.flatnonzero(share >= near).tolist():
+                a, b = top(i), top(leaders[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[leaders[j]]))
             if share.max() >= same:
                 continue
         table_[len(leaders)] = rows[i]
@@ -179,15 +207,15 @@ def leader_links(ids: list[int], rows: np.ndarray, same: float, near: float) ->
 
 def candidate_links(classes: DataFrame, bucket: int, jaccard: float) -> DataFrame:
     """(a, b) of first halves of class ids that met in a bucket and look similar."""
-    first = classes.select("c1", "sketch", F.explode(F.array_distinct(F.col("leaves.p1"))).alias("k"))
+    first = classes.select("c1", "sketch", F.explode("trees.p1").alias("k"))
     sizes = first.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
     small = first.join(sizes.filter(F.col("m") <= bucket).select("k"), "k")
     large = sizes.filter(F.col("m") > bucket).select(F.col("k").alias("p1"))
-    deep = written(classes.select("c1", "sketch", F.explode("leaves").alias("p")).select("c1", "sketch", "p.*").filter("p2 <> 0").join(large, "p1").drop("p1"), "deep")
-    second = deep.select("c1", "sketch", F.col("p2").alias("k")).dropDuplicates(["c1", "k"])
-    more = second.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    middle = second.join(more.filter(F.col("m") <= bucket).select("k"), "k")
-    third = deep.filter("p3 <> 0").join(more.filter(F.col("m") > bucket).select(F.col("k").alias("p2")), "p2").select("c1", "sketch", F.col("p3").alias("k"))
+    deep = classes.select("c1", "sketch", F.explode("trees").alias("t")).select("c1", "sketch", "t.*").join(large, "p1")
+    deep = written(deep.select("c1", "sketch", F.explode("kids").alias("t")).select("c1", "sketch", F.col("t.p2").alias("k"), "t.p3s"), "deep")
+    more = deep.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
+    middle = deep.join(more.filter(F.col("m") <= bucket).select("k"), "k")
+    third = deep.join(more.filter(F.col("m") > bucket).select("k"), "k").select("c1", "sketch", F.explode("p3s").alias("k"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     # A pair at the threshold and a leader that is `same` as one of it are this far apart at most.
     error = 3 * math.sqrt(0.25 / SKETCH)
@@ -332,7 +360,7 @@ def joined(docs: DataFrame, recall: float = 0.999, width: int = WIDTH, ratio: tu
     rows = written(members(docs, runs_for(recall, ratio[0] / ratio[1]), width), "members")
     some = rows.filter("n > 0")
     # One row for each class; copies combine before they travel.
-    classes = some.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("leaves", ignorenulls=True).alias("leaves"), F.min(F.struct("doc_id", "h")).alias("one"))
+    classes = some.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("trees", ignorenulls=True).alias("trees"), F.min(F.struct("doc_id", "h")).alias("one"))
     classes = written(classes, "classes")
     near = components(candidate_links(classes, bucket, ratio[0] / ratio[1]))
     wanted = classes.select("c1", "c2", "copies", "one.*").join(near.withColumnRenamed("node", "c1"), "c1")
