@@ -20,7 +20,7 @@ END_ID = 1
 #: Split patterns known not to match across white space.
 WORD_PATTERNS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 #: Words held in each of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _made: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -59,40 +59,52 @@ class Words(dict):
         super().__init__({"": b""})
         self.tokenizer, self.bpe, self.most, self.old = tokenizer, tokenizer.model.tokenize, most, {}
         self.special, self.letters = special, byte_letters()
+        self.miss = self.encode
         self.four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size() + 1)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, word: str) -> bytes:
-        if word.isascii() and word[-1] in ".,;" and word[:-1].isalpha():
+        if word[-1] in ".,;" and word[:-1].isalpha() and word.isascii():
             return self[word[:-1]] + self[word[-1]]
         if not SIMPLE.fullmatch(word) or "<" in word and any(x in word for x in self.special):
             return self.whole(word)
         parts = WORD_PARTS.findall(word.lower())
         if parts == [word]:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            return b"".join([self.four[t.id] for t in self.bpe(shown)])
+            return self.plain(word)
         return b"".join([self[x] for x in parts])
 
+    def plain(self, word: str) -> bytes:
+        """Ids of lower-case letters."""
+        four = self.four
+        return b"".join([four[t.id] for t in self.bpe(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
+
+    def latin(self, word: str) -> bytes:
+        """encode() of a word of a lower-case Latin-1 text."""
+        if word.isalpha():
+            return self.plain(word)
+        if word[-1] in ".,;" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        return self.encode(word)
+
     def text(self, text: str) -> bytes:
         """Ids of a text, word by word."""
         if "<|" not in text:
             try:  # Lower case of these letters is the same in and out of context, and hits the cache more often.
                 text.encode("latin-1")
                 text = text.lower()
+                self.miss = self.latin
             except UnicodeEncodeError:
-                pass
+                self.miss = self.encode
+        else:
+            self.miss = self.encode
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
-            if word.isascii() and word.isalpha() and word.islower():
-                four = self.four
-                out = b"".join([four[t.id] for t in self.bpe(word)])
-            else:
-                out = self.encode(word)
+            out = self.miss(word)
             if len(word) > 64:
                 return out
         if len(self) >= self.most:
