@@ -125,10 +125,12 @@ class Vocabulary:
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The pair whose merge makes the piece; None if merging never makes it."""
-        if piece not in self.splits:
+        try:
+            return self.splits[piece]
+        except KeyError:
             parts, last = self.merged(piece)
             self.splits[piece] = last if parts == [piece] else None
-        return self.splits[piece]
+            return self.splits[piece]
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether BPE leaves a and b side by side."""
@@ -179,6 +181,38 @@ class Vocabulary:
                         best[end], last[end] = (weight, start), piece
         return best
 
+    def merged_pieces(self, text: str) -> list[str]:
+        """table() and traced() of a whole text for a BPE model, where one piece at most can end at each place."""
+        n, longest, endings, ids, fits = len(text), self.longest, self.endings, self.ids, self.fits
+        last: list[str | None] = [None] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
+                piece = text[start:end]
+                if piece not in ids:
+                    if end - start > 1:
+                        if piece in endings:
+                            continue
+                        break
+                elif end - start > 1 and self.split(piece) is None:
+                    continue
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    fit = fits.get((before, piece))
+                    if not (self.neighbours(before, piece) if fit is None else fit):
+                        continue
+                last[end] = piece
+                break
+        out, end = [], n
+        while end:
+            piece = last[end]
+            if piece is None:
+                raise ValueError("no path")
+            out.append(piece)
+            end -= len(piece)
+        return out[::-1]
+
     def traced(self, text: str, best: list[tuple[float, int] | None], end: int, at: int = 0) -> list[str]:
         out = []
         while end > at:
@@ -208,9 +242,31 @@ class Vocabulary:
         return None
 
 
+class BlankWords(dict):
+    """Ids of words that follow one blank, by word; two generations."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            shown = BLANK + word
+            out = self.encoder.part(shown) if word.isascii() and word.isalpha() else self.encoder.word(shown)
+        if len(word) <= 64:
+            if len(self) >= CACHE_PARTS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Encoder:
     def __init__(self, data: bytes) -> None:
         self.v, self.young, self.old = Vocabulary(data), {}, {}
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.v.text))]
+        self.words = BlankWords(self)
 
     def part(self, text: str) -> bytes:
         """Ids of a text between two meeting places."""
@@ -218,8 +274,8 @@ class Encoder:
         if out is None:
             out = self.old.get(text)
             if out is None:
-                pieces = self.v.traced(text, self.v.table(text, None), len(text))
-                out = np.array(self.v.ids_of(pieces), "<u4").tobytes()
+                pieces = self.v.merged_pieces(text) if self.v.kind == BPE else self.v.traced(text, self.v.table(text, None), len(text))
+                out = b"".join([self.four[i] for i in self.v.ids_of(pieces)])
             if len(text) <= 64:
                 self.keep(text, out)
         return out
@@ -238,10 +294,7 @@ class Encoder:
         if not at:
             return self.part(text)
         parts.append(self.part(text[at:]))
-        out = b"".join(parts)
-        if len(text) <= 64:
-            self.keep(text, out)
-        return out
+        return b"".join(parts)
 
     def inside(self, text: str) -> bytes:
         """Ids of a text that starts and ends at meeting places; blanks are BLANK."""
@@ -347,8 +400,11 @@ class Encoder:
         return (BLANK * self.v.prefix + text.replace(" ", BLANK)) if text else ""
 
     def encode(self, text: str | None) -> bytes:
-        shown = self.shown(text or "")
-        return self.inside(shown) if shown else b""
+        if not text:
+            return b""
+        if self.v.prefix and "  " not in text and text[0] != " " and text[-1] != " " and BLANK not in text and not self.joined_blanks():
+            return b"".join(map(self.words.__getitem__, text.split(" ")))  # each word follows one blank
+        return self.inside(self.shown(text))
 
     def decode(self, ids: bytes) -> str:
         if not hasattr(self, "_bytes"):
