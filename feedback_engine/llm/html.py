@@ -28,13 +28,16 @@ from feedback_engine.llm.common import table
 #: Elements whose content is no text at all.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas", "audio", "video")
 #: Elements around boilerplate.
-FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "figcaption"}
+FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Elements that start and end a block.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in class, id and role that mark boilerplate.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Words in class, id and role that mark boilerplate; those of a page's head do so only outside of an article.
+MARKS = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[_-])", re.I)
+HEAD_MARKS = re.compile(r"(?:^|[_-])(?:header|masthead|topbar)(?:$|[_-])", re.I)
+#: A layout that says what it has, not what it is.
+LAYOUT = re.compile(r"^(?:no|has|with|without|is|page|layout)[_-]", re.I)
 #: Frequent function words of the languages in hand; density is a share of words.
 STOP_WORDS = frozenset(
     "the of and to in is that it was for on are as with be at by this have from or he she they we you not an which but had his her their has were been will would there a i if can all do "
@@ -43,23 +46,39 @@ STOP_WORDS = frozenset(
     "el los las y en del que se por con una para su al lo como más pero sus o este sí porque esta entre cuando muy sin sobre también me hasta hay donde no es".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"\w+")
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters of it in links, boilerplate around it, article around it, heading) in page order."""
+def boilerplate(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is around boilerplate, by its name, class, id, role and style."""
+    if name in ("html", "body", "main"):
+        return False
+    if name in FRAME and not (name == "header" and inside):
+        return True
+    for a in ATTRIBUTE.finditer(attributes) if attributes else ():
+        value = next((x for x in a.groups()[1:] if x is not None), "")
+        kind = a[1].lower()
+        if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True
+        if kind != "style" and any((MARKS.search(t) or not inside and name != "article" and HEAD_MARKS.search(t)) and not LAYOUT.search(t) for t in value.split()):
+            return True
+    return False
+
+
+def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
+    """(text, characters of it in links, boilerplate around it, article around it, element) in page order."""
     out, parts, linked = [], [], 0
     stack: list[tuple[str, bool]] = []  # open elements and whether they mark boilerplate
     frames = articles = links = 0
-    heading, at, n = False, 0, len(page)
+    tag, at, n = "", 0, len(page)
 
     def end_block() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, frames > 0, articles > 0, heading))
+                out.append((text, linked, frames > 0, articles > 0, tag))
         parts, linked = [], 0
 
     def close(to: int) -> None:
@@ -84,7 +103,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCKS:
             end_block()
-            heading = name in HEADINGS and not closing
+            tag = "" if closing else name
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -102,9 +121,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p" and not closing:
             close(len(stack) - 1)
-        marks = " ".join(next((x for x in a.groups()[1:] if x is not None), "hidden") for a in ATTRIBUTE.finditer(m[3])) if m[3] else ""
-        marked = (name in FRAME and not (name == "header" and articles)) or bool(marks and (MARKS.search(marks) or marks == "hidden"))
-        marked = marked and name not in ("html", "body", "article", "main")
+        marked = boilerplate(name, m[3], articles > 0)
         stack.append((name, marked))
         frames += marked
         articles += name in ("article", "main")
@@ -113,15 +130,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
-def classify(found: list[tuple[str, int, bool, bool, bool]], short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.22, links: float = 0.33) -> list[bool]:
+def classify(found: list[tuple[str, int, bool, bool, str]], short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.22, links: float = 0.33) -> list[bool]:
     """For each block, whether it is main text."""
     first: list[bool | None] = []
-    for text, linked, framed, inside, _ in found:
+    for text, linked, framed, inside, tag in found:
         words = WORD.findall(text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
         if framed:
             first.append(False)
-        elif linked > links * len(text) and not (inside and len(text) > long):
+        elif linked > links * len(text) and (not inside or tag == "li" and linked > 0.8 * len(text)):
             first.append(False)
         elif len(text) < short:
             first.append(None)
@@ -152,7 +169,7 @@ def classify(found: list[tuple[str, int, bool, bool, bool]], short: int = 70, lo
             elif len(set(near)) == 1:
                 x = near[0]
             else:
-                x = first[a] if i - a <= b - i and not found[i][4] else first[b]
+                x = first[a] if i - a <= b - i and found[i][4] not in HEADINGS else first[b]
         out.append(bool(x))
     return out
 

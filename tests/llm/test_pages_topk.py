@@ -22,6 +22,12 @@ def test_without_an_article():
     assert got == " ".join([long.strip(), "And so on.", long.strip()])
 
 
+def test_marks():
+    long = "The story of the man and the sea is that he went to it and was with it for all the days of his life. " * 3
+    body = f'<div class="layout has-sidebar"><header class="top"><h1>Site</h1></header><div class="sidebar">{long}</div><article><header class="entry-header"><h1>Title of it</h1></header><p>{long}</p><figure><figcaption>A caption.</figcaption></figure><p>See <a href="/s">the source of it</a>.</p><ul><li><a href="/r">Related thing</a></li></ul><div class="share-buttons">Share it</div></article><article class="comment"><p>{long}</p></article><div style="display: none">{long}</div></div>'
+    assert html.main_text(page(body)) == " ".join(["Title of it", long.strip(), "A caption.", "See the source of it."])
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>unclosed <b>the text"), (4, "u", "no markup at all"), (4, "u", "no markup at all"), (5, "u", "<<<>>&bogus; &#x41;&#66; <p"), (None, "u", "<script>only"), (6, "u", page("<article></article>"))]
     df = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, text string, n_chars long")
