@@ -24,8 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _folders.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _folders[-1]
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Remove every intermediate table that this process has written; call it when no result that reads them is needed any more."""
+    dropped(spark, *_folders)
+    _folders.clear()
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import table, written
+from feedback_engine.llm.common import dropped, folder_of, table, written
 
 LEAST = 400
 GRAM = 48
@@ -122,7 +122,7 @@ def suffix_array(texts: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.
     ranks = []
     while True:
         rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-        ranks.append((h, rank))
+        ranks.append((h, rank.astype(np.int32)))
         if h >= longest:
             break
         later = np.zeros(n, np.int64)
@@ -238,6 +238,7 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 1024) -> tuple[DataFr
     # A row that occurs more than once has each anchor more than once; lists hold each once.
     per_doc = every.join(keys, "key").groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "stop", "mixed", "key", "ctx")).alias("candidates"))
     held = written(docs.join(per_doc, ["doc_id", "h"]), "candidates")
+    dropped(spark, *filter(None, [folder_of(every)]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [("key", pa.int64()), ("ctx", pa.int64()), ("starts", pa.int32()), ("bytes", pa.binary())]
