@@ -46,7 +46,7 @@ CODE = " + ".join(f"CASE WHEN {bad} THEN 1 WHEN {good} THEN 2 ELSE 0 END * {3**j
 
 
 def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    return F.regexp_count(text, F.lit("[" + chars.replace("|", "\\|") + "]")).cast("long")
 
 
 def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     text = F.col("_text")
     values = {
         "n_words": n,
-        "word_chars": F.length(F.translate(text, SPACE, "")),
+        "word_chars": F.length(F.array_join("_words", "")),
         "n_symbols": _count(text, SYMBOLS),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered),
