@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedback_engine.functions.text import tags
-from feedback_engine.operators.shape import merged_results, pending
+from feedback_engine.operators.shape import ISSUE, merged_results, pending, sanitised
 
 #: Dollars for a million tokens in and out.
 PRICE_IN, PRICE_OUT = 0.07, 0.28
@@ -45,18 +45,44 @@ def by_model(records: DataFrame, model: Model, key: str, allowed: Sequence[str],
                 found, error = None, None
                 for attempt in range(retries):
                     try:
-                        found = model(part["text"].tolist())
+                        found, error = model(part["text"].tolist()), None
                         break
                     except Exception as e:  # noqa: BLE001  a model may fail in any way; its error is data
                         error = str(e)
                         time.sleep(wait * (attempt + 1))
                 found = found if found is not None else [[] for _ in range(len(part))]
                 kept = [[t for t in x if t in names] for x in found]
-                yield pd.DataFrame({key: part[key].to_numpy(), "tags": kept, "violations": [len(a) - len(b) for a, b in zip(found, kept, strict=True)], "error": [error if kept is None or (error and not any(found)) else None] * len(part)})
+                yield pd.DataFrame({key: part[key].to_numpy(), "tags": kept, "violations": [len(a) - len(b) for a, b in zip(found, kept, strict=True)], "error": [error] * len(part)})
 
     return records.select(key, "text").mapInPandas(run, f"{key} {dict(records.dtypes)[key]}, tags array<string>, violations long, error string")
 
 
+def extracted(records: DataFrame, model: Callable[[list[str]], list[list[dict]]], key: str, batch: int = 80, retries: int = 3, wait: float = 0.0, least: int = 0) -> DataFrame:
+    """key, issues, error for records (key, text): nested issues that a model finds, sanitised. Texts shorter than `least` are not sent and have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                texts = part["text"].fillna("").tolist()
+                sent = [i for i, t in enumerate(texts) if len(t) >= least]
+                found: list[list[dict]] = [[] for _ in texts]
+                error = None
+                for attempt in range(retries if sent else 0):
+                    try:
+                        for i, issues in zip(sent, model([texts[i] for i in sent]), strict=True):
+                            found[i] = issues
+                        error = None
+                        break
+                    except Exception as e:  # noqa: BLE001  a model may fail in any way; its error is data
+                        error = str(e)
+                        time.sleep(wait * (attempt + 1))
+                yield pd.DataFrame({key: part[key].to_numpy(), "raw": [json.dumps(x) for x in found], "error": [error] * len(part)})
+
+    replies = records.select(key, "text").mapInPandas(run, f"{key} {dict(records.dtypes)[key]}, raw string, error string")
+    return replies.select(key, sanitised(F.from_json("raw", f"array<{ISSUE}>")).alias("issues"), "error")
+
+
 def resumed(records: DataFrame, done: DataFrame, key: str, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results of the records that have none yet."""
     return enrich(pending(records, done, key))

@@ -69,3 +69,16 @@ def impact(changes: DataFrame, complaints: DataFrame) -> DataFrame:
 def distribution(issues: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Counts of each text over a key's values, a column for each."""
     return issues.groupBy("text").agg(F.count("*").alias("n"), *[count_if(F.col(key) == v).alias(f"n_{i}") for i, v in enumerate(values)])
+
+
+def change_log_stats(patches: DataFrame) -> DataFrame:
+    """Patches (balance_changes array), their changes, and patches with a change."""
+    n = F.coalesce(F.size("balance_changes"), F.lit(0))
+    return patches.agg(F.count("*").alias("patches"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("changes"), count_if(n > 0).alias("with_changes"))
+
+
+def spikes(daily: DataFrame, day: str = "day", value: str = "negative", days: int = 14, factor: float = 3.0, least: int = 10) -> DataFrame:
+    """Days whose value is `factor` times the mean of the days before, and `least` at least. daily has a row for each day."""
+    w = Window.orderBy(day).rowsBetween(-days, -1)
+    rows = daily.withColumn("usual", F.avg(value).over(w))
+    return rows.filter((F.col(value) >= least) & (F.col(value) >= factor * F.col("usual")))

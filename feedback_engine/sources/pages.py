@@ -41,3 +41,9 @@ def plain_text_sql(html: str) -> str:
     for name, char in REFERENCES:
         out = f"replace({out}, '{name}', '{char}')"
     return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+
+
+def fetched(pages: DataFrame, cached: DataFrame, longest: int | None = None) -> DataFrame:
+    """(page_id, text) of every page: from the cache where it is there, else read now; a page that failed (null html) is empty."""
+    new = pages.join(cached.select("page_id"), "page_id", "left_anti").select("page_id", plain_text(F.col("html"), longest).alias("text"))
+    return cached.select("page_id", "text").unionByName(new)

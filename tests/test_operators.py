@@ -242,3 +242,57 @@ def test_streaming_timeline_matches_batch(spark, tmp_path):
     q = incremental.enriched(stream, lambda x: x.select("event_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 65
+
+
+def test_dimensions(spark, tmp_path):
+    from feedback_engine.sources import dims
+
+    (tmp_path / "s.json").write_text('[{"season": "B", "start": "2024-03-14", "end": "2024-06-13"}, {"season": "A", "start": "2023-12-07", "end": "2024-03-14"}]')
+    got = dims.seasons(spark, str(tmp_path / "s.json")).orderBy("ord").collect()
+    assert [(r["ord"], r["season"]) for r in got] == [(0, "A"), (1, "B")] and got[0]["end_ts"] == datetime.datetime(2024, 3, 14)
+    (tmp_path / "c.json").write_text('{"negative": {"N": "n"}, "positive": {"P": "p", "Q": "q"}}')
+    assert dims.categories(spark, str(tmp_path / "c.json")).count() == 3
+    entity = dims.entities(spark, {"gadget": {"Medium": ["Mine"], "Heavy": ["Mine", "Dome"]}})
+    assert {r["entity"]: r["class"] for r in entity.collect()} == {"Mine": "Heavy", "Dome": "Heavy"}
+    alias = dims.aliases(spark, {"m": "Mine", "x": "A or B", "y": "context-dependent"})
+    assert sorted(values(dims.canonical_names(entity, alias), "name")) == ["dome", "mine"]
+    assert dims.monthly_players(spark).count() == 27
+
+
+def test_extraction_and_costs(spark):
+    records = spark.createDataFrame([(1, "long enough"), (2, "x"), (3, None)], "id long, text string")
+    got = {r["id"]: r for r in enrich.extracted(records, lambda texts: [[{"text": "T: " + t, "type": "odd"}] for t in texts], "id", least=5).collect()}
+    assert [(i["text"], i["type"]) for i in got[1]["issues"]] == [("T: long enough", "complaint")]
+    assert got[2]["issues"] == [] and got[3]["issues"] == []
+    log = spark.createDataFrame([(1_000_000, 500_000, 1), (0, 500_000, 2)], "tokens_in long, tokens_out long, violations long")
+    r = enrich.costs(log).first()
+    assert (r["dollars"], r["violations"]) == (0.35, 3)
+    tagged = enrich.by_rules(records, [("r", ["enough"])]).orderBy("id").collect()
+    assert [(r["tags"], r["confidence"]) for r in tagged] == [(["r"], "high"), ([], "none"), ([], "none")]
+
+
+def test_reports_pages_and_change_log(spark):
+    from feedback_engine.sinks.console import report
+
+    df = spark.createDataFrame([("a", 1200, 1.25)], "name string, n long, pct double")
+    assert report(df, "Top").splitlines()[-1] == "a     1,200  1.2"
+    p, c = spark.createDataFrame([(1, "<p>new"), (2, None), (3, "<p>old")], "page_id int, html string"), spark.createDataFrame([(3, "kept")], "page_id int, text string")
+    assert sorted(map(tuple, pages.fetched(p, c).collect())) == [(1, "new"), (2, ""), (3, "kept")]
+    patches = spark.createDataFrame([([1, 2],), ([],), (None,)], "balance_changes array<int>")
+    assert tuple(issues.change_log_stats(patches).first()) == (3, 2, 1)
+    daily = spark.createDataFrame([(f"2024-01-{i:02}", 5 if i != 9 else 40) for i in range(1, 12)], "day string, negative long")
+    assert values(issues.spikes(daily), "day") == ["2024-01-09"]
+
+
+def test_dashboard(spark, tmp_path):
+    import os
+
+    from feedback_engine.plans.dashboard import dashboard
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("tables are not here")
+    made = dashboard(spark, "/root/testdata/sf0.001")
+    assert len(made) >= 36
+    some = {k: made[k] for k in ("overview", "season_health", "player_count", "hc")}
+    writers.dashboard(some, str(tmp_path / "d"))
+    assert set(json.loads(writers.assembled(spark, str(tmp_path / "d"), list(some)))) == set(some)
