@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import table
+from feedback_engine.llm.common import small_batches, table
 
 #: Elements whose content is no text at all.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas", "audio", "video")
@@ -183,6 +183,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with its html replaced by text (string, never null) and n_chars (long)."""
+    small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema) + ", text string, n_chars long"
 

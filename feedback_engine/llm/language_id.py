@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedback_engine.llm.common import fold, table
+from feedback_engine.llm.common import fold, small_batches, table
 
 BUCKETS_LOG2 = 13
 ORDERS = (2, 3)
@@ -123,10 +123,11 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = 3, roun
     return Model(languages, np.array(owner, int), weighted, idf, np.array(least))
 
 
-def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800) -> Model:
-    """Fit on at most about per_lang rows of docs (with doc_id) of each language."""
+def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800, languages: int = 1000) -> Model:
+    """Fit on about per_lang rows of docs (with doc_id) of each language at most; of more than `languages` values of lang, on the most frequent."""
     rows = docs.select(F.col("doc_id"), text.cast("string").alias("text"), lang.cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
-    shares = {r["lang"]: per_lang / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    shares = {r["lang"]: per_lang / r["n"] for r in frequent.collect()}
     if not shares:
         return fit([])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -151,6 +152,7 @@ def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800) ->
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and `_l`: lang_pred, score, rejected."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see above

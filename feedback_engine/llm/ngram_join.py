@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import dropped, folder_of, table, written
+from feedback_engine.llm.common import dropped, folder_of, small_batches, table, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 GROWTH = (2.0, 1.5, 1.5)  # expected branches at each level
@@ -260,6 +260,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         edges = new
         if over:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     if folders:
         dropped(spark, *[f for f in folders if f])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
@@ -355,6 +357,7 @@ def exact_links(sets: DataFrame, block: int, ratio: tuple[int, int]) -> tuple[Da
 
 def joined(docs: DataFrame, recall: float = 0.999, width: int = WIDTH, ratio: tuple[int, int] = (NUMERATOR, DENOMINATOR), bucket: int = 64, block: int = 512) -> DataFrame:
     """doc_id, h, class_id, n_links for docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = written(members(docs, runs_for(recall, ratio[0] / ratio[1]), width), "members")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedback_engine.llm import tokens
-from feedback_engine.llm.common import table, written
+from feedback_engine.llm.common import small_batches, table, written
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,6 +39,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each document (columns doc_id and text)."""
+    small_batches(docs.sparkSession)
     path = path or tokens.vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import fold, table
+from feedback_engine.llm.common import fold, small_batches, table
 
 WORDS, PAIRS, CHARS = 1 << 16, 1 << 16, 1 << 16
 SIZE = WORDS + PAIRS + CHARS
@@ -143,6 +143,7 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import dropped, folder_of, table, written
+from feedback_engine.llm.common import dropped, folder_of, small_batches, table, written
 
 LEAST = 400
 GRAM = 48
@@ -224,7 +224,7 @@ def _emit_anchors(least: int):
     return run
 
 
-def spans(docs: DataFrame, least: int = LEAST, most: int = 1024) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, least: int = LEAST, most: int = 256) -> tuple[DataFrame, DataFrame]:
     """For docs (doc_id long, text string, h = xxhash64(text)): (held, marks).
 
     held: (doc_id, h, text, candidates), the rows that may have something to
@@ -232,6 +232,7 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 1024) -> tuple[DataFr
     the bytes to remove. Null ids count as -1 in both; h tells texts apart.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "h", "text")
     every = written(docs.mapInArrow(_emit_anchors(least), "doc_id long, h long, key long, ctx long, lo long, stop long"), "anchors")
     keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
@@ -264,7 +265,7 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 1024) -> tuple[DataFr
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size > 600_000 and row[0] != rows[-1][0]:
+                if size > 200_000 and row[0] != rows[-1][0]:
                     yield flush()
                     rows.clear()
                     size = 0

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedback_engine.llm import tokens
-from feedback_engine.llm.common import dropped, new_folder, table, written
+from feedback_engine.llm.common import dropped, new_folder, small_batches, table, written
 
 LEAST, MEAN_BITS, MOST, WINDOW = 128, 9, 4096, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -123,6 +123,7 @@ def crc_joined(first: int, second: int, n: int) -> int:
 
 def chunked(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows of two kinds: documents (doc_id, n_tokens, digests) and chunks (digest, width, payload), each once per task."""
+    small_batches(docs.sparkSession)
     path = path or tokens.vocabulary()
     schema = "doc_id long, n_tokens long, digests array<binary>, digest binary, width int, payload binary"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("digest", pa.binary()), ("width", pa.int32()), ("payload", pa.binary())])
@@ -157,8 +158,19 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, part_docs
     """Encode docs (doc_id, text) into the files of folder."""
     spark = docs.sparkSession
     staged = written(chunked(docs, path), "", f"{folder}/staged")
-    # Copies within a task are gone already; each digest keeps one payload.
-    staged.filter("digest is not null").select("digest", "width", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{folder}/chunks")
+
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for key in batch.column(0).to_pylist():
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new))
+
+    # Copies within a task are gone already, so rows are dealt by digest as they are; a task remembers its own digests.
+    dealt = staged.filter("digest is not null").select("digest", "width", "payload").repartition(F.col("digest"))
+    dealt.mapInArrow(unique, "digest binary, width int, payload binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
     recipes = staged.filter("digests is not null").select("doc_id", "n_tokens", "digests")
     parts = max(1, math.ceil(recipes.count() / part_docs))
     schema = "kind string, part int, row long, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
