@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import table, written
+from feedback_engine.llm.common import small_batches, table, written
 from feedback_engine.llm.tokens import vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -135,7 +135,7 @@ class Vocabulary:
     def neighbours(self, a: str, b: str) -> bool:
         """Whether BPE leaves a and b side by side."""
         if (a, b) not in self.fits:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             self.fits[a, b] = self._neighbours(a, b)
         return self.fits[a, b]
@@ -472,6 +472,7 @@ def _batch(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.Record
 
 def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     path = path or vocabulary(MODEL)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     longest = encoder(path).v.longest
