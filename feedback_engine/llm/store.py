@@ -4,8 +4,8 @@ A rolling hash over a window of ids cuts each document's id stream where its
 content says so; a chunk is stored once, under its digest, whatever documents
 hold it. Files (parquet, in one folder):
 
-  chunks/   digest (blake2b-128 of the ids as little-endian uint32), width (bytes
-            an id takes), payload: every distinct chunk once
+  chunks/   digest (blake2b-128 of width and payload), width (bytes an id takes:
+            2 if all of the chunk fit, else 4), payload: every distinct chunk once
   recipes/  kind=doc: part, row, doc_id, start (within the part), n_tokens, the
             digests in order, root; parts and rows in ascending doc_id order
             kind=part: for each part its number of ids and the Merkle root of
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedback_engine.llm import tokens
-from feedback_engine.llm.common import dropped, new_folder, small_batches, table, written
+from feedback_engine.llm.common import dropped, new_folder, small_batches, table
 
 LEAST, MEAN_BITS, MOST, WINDOW = 128, 9, 4096, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -47,9 +47,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     if n > LEAST:
         own = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
         own ^= own >> np.uint64(29)
-        rolled = own.copy()
-        for k in range(1, WINDOW):
-            rolled[k:] += own[:-k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
+        rolled, k = own, 1
+        while k < WINDOW:  # sums over k ids become sums over 2 k
+            wider = rolled.copy()
+            wider[k:] += rolled[:-k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
+            rolled, k = wider, 2 * k
         at = 0
         for i in np.flatnonzero((rolled * _MULTIPLIER) >> np.uint64(64 - MEAN_BITS) == 0).tolist():
             while i + 1 - at > MOST:
@@ -68,6 +70,10 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def chunk_digest(width: int, payload: bytes) -> bytes:
+    return digest(bytes([width]) + payload)
+
+
 class Merkle:
     """Root of a sequence of leaves, with a stack as high as the tree."""
 
@@ -122,11 +128,11 @@ def crc_joined(first: int, second: int, n: int) -> int:
 
 
 def chunked(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Rows of two kinds: documents (doc_id, n_tokens, digests) and chunks (digest, width, payload), each once per task."""
+    """Rows of two kinds: documents (doc_id, n_tokens, digests, root) and chunks (digest, width, payload), each once per task."""
     small_batches(docs.sparkSession)
     path = path or tokens.vocabulary()
-    schema = "doc_id long, n_tokens long, digests array<binary>, digest binary, width int, payload binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("digest", pa.binary()), ("width", pa.int32()), ("payload", pa.binary())])
+    schema = "doc_id long, n_tokens long, digests array<binary>, root binary, digest binary, width int, payload binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("root", pa.binary()), ("digest", pa.binary()), ("width", pa.int32()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = tokens.encoder(path), set()
@@ -136,19 +142,21 @@ def chunked(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     data = tokens.document_bytes(text.as_py(), encode)
                     ids, at, digests = np.frombuffer(data, "<u4"), 0, []
+                    small = int(ids.max()) < 1 << 16
+                    short = ids.astype("<u2").tobytes() if small else b""
                     for end in cuts(ids):
-                        key = digest(data[4 * at : 4 * end])
+                        width = 2 if small or int(ids[at:end].max()) < 1 << 16 else 4
+                        payload = short[2 * at : 2 * end] if small else ids[at:end].astype(f"<u{width}").tobytes()
+                        key = chunk_digest(width, payload)
                         digests.append(key)
                         if key not in seen:
                             if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(key)
-                            chunk = ids[at:end]
-                            width = 2 if int(chunk.max()) < 1 << 16 else 4
-                            rows.append((None, None, None, key, width, chunk.astype(f"<u{width}").tobytes()))
+                            rows.append((None, None, None, None, key, width, payload))
                         at = end
-                    rows.append((doc_id, len(ids), digests, None, None, None))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
+                    rows.append((doc_id, len(ids), digests, merkle_root(digests), None, None, None))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -157,7 +165,8 @@ def chunked(docs: DataFrame, path: str | None = None) -> DataFrame:
 def write_store(docs: DataFrame, folder: str, path: str | None = None, part_docs: int = 20_000) -> None:
     """Encode docs (doc_id, text) into the files of folder."""
     spark = docs.sparkSession
-    staged = written(chunked(docs, path), "", f"{folder}/staged")
+    chunked(docs, path).write.option("compression", "snappy").parquet(f"{folder}/staged")  # read once more, then dropped
+    staged = spark.read.parquet(f"{folder}/staged")
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -171,7 +180,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, part_docs
     # Copies within a task are gone already, so rows are dealt by digest as they are; a task remembers its own digests.
     dealt = staged.filter("digest is not null").select("digest", "width", "payload").repartition(F.col("digest"))
     dealt.mapInArrow(unique, "digest binary, width int, payload binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    recipes = staged.filter("digests is not null").select("doc_id", "n_tokens", "digests")
+    recipes = staged.filter("digests is not null").select("doc_id", "n_tokens", "digests", "root")
     parts = max(1, math.ceil(recipes.count() / part_docs))
     schema = "kind string, part int, row long, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
     arrow = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("root", pa.binary())])
@@ -179,14 +188,14 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, part_docs
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, start, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
         for batch in batches:
-            rows = []
-            for doc_id, n, digests in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                root = merkle_root(digests)
-                tree.add(root)
-                rows.append(("doc", part, row, doc_id, start, n, digests, root))
-                row, start = row + 1, start + n
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+            sizes, roots = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            for x in roots:
+                tree.add(x)
+            starts = start + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            n, start = len(sizes), int(starts[-1])
+            ours = [pa.array(["doc"] * n), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(starts[:-1], pa.int64()), batch.column(1), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(ours, arrow, strict=True)], schema=arrow)
+            row += n
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(("part", part, row, None, None, start, None, tree.root()), arrow, strict=True)], schema=arrow)
 
     order = [F.asc_nulls_first("doc_id"), F.asc("digests")]
@@ -202,9 +211,9 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for key, width, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()
-                if digest(data) != key:
+                if chunk_digest(width, payload) != key:
                     raise ValueError(f"chunk {key.hex()} does not match its digest")
+                data = np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()
                 out.append((key, len(data) // 4, zlib.crc32(data)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, arrow, strict=True)], schema=arrow)
 
@@ -220,26 +229,17 @@ def recipes_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def verified(spark: SparkSession, folder: str) -> None:
-    """Raise if a document's root is not that of its digests, or a part's not that of its documents."""
+    """Raise if a part's root is not that of its documents' roots; these are checked where recipes are read."""
     docs, parts = recipes_of(spark, folder)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tree, n = None, Merkle(), 0
         for batch in batches:
-            for p, digests, root in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if part is not None and p != part:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "n", "seen"])
-                    tree, n = Merkle(), 0
-                if merkle_root(digests) != root:
-                    raise ValueError("a recipe does not match its root")
-                tree.add(root)
-                part, n = p, n + 1
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "n", "seen"])
-
-    n = max(1, parts.count())
-    seen = docs.select("part", "digests", "root", "row").repartition(n, "part").sortWithinPartitions("part", "row").select("part", "digests", "root").mapInArrow(check, "part int, n long, seen binary")
-    wrong = parts.join(seen, "part", "left").filter("n_docs > 0 and not (n <=> n_docs and seen <=> root)")
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([len(r) for _, r in rows], pa.int64()), pa.array([merkle_root(r) for _, r in rows], pa.binary())], names=["part", "n", "seen"])
+
+    # A part has part_docs documents, so its roots are few.
+    roots = docs.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row", "root"))).alias("r")).select("part", F.col("r.root").alias("roots"))
+    wrong = parts.join(roots.mapInArrow(check, "part int, n long, seen binary"), "part", "left").filter("n_docs > 0 and not (n <=> n_docs and seen <=> root)")
     if wrong.count():
         raise ValueError("a part does not match its root")
 
@@ -248,27 +248,37 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     docs, parts = recipes_of(spark, folder)
     before = parts.select("part", (F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("part_tokens")).alias("before"))  # a row for each part
-    uses = docs.select("part", "row", F.posexplode("digests").alias("pos", "digest"))
-    found = uses.join(read_chunks(spark, folder), "digest", "left").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("chunks"))
+    use = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("pos", pa.int32()), ("digest", pa.binary())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for part, row, digests, root in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if merkle_root(digests) != root:
+                    raise ValueError("a recipe does not match its root")
+                out += [(part, row, i, d) for i, d in enumerate(digests)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, use, strict=True)], schema=use)
+
+    uses = docs.select("part", "row", "digests", "root").mapInArrow(spread, "part int, row long, pos int, digest binary")
+    found = uses.join(read_chunks(spark, folder), "digest", "left").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("c"))
     numbered = docs.drop("digests", "root").join(found, ["part", "row"], "left").join(F.broadcast(before), "part", "left")
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, start, n, chunks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                total, crc = 0, 0
-                for c in chunks:
-                    if c["n"] is None:
-                        raise ValueError("a chunk is missing")
-                    crc = crc_joined(crc, c["crc"], 4 * c["n"]) if total else c["crc"]
-                    total += c["n"]
-                if total != n:
+            for doc_id, start, n, sizes, sums in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if None in sizes:
+                    raise ValueError("a chunk is missing")
+                crc = sums[0]
+                for size, x in zip(sizes[1:], sums[1:], strict=True):
+                    crc = crc_joined(crc, x, 4 * size)
+                if sum(sizes) != n:
                     raise ValueError("a document's chunks do not make up its length")
                 out.append((doc_id, start, n, crc))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, arrow, strict=True)], schema=arrow)
 
-    rows = numbered.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "chunks")
+    rows = numbered.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", F.col("c.n").alias("sizes"), F.col("c.crc").alias("sums"))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -20,7 +20,7 @@ END_ID = 1
 #: Split patterns known not to match across white space.
 WORD_PATTERNS = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 #: Words held in each of the two generations of a worker's cache.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 700_000
 _made: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -45,6 +45,9 @@ SIMPLE = re.compile(r"[!-~\u00c0-\u00ff]{1,64}")
 WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def byte_letters() -> dict[int, int]:
     """The printable character that byte-level tokenizers write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -59,15 +62,13 @@ class Words(dict):
         super().__init__({"": b""})
         self.tokenizer, self.bpe, self.most, self.old = tokenizer, tokenizer.model.tokenize, most, {}
         self.special, self.letters = special, byte_letters()
-        self.miss = self.encode
+        self.miss, self.simple = self.encode, False
         self.four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size() + 1)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, word: str) -> bytes:
-        if word[-1] in ".,;" and word[:-1].isalpha() and word.isascii():
-            return self[word[:-1]] + self[word[-1]]
         if not SIMPLE.fullmatch(word) or "<" in word and any(x in word for x in self.special):
             return self.whole(word)
         parts = WORD_PARTS.findall(word.lower())
@@ -81,11 +82,10 @@ class Words(dict):
         return b"".join([four[t.id] for t in self.bpe(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
 
     def latin(self, word: str) -> bytes:
-        """encode() of a word of a lower-case Latin-1 text."""
-        if word.isalpha():
-            return self.plain(word)
-        if word[-1] in ".,;" and word[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1]]
+        """encode() of a word of a lower-case Latin-1 text without special tokens."""
+        core = word.rstrip(PUNCTUATION)
+        if core.isalpha():  # letters are one part, and what follows them another
+            return self.plain(core) if core == word else self[core] + self[word[len(core) :]]
         return self.encode(word)
 
     def text(self, text: str) -> bytes:
@@ -94,17 +94,21 @@ class Words(dict):
             try:  # Lower case of these letters is the same in and out of context, and hits the cache more often.
                 text.encode("latin-1")
                 text = text.lower()
-                self.miss = self.latin
+                self.miss, self.simple = self.latin, True
             except UnicodeEncodeError:
-                self.miss = self.encode
+                self.miss, self.simple = self.encode, False
         else:
-            self.miss = self.encode
+            self.miss, self.simple = self.encode, False
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
-            out = self.miss(word)
+            if self.simple and word.isascii() and word.isalpha():
+                four = self.four
+                out = b"".join([four[t.id] for t in self.bpe(word)])
+            else:
+                out = self.miss(word)
             if len(word) > 64:
                 return out
         if len(self) >= self.most:
