@@ -37,35 +37,43 @@ from pyspark.sql import functions as F
 from feedback_engine.llm import tokens
 from feedback_engine.llm.common import dropped, new_folder, small_batches, table
 
+#: WINDOW is a power of two and below LEAST.
 LEAST, MEAN_BITS, MOST, WINDOW = 128, 9, 4096, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n, out = len(ids), []
-    if n > LEAST:
-        own = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
-        own ^= own >> np.uint64(29)
-        rolled, k = own, 1
-        while k < WINDOW:  # sums over k ids become sums over 2 k
-            wider = rolled.copy()
-            wider[k:] += rolled[:-k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
-            rolled, k = wider, 2 * k
-        at = 0
-        for i in np.flatnonzero((rolled * _MULTIPLIER) >> np.uint64(64 - MEAN_BITS) == 0).tolist():
-            while i + 1 - at > MOST:
-                at += MOST
-                out.append(at)
-            if i + 1 - at >= LEAST and i + 1 < n:
-                at = i + 1
-                out.append(at)
-        while n - at > MOST:
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Places of an id stream after which the ids of the window before allow a cut."""
+    own = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
+    own ^= own >> np.uint64(29)
+    rolled, k = own, 1
+    while k < WINDOW:  # sums over k ids become sums over 2 k
+        wider = rolled.copy()
+        wider[k:] += rolled[:-k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
+        rolled, k = wider, 2 * k
+    return np.flatnonzero((rolled * _MULTIPLIER) >> np.uint64(64 - MEAN_BITS) == 0)
+
+
+def ends(allowed: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids, none shorter than LEAST (but the last) or longer than MOST."""
+    out, at = [], 0
+    for i in allowed:
+        while i + 1 - at > MOST:
             at += MOST
             out.append(at)
+        if i + 1 - at >= LEAST and i + 1 < n:
+            at = i + 1
+            out.append(at)
+    while n - at > MOST:
+        at += MOST
+        out.append(at)
     return [*out, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    return ends(candidates(ids).tolist(), len(ids))
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -139,12 +147,18 @@ def chunked(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(low, 500), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    data = tokens.document_bytes(text.as_py(), encode)
-                    ids, at, digests = np.frombuffer(data, "<u4"), 0, []
-                    small = int(ids.max()) < 1 << 16
-                    short = ids.astype("<u2").tobytes() if small else b""
-                    for end in cuts(ids):
+                data = [tokens.document_bytes(t, encode) for t in part.column(1).to_pylist()]
+                # Documents are cut together: a window over two of them ends before either may be cut.
+                ids, starts = np.frombuffer(b"".join(data), "<u4"), np.concatenate(([0], np.cumsum([len(d) // 4 for d in data], dtype=np.int64)))
+                places = candidates(ids)
+                first, places, starts = np.searchsorted(places, starts).tolist(), places.tolist(), starts.tolist()
+                small = int(ids.max()) < 1 << 16
+                short = ids.astype("<u2").tobytes() if small else b""
+                for j, doc_id in enumerate(part.column(0).to_pylist()):
+                    start, n = starts[j], starts[j + 1] - starts[j]
+                    at, digests = start, []
+                    for end in ends([p - start for p in places[first[j] : first[j + 1]]], n):
+                        end += start
                         width = 2 if small or int(ids[at:end].max()) < 1 << 16 else 4
                         payload = short[2 * at : 2 * end] if small else ids[at:end].astype(f"<u{width}").tobytes()
                         key = chunk_digest(width, payload)
@@ -155,7 +169,7 @@ def chunked(docs: DataFrame, path: str | None = None) -> DataFrame:
                             seen.add(key)
                             rows.append((None, None, None, None, key, width, payload))
                         at = end
-                    rows.append((doc_id, len(ids), digests, merkle_root(digests), None, None, None))
+                    rows.append((doc_id, n, digests, merkle_root(digests), None, None, None))
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
