@@ -10,9 +10,11 @@ split by the next n-gram of the path. The runs are repeated until a pair at the
 threshold is missed with a probability below 1 - recall.
 
 Buckets compare minhash sketches against leaders, so a group of m near copies
-gives about m candidate links, not m * m. Candidate links form components, and
-in these every pair is checked exactly by its sets, in blocks of bounded size;
-pairs are counted where they are checked and never emitted.
+gives about m candidate links, not m * m. A sketch of a small set says too little,
+so small sets are compared by short fingerprints of all their n-grams instead.
+Candidate links form components, and in these every pair is checked exactly by
+its sets, in blocks of bounded size; pairs are counted where they are checked and
+never emitted.
 
 Result: a row for each document with its class (smallest id of the documents
 connected to it by links) and its number of links (documents, copies included).
@@ -38,6 +40,7 @@ from feedback_engine.llm.common import dropped, folder_of, small_batches, table,
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 GROWTH = (2.0, 1.5, 1.5)  # expected branches at each level
 SKETCH = 64
+FEW = 64  # n-grams about which sets are compared by fingerprints, by sketches, or by both
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
@@ -102,6 +105,13 @@ def sketch(own: np.ndarray) -> bytes:
     return _mixed(least[source] + (np.arange(SKETCH) != source).astype(np.uint64) * np.uint64(77)).astype(np.uint8).tobytes()
 
 
+def outline(own: np.ndarray, jaccard: float) -> bytes:
+    """What buckets compare: 1 and 16-bit fingerprints of a small set, 2 and the sketch of a large one, 3 and both between; similar sets have one in common."""
+    few, many = len(own) <= FEW / jaccard, len(own) >= FEW * jaccard
+    prints = np.unique(np.maximum(_mixed(own ^ _SEEDS[254]) >> np.uint64(48), np.uint64(1))).astype(np.uint16).tobytes() if few else b""
+    return bytes([few + 2 * many]) + (sketch(own) if many else b"") + prints
+
+
 def paths(own: np.ndarray, runs: int) -> list[tuple[int, int, int]]:
     """The leaves of a set's trees as their paths' hashes at each level; 0 where a path has ended."""
     n, nodes = len(own), _SEEDS[:runs]
@@ -151,7 +161,7 @@ def trees(own: np.ndarray, runs: int) -> list[dict]:
     return [{"p1": a, "kids": [{"p2": b, "p3s": c} for b, c in kids.items()]} for a, kids in out.items()]
 
 
-def members(docs: DataFrame, runs: int, width: int) -> DataFrame:
+def members(docs: DataFrame, runs: int, width: int, jaccard: float) -> DataFrame:
     """doc_id, h, c1, c2 (its class), n, sketch, trees for docs (doc_id, text, h); the last two once per class and task."""
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("trees", _TREES)])
 
@@ -169,19 +179,26 @@ def members(docs: DataFrame, runs: int, width: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(c)
-                    rows.append((doc_id, h, *c, len(own), sketch(own), trees(own, runs)))
+                    rows.append((doc_id, h, *c, len(own), outline(own, jaccard), trees(own, runs)))
                 yield _batch(rows, schema)
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id long, h long, c1 long, c2 long, n int, sketch binary, trees {TREES}")
 
 
-def leader_links(ids: list[int], rows: np.ndarray, same: float, near: float) -> list[tuple[int, int]]:
+def leader_links(ids: list[int], rows: list[bytes], same: float, near: float, near_few: float) -> list[tuple[int, int]]:
     """Links that connect what a bucket holds in common: fewer than it has members.
 
-    A member is compared with the leaders; if its sketch is the same as none, it
-    becomes one. A link is made where it connects two parts not yet connected.
+    A member is compared with the leaders by what both outlines have; if it is not
+    the same as one in all that its own has, it becomes one. A link is made where it
+    connects two parts not yet connected.
     """
-    leaders, table_, out = [], np.empty_like(rows), []
+    few, many = [r[0] & 1 > 0 for r in rows], np.array([r[0] & 2 > 0 for r in rows])
+    prints = [np.frombuffer(r, np.uint16, offset=1 + SKETCH * int(m)) if f else np.zeros(0, np.uint16) for r, f, m in zip(rows, few, many, strict=True)]
+    # Of the leaders: sketches, fingerprints filled up with 0, which none has, and how many.
+    sketches, has = np.zeros((len(rows), SKETCH), np.uint8), np.zeros(len(rows), bool)
+    table_, size = np.zeros((len(rows), max(map(len, prints))), np.uint16), np.zeros(len(rows), np.int64)
+    flags = np.zeros(1 << 16, bool) if any(few) else None
+    leaders, out = [], []
     root = list(range(len(ids)))
 
     def top(i: int) -> int:
@@ -191,16 +208,29 @@ def leader_links(ids: list[int], rows: np.ndarray, same: float, near: float) ->
         return i
 
     for i in range(len(ids)):
+        at = len(leaders)
+        own = np.frombuffer(rows[i], np.uint8, SKETCH, 1) if many[i] else None
         if leaders:
-            share = (table_[: len(leaders)] == rows[i]).mean(1)
-            for j in np.flatnonzero(share >= near).tolist():
+            close, equal = np.zeros(at, bool), np.ones(at, bool)
+            if many[i]:
+                share = (sketches[:at] == own).mean(1) * has[:at]
+                close, equal = share >= near, share >= same
+            if few[i]:
+                flags[prints[i]] = True
+                inter = flags[table_[:at]].sum(1)
+                flags[prints[i]] = False
+                share = inter / (size[:at] + len(prints[i]) - inter)
+                close, equal = close | (share >= near_few), equal & (share >= same)
+            for j in np.flatnonzero(close).tolist():
                 a, b = top(i), top(leaders[j])
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     out.append((ids[i], ids[leaders[j]]))
-            if share.max() >= same:
+            if equal.any():
                 continue
-        table_[len(leaders)] = rows[i]
+        if many[i]:
+            sketches[at], has[at] = own, True
+        table_[at, : len(prints[i])], size[at] = prints[i], len(prints[i])
         leaders.append(i)
     return out
 
@@ -220,12 +250,13 @@ def candidate_links(classes: DataFrame, bucket: int, jaccard: float) -> DataFram
     # A pair at the threshold and a leader that is `same` as one of it are this far apart at most.
     error = 3 * math.sqrt(0.25 / SKETCH)
     same, near = 0.9, max(0.05, 1 - (1 - jaccard) - (1 - 0.9 + error / 3) - error)
+    near_few = max(0.05, jaccard - (1 - same) - 0.02)  # fingerprints are exact but for rare equal ones
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, rows = None, [], []
 
         def done() -> list[tuple[int, int]]:
-            return leader_links(ids, np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), SKETCH), same, near) if len(ids) > 1 else []
+            return leader_links(ids, rows, same, near, near_few) if len(ids) > 1 else []
 
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -360,7 +391,7 @@ def joined(docs: DataFrame, recall: float = 0.999, width: int = WIDTH, ratio: tu
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = written(members(docs, runs_for(recall, ratio[0] / ratio[1]), width), "members")
+    rows = written(members(docs, runs_for(recall, ratio[0] / ratio[1]), width, ratio[0] / ratio[1]), "members")
     some = rows.filter("n > 0")
     # One row for each class; copies combine before they travel.
     classes = some.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("trees", ignorenulls=True).alias("trees"), F.min(F.struct("doc_id", "h")).alias("one"))

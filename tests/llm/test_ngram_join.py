@@ -55,3 +55,25 @@ def test_components(spark):
 
 def test_runs_grow_with_recall():
     assert n.runs_for(0.9) < n.runs_for(0.999) < n.runs_for(0.999999)
+
+
+def test_short_near_copies(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(9, 20) if i % 10 else rng.randint(45, 95))]
+        rows += [(3 * i, base), (3 * i + 1, base[:-1]), (3 * i + 2, [*base[:-1], "other"])]
+    grams = {d: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for d, w in rows}
+    links = {d: [o for o in range(d - d % 3, d - d % 3 + 3) if o != d and 5 * len(grams[d] & grams[o]) >= 4 * len(grams[d] | grams[o])] for d in grams}
+    want = {d: (min([d, *x, *(y for o in x for y in links[o])]), len(x)) for d, x in links.items()}
+    got = n.joined(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
+
+
+@pytest.mark.parametrize("size", [5, 50, 64, 77, 81, 200])
+def test_outlines_of_similar_sets_meet(size):
+    rng = n.np.random.default_rng(size)
+    for _ in range(300):
+        a = rng.integers(1, 1 << 63, size).astype(n.np.uint64)
+        sets = [a, a[: -(-size * 4 // 5)]]
+        assert n.leader_links([0, 1], [n.outline(x, 0.8) for x in sets], 0.9, 0.45, 0.68) == [(1, 0)]
