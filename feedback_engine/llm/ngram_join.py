@@ -56,8 +56,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def runs_for(recall: float, jaccard: float = NUMERATOR / DENOMINATOR) -> int:
-    """Runs after which a pair at the threshold has met in a deepest bucket with this probability."""
-    alive, shared = 1.0, 2 * jaccard / (1 + jaccard)
+    """Runs after which a pair at the threshold, of whatever sizes, has met in a deepest bucket with this probability."""
+    # A branch is one of both sets if its n-gram is below growth / the larger size; the fewest are, jaccard of them, where one set holds the other.
+    alive, shared = 1.0, jaccard
     for growth in reversed(GROWTH):
         alive = 1 - math.exp(-growth * shared * alive)
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))

@@ -77,3 +77,11 @@ def test_outlines_of_similar_sets_meet(size):
         a = rng.integers(1, 1 << 63, size).astype(n.np.uint64)
         sets = [a, a[: -(-size * 4 // 5)]]
         assert n.leader_links([0, 1], [n.outline(x, 0.8) for x in sets], 0.9, 0.45, 0.68) == [(1, 0)]
+
+
+def test_runs_hold_for_a_set_within_another():
+    alive = 1.0
+    for growth in reversed(n.GROWTH):
+        alive = 1 - n.math.exp(-growth * 0.8 * alive)
+    for recall in (0.9, 0.99, 0.999, 0.9999):
+        assert (1 - alive) ** n.runs_for(recall) <= 1 - recall
