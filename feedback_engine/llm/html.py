@@ -27,6 +27,8 @@ from feedback_engine.llm.common import small_batches, table
 
 #: Elements whose content is no text at all.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas", "audio", "video")
+#: Those of them that only their end tag ends, so an unclosed one reaches to the end of the page.
+RAW_TEXT = {"script", "style", "iframe", "title", "textarea"}
 #: Elements around boilerplate.
 FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Elements that start and end a block.
@@ -72,6 +74,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
     stack: list[tuple[str, bool]] = []  # open elements and whether they mark boilerplate
     frames = articles = links = 0
     tag, at, n = "", 0, len(page)
+    hidden = ""  # unclosed element of RAW whose content goes on to the next block
 
     def end_block() -> None:
         nonlocal parts, linked
@@ -92,9 +95,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            if not hidden:
+                parts.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not hidden:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
@@ -104,7 +108,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
         if name in BLOCKS:
             end_block()
             tag = "" if closing else name
+            hidden = ""
         if closing:
+            hidden = "" if name == hidden else hidden
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     close(i)
@@ -113,9 +119,19 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
                     break
             continue
         if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if end is not None or name != "head":
-                at = end.end() if end else n
+            if name in RAW_TEXT or name in ("head", "template"):
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            else:  # the end tag of another such element further on is not its own
+                end = re.compile(rf"<(?:/{name}\s*>|{name}(?=[\s/>]))", re.I).search(page, at)
+                end = end if end and end[0][1] == "/" else None
+            if end is not None:
+                at = end.end()
+                continue
+            if name in RAW_TEXT:
+                at = n
+                continue
+            if name != "head":
+                hidden = hidden or name
                 continue
         if name in VOID or m[3].endswith("/"):
             continue

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from feedback_engine.llm import html, topk
 
@@ -28,6 +29,16 @@ def test_marks():
     assert html.main_text(page(body)) == " ".join(["Title of it", long.strip(), "A caption.", "See the source of it."])
 
 
+@pytest.mark.parametrize("name", ["button", "svg", "math", "select", "object", "template"])
+def test_unclosed_element_without_text(name):
+    long = "It was the text of the page and there is more of it. " * 5
+    for later in ("", f"<p>Then <{name}>no</{name}>some.</p>" if name != "template" else ""):
+        got = html.main_text(page(f"<article><p>{long}<{name} class='x'>no</p><p>{long}</p>{later}</article>"))
+        assert got == " ".join([long.strip(), long.strip(), *["Then some."] * bool(later)])
+    assert html.main_text(f"<article><p>{long}</p><script>no <p>{long}") == long.strip()
+    assert html.main_text(f"<article><p>{long}<svg><svg>no</svg>no</svg>{long}</p>") == long + long.strip()
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>unclosed <b>the text"), (4, "u", "no markup at all"), (4, "u", "no markup at all"), (5, "u", "<<<>>&bogus; &#x41;&#66; <p"), (None, "u", "<script>only"), (6, "u", page("<article></article>"))]
     df = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, text string, n_chars long")
