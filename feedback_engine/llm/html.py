@@ -4,7 +4,8 @@ Pass 1 decides a block by structure (menus, headers, footers, forms and the like
 are out), link density, length and stop-word density; short blocks that neither
 rule decides stay ambiguous. Pass 2 gives an ambiguous block the label of its
 nearest decided neighbours: if they differ, an article or main element around it
-or else the nearer one decides.
+or else the nearer one decides. On a page without an article and with hardly a
+known stop word, density says nothing: length and links decide.
 
 Pages are independent rows, so this is one scan without a shuffle.
 
@@ -149,16 +150,22 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
 def classify(found: list[tuple[str, int, bool, bool, str]], short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.22, links: float = 0.33) -> list[bool]:
     """For each block, whether it is main text."""
     first: list[bool | None] = []
-    for text, linked, framed, inside, tag in found:
+    stops = []  # stop words and words of each block
+    for text, *_ in found:
         words = WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+        stops.append((sum(w in STOP_WORDS for w in words), len(words)))
+    free = [x for x, f in zip(stops, found, strict=True) if not f[2]]
+    # Without an article, and below what a block of prose has on the whole page, its language is not one of those in hand.
+    foreign = not any(f[3] for f in found) and sum(x[0] for x in free) < low * sum(x[1] for x in free)
+    for (text, linked, framed, inside, tag), (n_stops, n_words) in zip(found, stops, strict=True):
+        density = n_stops / max(n_words, 1)
         if framed:
             first.append(False)
         elif linked > links * len(text) and (not inside or tag == "li" and linked > 0.8 * len(text)):
             first.append(False)
         elif len(text) < short:
             first.append(None)
-        elif density >= high or inside and len(text) >= long:
+        elif density >= high or inside and len(text) >= long or foreign:
             first.append(True)
         elif density < low and not inside and len(text) < long:
             first.append(False)

@@ -23,6 +23,12 @@ def test_without_an_article():
     assert got == " ".join([long.strip(), "And so on.", long.strip()])
 
 
+def test_language_without_stop_words():
+    middle = "Suomenkielinen kappale kertoo kaupungista, jossa asukkaat rakentavat uusia taloja ja puistoja."
+    linked = f'<div><a href="/x">{middle}</a></div>'
+    assert html.main_text(page(f"<div><p>{middle}</p><p>{middle * 3}</p></div>{linked}<aside>{middle}</aside>")) == f"{middle} {middle * 3}"
+
+
 def test_marks():
     long = "The story of the man and the sea is that he went to it and was with it for all the days of his life. " * 3
     body = f'<div class="layout has-sidebar"><header class="top"><h1>Site</h1></header><div class="sidebar">{long}</div><article><header class="entry-header"><h1>Title of it</h1></header><p>{long}</p><figure><figcaption>A caption.</figcaption></figure><p>See <a href="/s">the source of it</a>.</p><ul><li><a href="/r">Related thing</a></li></ul><div class="share-buttons">Share it</div></article><article class="comment"><p>{long}</p></article><div style="display: none">{long}</div></div>'
