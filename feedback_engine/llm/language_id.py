@@ -170,8 +170,10 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[
 
 
 def known_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those whose language is rejected, with their columns; learned from their own text and lang."""
+    """docs without those whose language is rejected, with their columns; learned from their own text and lang. If nothing can be learned, no distance is known, and only texts without a letter go."""
     model = learned(docs.filter(fold(F.col("doc_id"), 3) != 1), F.col(text_col), F.col(lang_col))
+    if not model.languages:
+        return docs.filter(F.col(f"`{text_col}`").cast("string").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # LETTER
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     return predicted(rows, model, keep=["row"]).filter("not _l.rejected").select("row.*")
 

@@ -43,6 +43,11 @@ def test_language_of_odd_rows(spark, corpus, odd_docs):
     assert language_id.known_languages(odd_docs.limit(0)).count() == 0
 
 
+def test_nothing_learned_keeps_documents(spark):
+    rows = spark.createDataFrame([(1, "a text", None), (2, "漢字", None), (3, "12 %", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_id.known_languages(rows).collect()) == [1, 2]
+
+
 def test_long_text_is_counted_in_blocks(monkeypatch):
     text = "the quick brown für étés " * 400
     whole = language_id.counts(text)
