@@ -124,10 +124,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = 3, roun
 
 
 def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800, languages: int = 1000) -> Model:
-    """Fit on about per_lang rows of docs (with doc_id) of each language at most; of more than `languages` values of lang, on the most frequent."""
+    """Fit on about per_lang rows of docs (with doc_id) of each language at most. More than `languages` values of lang are an error: their centroids would not fit the driver, and none is left out in silence."""
     rows = docs.select(F.col("doc_id"), text.cast("string").alias("text"), lang.cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
-    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    shares = {r["lang"]: per_lang / r["n"] for r in frequent.collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1)
+    shares = {r["lang"]: per_lang / r["n"] for r in sizes.collect()}
+    if len(shares) > languages:
+        raise ValueError(f"lang has more than {languages} values; merge them (regional tags, dirty labels) or give a larger `languages`")
     if not shares:
         return fit([])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))

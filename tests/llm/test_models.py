@@ -48,6 +48,12 @@ def test_nothing_learned_keeps_documents(spark):
     assert sorted(r["doc_id"] for r in language_id.known_languages(rows).collect()) == [1, 2]
 
 
+def test_no_language_is_left_out(spark, corpus):
+    assert language_id.learned(corpus, corpus["text"], corpus["lang"], languages=3).languages == ["de", "en", "fr"]
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.learned(corpus, corpus["text"], corpus["lang"], languages=2)
+
+
 def test_long_text_is_counted_in_blocks(monkeypatch):
     text = "the quick brown für étés " * 400
     whole = language_id.counts(text)
