@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Remove written tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in filter(None, paths):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 
@@ -61,6 +61,26 @@ def folder_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""
 
 
+HEAVY = 1024
+
+
+def met(big: DataFrame, small: DataFrame, on: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined (inner or left) with small on the columns `on`, of which small has each value once, and in its column n how many of big's `total` rows have it.
+
+    Values with more than 1 / HEAVY of the rows, so fewer than HEAVY of them, are dealt into parts of about that size: rows by their other
+    columns' hash, small's row once for each part. The list of these values is broadcast; its bound holds whatever the tables.
+    """
+    on = [on] if isinstance(on, str) else on
+    share = max(total // HEAVY, 1000)
+    parts = F.ceil(F.col(n) / share).cast("int")
+    heavy = small.filter(F.col(n) > share).select(*on, parts.alias("_parts"))
+    others = [c for c in big.columns if c not in on]
+    part = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = big.join(F.broadcast(heavy), on, "left").withColumn("_part", part).drop("_parts")
+    copied = small.withColumn("_part", F.explode(F.when(F.col(n) > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))).drop(n)
+    return dealt.join(copied, [*on, "_part"], how).drop("_part")
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -17,11 +17,14 @@ positions are first narrowed without loss:
    out of very many different texts) are not gathered: blocks of their windows
    are counted by digest instead, which is as exact and spreads over all machines.
 
-Texts are shuffled once, to bring candidates to them, and contexts once.
+Texts are shuffled once, to bring candidates to them, and contexts once. A key
+that a large share of all rows has (a passage in a third of all documents) is
+dealt into parts, each of which meets what is known of the key.
 
 Defined cases: a null text is empty; texts shorter than `least` keep all bytes;
 repeated rows repeat each other; matches never cross documents; bytes are
-judged on the input; an empty table gives an empty result. Where the kept bytes
+judged on the input; an empty table gives an empty result; a null id stays null
+and is not -1. Where the kept bytes
 are used as text, what is left of a cut character goes.
 """
 
@@ -33,10 +36,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import dropped, folder_of, small_batches, table, written
+from feedback_engine.llm.common import dropped, folder_of, met, small_batches, table, written
 
 LEAST = 400
 GRAM = 48
@@ -206,18 +209,18 @@ RANGE = pa.list_(pa.int32())
 
 
 def _emit_anchors(least: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "key", "ctx", "lo", "stop")])
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "h", "key", "ctx", "lo", "stop")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 columns: list[list[int]] = [[], [], [], [], [], []]
-                for doc_id, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                for own, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     data = text.as_buffer().to_pybytes()
                     for key, _, first, last in anchors(data, least):
                         ctx = hashlib.blake2b(data[first : last + least], digest_size=8).digest()
-                        for column, x in zip(columns, (doc_id, h, key - (1 << 63), int.from_bytes(ctx, "little", signed=True), first, last + least), strict=True):
+                        for column, x in zip(columns, (own, h, key - (1 << 63), int.from_bytes(ctx, "little", signed=True), first, last + least), strict=True):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
@@ -225,21 +228,22 @@ def _emit_anchors(least: int):
 
 
 def spans(docs: DataFrame, least: int = LEAST, most: int = 256) -> tuple[DataFrame, DataFrame]:
-    """For docs (doc_id long, text string, h = xxhash64(text)): (held, marks).
+    """For docs (doc_id long, id long, h long, text string; see hashed()):
 
-    held: (doc_id, h, text, candidates), the rows that may have something to
-    remove. marks: (doc_id, h, spans), flat array of maximal runs [from, to) of
-    the bytes to remove. Null ids count as -1 in both; h tells texts apart.
+    held: (doc_id, id, h, text, candidates), the rows that may have something to
+    remove. marks: (id, h, spans), a written table with a flat array of maximal
+    runs [from, to) of the bytes to remove.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "h", "text")
-    every = written(docs.mapInArrow(_emit_anchors(least), "doc_id long, h long, key long, ctx long, lo long, stop long"), "anchors")
-    keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
+    docs = docs.select("doc_id", "id", "h", "text")
+    every = written(docs.select("id", "h", "text").mapInArrow(_emit_anchors(least), "id long, h long, key long, ctx long, lo long, stop long"), "anchors")
+    keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("n > 1").select("key", "n", (F.col("a") != F.col("b")).alias("mixed"))
+    keys = written(keys, "keys")
     # A row that occurs more than once has each anchor more than once; lists hold each once.
-    per_doc = every.join(keys, "key").groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "stop", "mixed", "key", "ctx")).alias("candidates"))
-    held = written(docs.join(per_doc, ["doc_id", "h"]), "candidates")
-    dropped(spark, *filter(None, [folder_of(every)]))
+    per_doc = met(every, keys, "key", "n", every.count()).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "stop", "mixed", "key", "ctx")).alias("candidates"))
+    held = written(docs.join(per_doc, ["id", "h"]), "candidates")
+    dropped(spark, folder_of(every), folder_of(keys))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [("key", pa.int64()), ("ctx", pa.int64()), ("starts", pa.int32()), ("bytes", pa.binary())]
@@ -251,8 +255,9 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 256) -> tuple[DataFra
     mixed = held.select("text", F.filter("candidates", lambda c: c["mixed"]).alias("c")).filter("size(c) > 0")
     # A context's digest stands for its bytes; copies count before they travel.
     contexts = written(mixed.mapInArrow(emit, "key long, ctx long, starts int, bytes binary").groupBy("key", "ctx").agg(F.first("starts").alias("starts"), F.first("bytes").alias("bytes"), F.count("*").alias("n")), "contexts")
-    sizes = contexts.groupBy("key").agg(F.count("*").alias("m"))
-    grouped = contexts.join(sizes, "key")
+    sizes = written(contexts.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("uses")), "sizes")
+    totals = sizes.agg(F.sum("m").alias("m"), F.sum("uses").alias("uses"), F.max("m").alias("most")).first()
+    grouped = met(contexts.select("key", "ctx", "starts", "bytes"), sizes.select("key", "m", F.col("m").alias("n")), "key", "n", totals["m"] or 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [("key", pa.int64()), ("ctx", pa.int64()), ("ranges", RANGE)]
@@ -276,17 +281,17 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 256) -> tuple[DataFra
 
     ranges = "key long, ctx long, ranges array<int>"
     few = grouped.filter(F.col("m") <= most).select("key", "ctx", "starts", "bytes")
-    by_array = few.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(scan, ranges)
-
-    many = grouped.filter(F.col("m") > most).select("key", "ctx", "starts", "bytes")
-    if sizes.filter(F.col("m") > most).limit(1).count():
-        by_array = by_array.unionByName(counted(written(many, "many"), least))
-    uses = held.select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", "c.*")
-    copied = contexts.filter("n > 1").select("key", "ctx", F.lit(True).alias("copied"))
-    whole = uses.filter("not mixed").select("doc_id", "h", F.array(F.col("lo"), F.col("stop")).alias("r"))
-    partly = uses.filter("mixed").join(by_array, ["key", "ctx"]).select("doc_id", "h", F.transform("ranges", lambda x: x + F.col("lo")).alias("r"))
-    again = uses.filter("mixed").join(copied, ["key", "ctx"], "left_semi").select("doc_id", "h", F.array(F.col("lo"), F.col("stop")).alias("r"))
-    marks = whole.unionByName(partly).unionByName(again).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    found = few.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(scan, ranges)
+    if (totals["most"] or 0) > most:
+        found = found.unionByName(counted(written(grouped.filter(F.col("m") > most).select("key", "ctx", "starts", "bytes"), "many"), least))
+    uses = held.select("id", "h", F.explode("candidates").alias("c")).select("id", "h", "c.*")
+    # What is known of a context: its own repeated ranges, and whether the whole of it is copied.
+    known = contexts.select("key", "ctx", "n").join(found, ["key", "ctx"], "left").filter("n > 1 or ranges is not null")
+    whole = uses.filter("not mixed").select("id", "h", F.array(F.col("lo"), F.col("stop")).alias("r"))
+    partly = met(uses.filter("mixed").select("key", "ctx", "id", "h", "lo", "stop"), known.withColumn("copied", F.col("n") > 1), ["key", "ctx"], "n", totals["uses"] or 0)
+    partly = partly.select("id", "h", F.when(F.col("copied"), F.array("lo", "stop")).otherwise(F.transform("ranges", lambda x: x + F.col("lo"))).alias("r"))
+    marks = written(whole.unionByName(partly).groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("spans")), "marks")
+    dropped(spark, folder_of(contexts), folder_of(sizes))
     return held, marks
 
 
@@ -322,9 +327,10 @@ def counted(many: DataFrame, least: int, blocks: tuple[int, ...] = (32, 4, 1)) -
     for k in blocks:
         rows = many.withColumn("todo", F.lit(None).cast("array<int>")) if todo is None else many.join(todo, ["key", "ctx"])
         made = written(rows.select("key", "ctx", "starts", "bytes", "todo").mapInArrow(level(k, upto), "key long, ctx long, block int, first int, last int, core binary, hull binary"), f"windows-{k}")
-        cores = made.groupBy("core").agg(F.count("*").alias("n"), F.min(F.xxhash64("hull")).alias("x"), F.max(F.xxhash64("hull")).alias("y")).filter("n > 1").select("core", (F.col("x") != F.col("y")).alias("mixed"))
-        hulls = made.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "ctx", "block")).alias("one")).filter("n > 1").select("hull", "one")
-        known = made.join(cores, "core").join(hulls, "hull", "left")
+        cores = made.groupBy("core").agg(F.count("*").alias("n"), F.min(F.xxhash64("hull")).alias("x"), F.max(F.xxhash64("hull")).alias("y")).filter("n > 1").select("core", "n", (F.col("x") != F.col("y")).alias("mixed"))
+        hulls = made.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("key", "ctx", "block")).alias("one")).filter("n > 1").select("hull", "n", "one")
+        total = made.count()
+        known = met(met(made, cores, "core", "n", total), hulls, "hull", "n", total, "left")
         # One block of each hull goes on with those that are left, which may equal a part of it.
         known = known.select("key", "ctx", "block", "first", "last", F.col("one").isNotNull().alias("all"), (F.col("one").isNull() | F.col("mixed") & (F.col("one") == F.struct("key", "ctx", "block"))).alias("on"))
         known = written(known, f"known-{k}")
@@ -336,10 +342,16 @@ def counted(many: DataFrame, least: int, blocks: tuple[int, ...] = (32, 4, 1)) -
     return out.groupBy("key", "ctx").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """id and h, which tell rows apart: the id or -1, and a hash of the text (another one where the id is null)."""
+    doc_id, text = doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit(""))
+    h = F.when(doc_id.isNull(), F.xxhash64(text, F.lit("no id"))).otherwise(F.xxhash64(text))
+    return F.coalesce(doc_id, F.lit(-1)).alias("id"), h.alias("h")
+
+
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (never null) and h."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    """doc_id, text (never null), id and h."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row_key(F.col("doc_id"), F.col("text")))
 
 
 def remaining(data: bytes, flat: list[int] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -355,9 +367,9 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the repeated bytes of their text removed (and n_chars, if there, brought up to date); the other columns stay."""
     _, marks = spans(hashed(docs), least)
     others = [c for c in docs.columns if c != "text"]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others])
-    own = docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"))
-    joined = own.join(marks, ["doc_id", "h"], "left").select("row", "spans", "text")
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), *row_key(F.col("doc_id"), F.col("text")))
+    joined = own.join(marks, ["id", "h"], "left").select("row", "spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +384,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated 400-byte strings."""
+    """What is left of every document without its repeated 400-byte strings (n_bytes is the whole input's length)."""
     docs = hashed(table(spark, sf_dir, "documents"))
     held, marks = spans(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -384,12 +396,10 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
             for doc_id, text, flat in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
                 kept, runs = remaining(data, flat)
-                rows.append((None if doc_id == -1 else doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             yield _batch(rows, types)
 
-    some = held.select("doc_id", "h", "text").join(marks, ["doc_id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    some = held.select("doc_id", "id", "h", "text").join(marks, ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
     # Texts without a candidate never leave the JVM; only their digests are joined.
-    known = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    rest = known.join(held.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
-    rest = rest.select(F.when(F.col("doc_id") != -1, F.col("doc_id")).alias("doc_id"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
-    return some.unionByName(rest)
+    known = docs.select("doc_id", "id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return some.unionByName(known.join(held.select("id", "h"), ["id", "h"], "left_anti").drop("id", "h"))

@@ -34,7 +34,7 @@ def texts():
 
 
 def test_against_brute_force(spark, texts, folder):
-    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1] + "x")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1] + "x"), (-1, texts[25]), (-1, "y" + texts[2]), (None, texts[25]), (None, None)]
     d = folder(documents=spark.createDataFrame(rows, "doc_id long, text string"))
     want = brute([(t or "").encode() for _, t in rows], r.LEAST)
     got = r.op4_repeated_substrings(spark, d).collect()
@@ -45,7 +45,7 @@ def test_counting_path_gives_the_same(spark, texts):
     docs = r.hashed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     held, marks = r.spans(docs, most=1)
     want = brute([(t or "").encode() for t in texts], r.LEAST)
-    for row in held.join(marks, ["doc_id", "h"], "left").collect():
+    for row in held.join(marks, ["id", "h"], "left").collect():
         kept, runs = r.remaining(row["text"].encode(), row["spans"])
         assert (len(runs), hashlib.sha256(kept).hexdigest()) == want[row["doc_id"]][2:]
 
@@ -66,3 +66,13 @@ def test_without_repeats(spark, odd_docs, texts):
     want = sorted((str(x["doc_id"]), "word " * 0 if x["doc_id"] == 7 else str(x["text"])) for x in odd_docs.collect())
     assert got == want
     assert r.without_repeats(odd_docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt(spark):
+    from feedback_engine.llm.common import met
+
+    big = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN 8 ELSE id END AS k", "id AS x")
+    small = big.groupBy("k").count().withColumnRenamed("count", "n").filter("k <> 8").selectExpr("k", "n", "k * 2 AS y")
+    total = big.count()
+    assert met(big, small, "k", "n", total).selectExpr("sum(y)", "count(*)", "count(distinct x)").first() == big.filter("k <> 8").selectExpr("sum(k * 2)", "count(*)", "count(distinct x)").first()
+    assert met(big, small, "k", "n", total, "left").selectExpr("count(*)", "count(y)").first() == (30_000, 19_999)  # 8 itself is in no row of small
