@@ -1,26 +1,39 @@
 """Main-text extraction from web pages by two-pass block rules.
 
-Pass 1 decides a block by structure (menus, headers, footers, forms and the like
-are out), link density, length and stop-word density; short blocks that neither
-rule decides stay ambiguous. Pass 2 gives an ambiguous block the label of its
-nearest decided neighbours: if they differ, an article or main element around it
-or else the nearer one decides. On a page without an article and with hardly a
-known stop word, density says nothing: length and links decide.
+Pass 1 looks at a block's stop-word density, length and link density and calls it
+main text, boilerplate, or leaves it open. Pass 2 gives an open block the label of
+its nearest decided neighbours in the same container (an article, a marked part,
+or what is around them); where they differ, main text wins in an article, else the
+nearer one, and a heading goes with what follows. Where a whole container is open,
+it decides itself: an article is kept, a page without one too.
 
-Pages are independent rows, so this is one scan without a shuffle.
+Structure is evidence beside that. What the elements nav, header, footer, aside,
+form and the like hold is out. Of the words in class, id and role, strong ones
+(comments, sidebar, advert) are out unless a page has no main text elsewhere; weak
+ones (widget, social) only ask for more: their blocks stay if they are dense and
+long by themselves. On a page with hardly a known stop word density says nothing:
+length and links decide.
+
+Pages are independent rows, so this is one scan without a shuffle. Tags are read
+by a scanner that is linear in the page's length whatever is unclosed in it.
 
 Defined cases: null or empty html gives empty text; unclosed and badly nested
-elements are closed by the block that follows; character references are decoded
-once, an unfinished one stays as it is; a repeated row gives a repeated result.
+elements are closed by the block that follows; an unclosed comment, script or tag
+hides the rest, as in browsers; an unclosed quote ends with its tag; character
+references are decoded once, an unfinished one stays as it is; a repeated row
+gives a repeated result; an empty table gives an empty one. Other columns stay as
+they are, but columns of the input named text or n_chars are replaced.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +47,16 @@ RAW_TEXT = {"script", "style", "iframe", "title", "textarea"}
 FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Elements that start and end a block.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: Elements that other end tags don't reach beyond.
+BOUNDS = ("article", "main", "body")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words in class, id and role that mark boilerplate; those of a page's head do so only outside of an article.
-MARKS = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[_-])", re.I)
+STRONG = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|menu|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|sponsor\w*|subscribe|complementary|contentinfo)(?:$|[_-])", re.I)
+WEAK = re.compile(r"(?:^|[_-])(?:disclaimer|modal|social|toolbar|widget)(?:$|[_-])", re.I)
 HEAD_MARKS = re.compile(r"(?:^|[_-])(?:header|masthead|topbar)(?:$|[_-])", re.I)
 #: A layout that says what it has, not what it is.
-LAYOUT = re.compile(r"^(?:no|has|with|without|is|page|layout)[_-]", re.I)
+LAYOUT = re.compile(r"^(?:no|has|with|without|is|page|layout)[_-]|[_-]free$", re.I)
 #: Frequent function words of the languages in hand; density is a share of words.
 STOP_WORDS = frozenset(
     "the of and to in is that it was for on are as with be at by this have from or he she they we you not an which but had his her their has were been will would there a i if can all do "
@@ -48,85 +64,163 @@ STOP_WORDS = frozenset(
     "le la les de des et est un une du que qui dans en pour par sur au aux avec il elle ne pas plus ce se son sa ses ou mais comme nous vous ils sont été cette "
     "el los las y en del que se por con una para su al lo como más pero sus o este sí porque esta entre cuando muy sin sobre también me hasta hay donde no es".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
 WORD = re.compile(r"\w+")
+OPEN, HARD, MARKED, FAINT = range(4)  # what is around a block: nothing, an element of FRAME, a strong mark, a weak one
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters of it in links
+    around: int
+    article: bool
+    container: int
+    tag: str
+
+
+class Scanner:
+    """Tags of a page; every search that fails is remembered, so none is made twice."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
 
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
 
-def boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is around boilerplate, by its name, class, id, role and style."""
+    def end_of(self, name: str, at: int, nested: bool) -> int:
+        """The place after the next end tag of an element, -1 if there is none; with nested, none beyond another start tag of it."""
+        if name in self.missing:
+            return -1
+        m = re.compile(rf"</{name}\s*>" if not nested else rf"<(?:/{name}\s*>|{name}(?=[\s/>]))", re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(name)
+            return -1
+        return m.end() if m[0][1] == "/" else -1
+
+    def tag(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """From the end of a tag's name: the place after the tag (-1 if it never ends), its attributes, whether it closes itself."""
+        page, found, slash = self.page, {}, False
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if m is None:
+                while at < len(page) and page[at] != ">":  # blanks, slashes and stray signs
+                    slash = page[at] == "/" or slash and page[at].isspace()
+                    at += 1
+                return (at + 1 if at < len(page) else -1), found, slash
+            name, at, value, slash = m[1].lower(), m.end(), "", False
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ('"', "'") and quote else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    u = UNQUOTED.match(page, at)
+                    value, at = u[0], u.end()
+                    slash = value.endswith("/")
+            if name not in found:
+                found[name] = value
+
+
+def surroundings(name: str, attributes: dict[str, str], inside: bool) -> int:
+    """What an element says about what it holds, by its name, class, id, role and style."""
     if name in ("html", "body", "main"):
-        return False
-    if name in FRAME and not (name == "header" and inside):
-        return True
-    for a in ATTRIBUTE.finditer(attributes) if attributes else ():
-        value = next((x for x in a.groups()[1:] if x is not None), "")
-        kind = a[1].lower()
-        if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if kind != "style" and any((MARKS.search(t) or not inside and name != "article" and HEAD_MARKS.search(t)) and not LAYOUT.search(t) for t in value.split()):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
-    """(text, characters of it in links, boilerplate around it, article around it, element) in page order."""
+        return OPEN
+    if name in FRAME and not (name == "header" and inside) or "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return HARD
+    out = OPEN
+    for token in " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split():
+        if LAYOUT.search(token):
+            continue
+        if STRONG.search(token) or not inside and name != "article" and HEAD_MARKS.search(token):
+            return MARKED
+        if WEAK.search(token):
+            out = FAINT
+    return out
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order."""
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, bool]] = []  # open elements and whether they mark boilerplate
-    frames = articles = links = 0
+    stack: list[tuple[str, int, int]] = []  # open elements, what they say, and the container around them
+    opened, inside = Counter(), [Counter()]  # how many of each name are open, at all and since the last of BOUNDS
+    around, containers, container = Counter(), 0, 0
+    articles = links = 0
     tag, at, n = "", 0, len(page)
-    hidden = ""  # unclosed element of RAW whose content goes on to the next block
+    scanner, hidden = Scanner(page), ""  # hidden: unclosed element of RAW whose content goes on to the next block
+
+    def text(upto: int) -> None:
+        nonlocal linked
+        if upto > at and not hidden:
+            parts.append(page[at:upto])
+            linked += (upto - at) * (links > 0)
 
     def end_block() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(references.unescape("".join(parts)).split())
-            if text:
-                out.append((text, linked, frames > 0, articles > 0, tag))
+            joined = " ".join(references.unescape("".join(parts)).split())
+            if joined:
+                out.append(Block(joined, linked, next((x for x in (HARD, MARKED, FAINT) if around[x]), OPEN), articles > 0, container, tag))
         parts, linked = [], 0
 
     def close(to: int) -> None:
-        nonlocal frames, articles, links
+        nonlocal articles, links, container
         while len(stack) > to:
-            name, marked = stack.pop()
-            frames -= marked
+            name, said, container = stack.pop()
+            around[said] -= 1
             articles -= name in ("article", "main")
             links -= name == "a"
+            if name in BOUNDS:
+                inside.pop()
+            inside[-1][name] -= 1
+            opened[name] -= 1
 
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            if not hidden:
-                parts.append(page[at:])
+        start = scanner.find("<", at)
+        if start < 0:
+            text(n)
             break
-        if m.start() > at and not hidden:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at = m.end()
-        if m[2] is None:
+        name = NAME.match(page, start + 2 if page[start + 1 : start + 2] == "/" else start + 1)
+        if name is None:
+            if page.startswith("<!--", start):
+                text(start)
+                end = scanner.find("-->", start + 2)
+                at = end + 3 if end >= 0 else n
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                text(start)
+                end = scanner.find(">", start)
+                at = end + 1 if end >= 0 else n
+            else:  # a sign, not a tag
+                text(start + 1)
+                at = start + 1
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        closing = page[start + 1] == "/"
+        end, attributes, slash = scanner.tag(name.end())
+        name = name[0].lower()
+        text(start)
+        if end < 0:
+            break
+        at = end
         if name in BLOCKS:
             end_block()
             tag = "" if closing else name
             hidden = ""
         if closing:
             hidden = "" if name == hidden else hidden
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in ("article", "main", "body") and name not in ("body", "html", "article", "main"):
-                    break
+            if (opened if name in ("html", *BOUNDS) else inside[-1])[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
-        if name in RAW and not m[3].endswith("/"):
-            if name in RAW_TEXT or name in ("head", "template"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            else:  # the end tag of another such element further on is not its own
-                end = re.compile(rf"<(?:/{name}\s*>|{name}(?=[\s/>]))", re.I).search(page, at)
-                end = end if end and end[0][1] == "/" else None
-            if end is not None:
-                at = end.end()
+        if name in RAW and not slash:
+            end = scanner.end_of(name, at, name not in RAW_TEXT and name not in ("head", "template"))
+            if end >= 0:
+                at = end
                 continue
             if name in RAW_TEXT:
                 at = n
@@ -134,65 +228,73 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str]]:
             if name != "head":
                 hidden = hidden or name
                 continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or slash:
             continue
-        if name in BLOCKS and stack and stack[-1][0] == "p" and not closing:
+        if name in BLOCKS and stack and stack[-1][0] == "p":
             close(len(stack) - 1)
-        marked = boilerplate(name, m[3], articles > 0)
-        stack.append((name, marked))
-        frames += marked
+        said = surroundings(name, attributes, articles > 0)
+        stack.append((name, said, container))
+        inside[-1][name] += 1
+        opened[name] += 1
+        if name in BOUNDS:
+            inside.append(Counter())
+        if said or name in ("article", "main"):
+            containers += 1
+            container = containers
+        around[said] += 1
         articles += name in ("article", "main")
         links += name == "a"
     end_block()
     return out
 
 
-def classify(found: list[tuple[str, int, bool, bool, str]], short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.22, links: float = 0.33) -> list[bool]:
+def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.22, links: float = 0.33) -> list[bool]:
     """For each block, whether it is main text."""
-    first: list[bool | None] = []
     stops = []  # stop words and words of each block
-    for text, *_ in found:
-        words = WORD.findall(text.lower())
+    for b in found:
+        words = WORD.findall(b.text.lower())
         stops.append((sum(w in STOP_WORDS for w in words), len(words)))
-    free = [x for x, f in zip(stops, found, strict=True) if not f[2]]
-    # Without an article, and below what a block of prose has on the whole page, its language is not one of those in hand.
-    foreign = not any(f[3] for f in found) and sum(x[0] for x in free) < low * sum(x[1] for x in free)
-    for (text, linked, framed, inside, tag), (n_stops, n_words) in zip(found, stops, strict=True):
-        density = n_stops / max(n_words, 1)
-        if framed:
-            first.append(False)
-        elif linked > links * len(text) and (not inside or tag == "li" and linked > 0.8 * len(text)):
+    seen = [x for x, b in zip(stops, found, strict=True) if b.around != HARD]
+    # Below what a block of prose has, on the whole page: its language is not one of those in hand.
+    foreign = sum(x[0] for x in seen) < low * sum(x[1] for x in seen)
+    first: list[bool | None] = []
+    for b, (n_stops, n_words) in zip(found, stops, strict=True):
+        density, size = n_stops / max(n_words, 1), len(b.text)
+        if b.around == HARD:
             first.append(False)
-        elif len(text) < short:
-            first.append(None)
-        elif density >= high or inside and len(text) >= long or foreign:
+        elif b.linked > links * size if not b.article else b.tag == "li" and b.linked > 0.8 * size and (size < long or density < high):
+            first.append(False)  # in an article, a list of links that reads like no prose
+        elif size >= (long if b.around == FAINT else short) and (density >= high or foreign and size >= (short if b.article else long)) or size >= long and density >= low:
             first.append(True)
-        elif density < low and not inside and len(text) < long:
+        elif b.around == FAINT or size >= short and density < low and not (foreign or b.article):
             first.append(False)
         else:
             first.append(None)
-    decided = [i for i, x in enumerate(first) if x is not None]
-    before, after, at = [-1] * len(first), [-1] * len(first), -1
-    for i, x in enumerate(first):
-        before[i] = at
-        at = i if x is not None else at
-    at = -1
-    for i in range(len(first) - 1, -1, -1):
-        after[i] = at
-        at = i if first[i] is not None else at
+    # Strong marks hold but where the only prose of a page is in what they mark.
+    if any(x and b.around != MARKED or b.article and b.around == OPEN for x, b in zip(first, found, strict=True)) or not any(x and len(b.text) >= long for x, b in zip(first, found, strict=True)):
+        first = [False if b.around == MARKED else x for x, b in zip(first, found, strict=True)]
+    # The nearest decided block of the same container, on either side.
+    before, after = [-1] * len(found), [-1] * len(found)
+    for places, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last: dict[int, int] = {}
+        for i in order:
+            places[i] = last.get(found[i].container, -1)
+            if first[i] is not None:
+                last[found[i].container] = i
+    whole = not any(x for x in first) and not any(b.article for b in found)
     out = []
-    for i, x in enumerate(first):
+    for i, (x, b) in enumerate(zip(first, found, strict=True)):
         if x is None:
-            a, b = before[i], after[i]
-            near = [first[j] for j in (a, b) if j >= 0]
-            if found[i][3]:  # an article around it outweighs boilerplate next to it
-                x = True
-            elif not decided:
-                x = not any(f[3] for f in found)
-            elif len(set(near)) == 1:
-                x = near[0]
+            a, z = before[i], after[i]
+            near = [first[j] for j in (a, z) if j >= 0]
+            if not near:
+                x = b.article or whole
+            elif b.tag in HEADINGS and z >= 0:
+                x = first[z]
+            elif len(set(near)) == 1 or b.article:
+                x = any(near)
             else:
-                x = first[a] if i - a <= b - i and found[i][4] not in HEADINGS else first[b]
+                x = first[a] if i - a <= z - i else first[z]
         out.append(bool(x))
     return out
 
@@ -201,23 +303,24 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return " ".join(b[0] for b, kept in zip(found, classify(found), strict=True) if kept)
+    return " ".join(b.text for b, kept in zip(found, classify(found), strict=True) if kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with its html replaced by text (string, never null) and n_chars (long)."""
     small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema) + ", text string, n_chars long"
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x if isinstance(x, str) else None) for x in batch[html_col]]
-            yield batch[kept].assign(text=texts, n_chars=[len(x) for x in texts])
+            texts = [main_text(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["row", "text", "n_chars"])
 
-    return pages.select(*kept, html_col).mapInPandas(run, schema)
+    out = rows.mapInArrow(run, rows.select("row").schema.add("text", "string").add("n_chars", "long"))
+    return out.select(*[F.col(f"row.`{c}`") for c in kept], "text", "n_chars")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("string").alias("html")))
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -1,6 +1,7 @@
 """Main text of pages; exact search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,89 @@ def test_unclosed_element_without_text(name):
     assert html.main_text(f"<article><p>{long}<svg><svg>no</svg>no</svg>{long}</p>") == long + long.strip()
 
 
+PROSE = "The story of the man and the sea is that he went to it and was with it for all the days of his life. " * 3
+
+
+def test_attributes_and_marks_of_doubt():
+    assert html.main_text("<article><p title=it's>The man's story</p><p title=\"open>and <b>of it</b></p></article>") == "The man's story and of it"
+    assert html.main_text(page(f"<main><div class='ad-free'><p>{PROSE}</p></div><div class=text-widget><p>{PROSE}</p><p>Follow us</p></div></main>")) == f"{PROSE.strip()} {PROSE.strip()}"
+    assert html.main_text(page(f'<article class="related"><p>{PROSE}</p></article>')) == PROSE.strip()
+    assert html.main_text(page(f'<article class="related"><p>{PROSE}</p></article><article><p>It is the one. {PROSE}</p></article>')) == f"It is the one. {PROSE.strip()}"
+
+
+def test_density_and_neighbours_decide_in_articles():
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Other page {i}</a></li>' for i in range(5)) + "</ul>"
+    names = "Zorp blat quib frond. " * 20
+    got = html.main_text(page(f"<article><h1>Zorp</h1><p>{PROSE}</p><p>Quib.</p>{links}<h2>Blat</h2><p>{names}</p><p>{PROSE}</p></article>"))
+    assert got == " ".join(["Zorp", PROSE.strip(), "Quib.", "Blat", names.strip(), PROSE.strip()])
+    assert html.main_text(page(f"<article><p>{names}</p></article>")) == names.strip()
+
+
+def plain_labels(found):
+    """The rules once more, block by block, as they are told."""
+    stop = [[w in html.STOP_WORDS for w in html.WORD.findall(b.text.lower())] for b in found]
+    open_ = [x for x, b in zip(stop, found) if b.around != html.HARD]
+    foreign = sum(map(sum, open_)) < 0.12 * sum(map(len, open_))
+
+    def alone(b, x):
+        d, n = sum(x) / max(len(x), 1), len(b.text)
+        if b.around == html.HARD or not b.article and b.linked > 0.33 * n:
+            return False
+        if b.article and b.tag == "li" and b.linked > 0.8 * n and (n < 200 or d < 0.22):
+            return False
+        if n >= 200 and d >= 0.12 or n >= (200 if b.around == html.FAINT else 70) and (d >= 0.22 or foreign and (b.article or n >= 200)):
+            return True
+        return False if b.around == html.FAINT or n >= 70 and d < 0.12 and not foreign and not b.article else None
+
+    first = [alone(b, x) for b, x in zip(found, stop)]
+    if any(f and b.around != html.MARKED for f, b in zip(first, found)) or any(b.article and not b.around for b in found) or not any(f and len(b.text) >= 200 for f, b in zip(first, found)):
+        first = [False if b.around == html.MARKED else f for f, b in zip(first, found)]
+    out = []
+    for i, b in enumerate(found):
+        same = [j for j in range(len(found)) if found[j].container == b.container and first[j] is not None]
+        near = [j for j in (max((j for j in same if j < i), default=None), min((j for j in same if j > i), default=None)) if j is not None]
+        if first[i] is not None:
+            out.append(first[i])
+        elif not near:
+            out.append(b.article or not any(first) and not any(x.article for x in found))
+        elif b.tag in html.HEADINGS and near[-1] > i:
+            out.append(first[near[-1]])
+        elif b.article or len({first[j] for j in near}) == 1:
+            out.append(any(first[j] for j in near))
+        else:
+            out.append(first[min(near, key=lambda j: (abs(j - i), j))])
+    return out
+
+
+def test_labels_against_the_rules():
+    rng = random.Random(5)
+    words = ["the", "of", "and", "zorp", "blat", "quib", "frond", "skell"]
+    tags = ["p", "li", "h2", "div", "div class=widget", "div class=comments", "aside", "article", "section"]
+    for _ in range(400):
+        body, open_ = [], []
+        for _ in range(rng.randint(1, 25)):
+            t = rng.choice(tags)
+            text = " ".join(rng.choice(words[rng.choice([0, 0, 3]) :]) for _ in range(rng.choice([2, 5, 12, 16, 40, 60])))
+            body.append(f"<{t}>" + (f"<a href=x>{text}</a>" if rng.random() < 0.2 else text))
+            if rng.random() < 0.6:
+                body.append(f"</{t.split()[0]}>")
+        found = html.blocks("".join(body))
+        assert html.classify(found) == plain_labels(found)
+
+
+@pytest.mark.parametrize("part", ['<b title="x', "<b title='", "<template>", "<p>a<button>", "<!--", "<article><b></html>", "<p title=it's>hello", "<", "<a", "</", "<a b=", "&#"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html.main_text("<html><article>" + part * 20_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_columns_with_odd_names_and_large_ids(spark):
+    df = spark.createDataFrame([(2**60 + 1, "u", "<p>the text of it", 5), (None, "v", None, None)], "page_id long, url string, html string, `a.b` long")
+    got = sorted(html.extract(df).collect(), key=lambda r: r["url"])
+    assert [tuple(r) for r in got] == [(2**60 + 1, "u", 5, "the text of it", 14), (None, "v", None, "", 0)]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>unclosed <b>the text"), (4, "u", "no markup at all"), (4, "u", "no markup at all"), (5, "u", "<<<>>&bogus; &#x41;&#66; <p"), (None, "u", "<script>only"), (6, "u", page("<article></article>"))]
     df = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, text string, n_chars long")
