@@ -128,7 +128,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, partition_rows: int = 50_0
                 again = gaps > (capacity // 64 if certified else 0)
                 yield own.assign(sequence_id=(step << 52) + (TaskContext.get().partitionId() << 28) + where, offset=offset, again=again[where])
 
-        made = written(pool.repartition(parts, "doc_id", "piece").mapInPandas(run, PACKED + ", again boolean"), f"packed-{step}")
+        # The row's place is part of the key: rows that share a null id, or repeat each other, are dealt as evenly as others.
+        made = written(pool.repartition(parts, "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()).mapInPandas(run, PACKED + ", again boolean"), f"packed-{step}")
         seen = made.groupBy("again").agg(F.count("*").alias("n"), F.sum((F.col("offset") == 0).cast("long")).alias("bins"))
         by = {r["again"]: (r["n"], r["bins"]) for r in seen.collect()}
         again, sequences = by.get(True, (0, 0)), closed + sum(b for _, b in by.values())
