@@ -3,28 +3,32 @@
 A text is a vector of hashed byte n-grams of its lower-case letters, weighted by
 TF-IDF and normalised. Each learned language has several centroids from
 spherical k-means; the nearest one by cosine names the language, and a text too
-far from all of its language's centroids, judged by the distances of learned
-texts, is rejected.
+far from all of its language's centroids is rejected. How far is too far is
+judged by learned texts that the k-means did not see: a share of each language's
+sample is held out, and the limit is `slack` of the cosine that all but a
+`quantile` of them reach.
 
 The model is fitted on a bounded sample: at most about `per_lang` learned
-documents of each language, chosen by a hash of their ids over the whole table
-(languages are expected in hundreds). Prediction is one scan without a shuffle;
+documents of each language and `sample` of all, chosen by a hash of their ids over
+the whole table (languages are expected in hundreds), each with its `kinds` most
+frequent n-grams at most. Prediction is one scan without a shuffle;
 the model broadcast is buckets x centroids floats, whatever the corpus.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and
 rejected; rows with a null lang or id teach nothing; if nothing can be learned
-every text is `und`; repeated rows get the same result; whole texts count, in
-blocks of bounded size.
+every text is `und`; repeated rows get the same result; whole texts count;
+a letter is a character of Unicode category L, so "½" or "²" is none; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +38,8 @@ from feedback_engine.llm.common import fold, small_batches, table
 BUCKETS_LOG2 = 13
 ORDERS = (2, 3)
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 #: ASCII other than letters becomes a blank; bytes of other scripts stay.
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _FACTORS = {2: np.uint32(2654435761), 3: np.uint32(2246822519)}
@@ -43,19 +48,15 @@ _FACTORS = {2: np.uint32(2654435761), 3: np.uint32(2246822519)}
 def counts(text: str) -> np.ndarray:
     """How often each n-gram bucket occurs in a whole text."""
     out = np.zeros(1 << BUCKETS_LOG2, np.int64)
-    raw = text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
-    for at in range(0, max(len(raw), 1), BLOCK):
-        b = np.frombuffer(b" " * (at == 0) + raw[max(0, at - 2) : at + BLOCK] + b" " * (at + BLOCK >= len(raw)), np.uint8)
-        blank = b == 32
-        b = b[np.concatenate(([True], ~(blank[1:] & blank[:-1])))].astype(np.uint32)
-        if len(b) < 3:
-            continue
-        two = b[:-1] << np.uint32(8) | b[1:]
-        three = two[:-1] << np.uint32(8) | b[2:]
-        skip = 2 * (at > 0)  # n-grams that end in the overlap were counted
-        for order, codes in ((2, two[max(0, skip - 1) :]), (3, three[max(0, skip - 2) :])):
-            if order in ORDERS:
-                out += np.bincount((codes * _FACTORS[order]) >> np.uint32(32 - BUCKETS_LOG2), minlength=len(out))
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    raw = b" ".join([b"", *words, b""]) if words else b""
+    for order in ORDERS:
+        for at in range(0, len(raw) - order + 1, BLOCK):  # by where an n-gram starts
+            b = np.frombuffer(raw, np.uint8, min(BLOCK + order - 1, len(raw) - at), at).astype(np.uint32)
+            codes = b[: len(b) - order + 1]
+            for j in range(1, order):
+                codes = codes << np.uint32(8) | b[j : len(b) - order + 1 + j]
+            out += np.bincount((codes * _FACTORS[order]) >> np.uint32(32 - BUCKETS_LOG2), minlength=len(out))
     return out
 
 
@@ -69,7 +70,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine with its nearest centroid, rejected)."""
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not _LETTER.search(text):
             return "und", 0.0, True
         tf = np.log1p(counts(text).astype(np.float32))
         norm = float(np.sqrt(((tf * self.idf) ** 2).sum()))
@@ -98,8 +99,8 @@ def _clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centers
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = 3, rounds: int = 10, quantile: float = 0.01, slack: float = 0.6) -> Model:
-    """A model from (language, buckets, counts) of learned documents."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = 3, rounds: int = 10, quantile: float = 0.01, slack: float = 0.7, unseen: int = 5) -> Model:
+    """A model from (language, buckets, counts) of learned documents; every `unseen`-th of a language that has twice as many only judges distances."""
     size = 1 << BUCKETS_LOG2
     rows = [r for r in rows if len(r[1])]
     languages = sorted({r[0] for r in rows})
@@ -115,26 +116,28 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = 3, roun
             x[j, at] = np.log1p(n)
         x *= idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        found = _clusters(x, centroids, rounds, i)
-        least.append(slack * float(np.quantile((x @ found.T).max(1), quantile)))
+        judges = np.arange(len(x)) % unseen == unseen - 1 if len(x) >= 2 * unseen else np.zeros(len(x), bool)
+        found = _clusters(x[~judges], centroids, rounds, i)
+        least.append(slack * float(np.quantile((x[judges if judges.any() else ~judges] @ found.T).max(1), quantile)))
         centers.append(found)
         owner += [i] * len(found)
     weighted = (np.concatenate(centers).T * idf[:, None]).astype(np.float32) if centers else np.zeros((size, 0), np.float32)
     return Model(languages, np.array(owner, int), weighted, idf, np.array(least))
 
 
-def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800, languages: int = 1000) -> Model:
-    """Fit on about per_lang rows of docs (with doc_id) of each language at most. More than `languages` values of lang are an error: their centroids would not fit the driver, and none is left out in silence."""
+def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800, languages: int = 1000, sample: int = 20_000, kinds: int = 4096) -> Model:
+    """Fit on about per_lang rows of docs (with doc_id) of each language at most, about `sample` in all, and on `kinds` n-grams of each row at most. More than `languages` values of lang are an error: their centroids would not fit the driver, and none is left out in silence."""
     rows = docs.select(F.col("doc_id"), text.cast("string").alias("text"), lang.cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1)
-    shares = {r["lang"]: per_lang / r["n"] for r in sizes.collect()}
+    shares = {r["lang"]: r["n"] for r in sizes.collect()}
     if len(shares) > languages:
         raise ValueError(f"lang has more than {languages} values; merge them (regional tags, dirty labels) or give a larger `languages`")
     if not shares:
         return fit([])
+    per_lang = min(per_lang, sample // len(shares))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    limit = F.create_map(*[F.lit(x) for k, v in sorted(shares.items()) for x in (k, v)])
-    sample = rows.filter(unit < F.element_at(limit, F.col("lang")))
+    limit = F.create_map(*[F.lit(x) for k, n in sorted(shares.items()) for x in (k, per_lang / n)])
+    chosen = rows.filter(unit < F.element_at(limit, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,47 +145,46 @@ def learned(docs: DataFrame, text: Column, lang: Column, per_lang: int = 800, la
             for text, lang in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 n = counts(text or "")
                 at = np.flatnonzero(n)
+                at = np.sort(at[np.argsort(-n[at], kind="stable")[:kinds]])
                 langs.append(lang)
-                ats.append(at.astype(np.int32).tobytes())
+                ats.append(at.astype(np.uint16).tobytes())
                 ns.append(n[at].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ats, pa.binary()), pa.array(ns, pa.binary())], names=["lang", "at", "n"])
 
-    got = sample.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()
+    got = chosen.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    return fit([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got])
+    return fit([(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.int32)) for r in got])
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and `_l`: lang_pred, score, rejected."""
+    """`row`, a struct of docs' columns (those to keep), and `found`: lang_pred, score, rejected."""
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see above
     result = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            out = [m.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            out = [m.predict(x.as_py()) for x in batch.column(1)]
             found = pa.array([{"lang_pred": a, "score": b, "rejected": bool(c)} for a, b, c in out], result)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*keep, "_l"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "found"])
 
-    schema = own.drop("_text").schema.add("_l", T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType()))
+    schema = own.select("row").schema.add("found", T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType()))
     return own.mapInArrow(run, schema)
 
 
 def known_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those whose language is rejected, with their columns; learned from their own text and lang. If nothing can be learned, no distance is known, and only texts without a letter go."""
-    model = learned(docs.filter(fold(F.col("doc_id"), 3) != 1), F.col(text_col), F.col(lang_col))
+    model = learned(docs.filter(fold(F.col("doc_id"), 3) != 1), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`"))
     if not model.languages:
-        return docs.filter(F.col(f"`{text_col}`").cast("string").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # LETTER
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return predicted(rows, model, keep=["row"]).filter("not _l.rejected").select("row.*")
+        return docs.filter(F.col(f"`{text_col}`").cast("string").rlike(LETTER))
+    return predicted(docs, model, text_col).filter("not found.rejected").select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
     model = learned(docs.filter(fold(F.col("doc_id"), 3) != 1), F.col("text"), F.col("lang"))
-    rows = predicted(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return rows.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "_l.lang_pred", "_l.score", "_l.rejected")
+    rows = predicted(docs, model, keep=["doc_id"]).select("row.doc_id", "found")
+    return rows.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")

@@ -7,7 +7,9 @@ that repeats the one before it is one feature whatever the word, so repetition
 can be learned.
 
 Training takes a bounded sample: about `per_label` labelled documents of each
-label, chosen by a hash of the id over all labels. Since the softmax is linear
+label, chosen by a hash of the id over all labels, each with its `kinds` most
+frequent features at most (a sample of 4000 documents is then 256 MB at worst).
+Since the softmax is linear
 in the average, scoring needs one number for each bucket (1 MB, broadcast,
 whatever the corpus) and is one scan without a shuffle.
 
@@ -113,7 +115,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float, flo
     return Model(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]) + prior)
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000, kinds: int = 8192) -> Model:
     """Fit on about per_label documents of each label; docs: doc_id, text; labels: doc_id, label (0 or 1)."""
     labels = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     n = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -130,6 +132,7 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model:
                 for x in features(text):
                     f += np.bincount(x, minlength=SIZE)
                 at = np.flatnonzero(f)
+                at = np.sort(at[np.argsort(-f[at], kind="stable")[:kinds]])
                 rows.append((label, at.astype(np.int32).tobytes(), f[at].astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["label", "at", "n"])
 

@@ -1,5 +1,6 @@
 """Quality classifier and language identification."""
 
+import math
 import random
 
 import pytest
@@ -34,7 +35,7 @@ def test_language_of_held_out_documents(spark, corpus, odd_docs, folder):
 
 def test_language_of_odd_rows(spark, corpus, odd_docs):
     model = language_id.learned(corpus, corpus["text"], corpus["lang"])
-    got = {r["doc_id"]: r["_l"] for r in language_id.predicted(odd_docs.filter("doc_id in (1, 2, 3, 9)"), model, keep=["doc_id"]).collect()}
+    got = {r["row"]["doc_id"]: r["found"] for r in language_id.predicted(odd_docs.filter("doc_id in (1, 2, 3, 9)"), model, keep=["doc_id"]).collect()}
     assert all(x["lang_pred"] == "und" and x["rejected"] and x["score"] == 0 for x in got.values())
     assert not model.predict("the with that and " * 30)[2]
     assert model.predict("zzzq xxjk qqwx " * 30)[2]
@@ -58,7 +59,64 @@ def test_long_text_is_counted_in_blocks(monkeypatch):
     text = "the quick brown für étés " * 400
     whole = language_id.counts(text)
     monkeypatch.setattr(language_id, "BLOCK", 999)
-    assert abs(whole - language_id.counts(text)).sum() <= 40  # blanks at block ends do not collapse
+    assert (whole == language_id.counts(text)).all()
+
+
+def plain_scores(text, model):
+    """The cosine with every centroid, from its definition."""
+    raw = " ".join("".join(c if ord(c) >= 128 or "a" <= c <= "z" else " " for c in text.lower()).split())
+    raw = f" {raw} ".encode() if raw else b""
+    tf = {}
+    for n, factor in ((2, 2654435761), (3, 2246822519)):
+        for i in range(len(raw) - n + 1):
+            bucket = int.from_bytes(raw[i : i + n], "big") * factor % 2**32 >> 19
+            tf[bucket] = tf.get(bucket, 0) + 1
+    v = {b: math.log(1 + x) * float(model.idf[b]) for b, x in tf.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return [sum(x * float(model.weighted[b, j]) / float(model.idf[b]) for b, x in v.items()) / norm for j in range(model.weighted.shape[1])]
+
+
+def test_prediction_against_its_definition(spark, corpus):
+    model = language_id.learned(corpus, corpus["text"], corpus["lang"])
+    for text in ("the with that and über 12 der", "x", "Ünd\t nicht--lich", "漢字 für"):
+        want = plain_scores(text, model)
+        lang, score, rejected = model.predict(text)
+        assert score == pytest.approx(max(want), abs=1e-4) and lang == model.languages[model.owner[want.index(max(want))]]
+        assert rejected == (score < model.least[model.languages.index(lang)])
+    assert all(model.predict(x) == ("und", 0.0, True) for x in ("½ ² 12", "", None, "_-"))
+
+
+def test_stage_rejects_what_no_language_is_near(spark, corpus):
+    rng = random.Random(3)
+    noise = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(90))
+    alphabets = ["абвгдежзиклмнопрстуфхцчшыя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了在人有我他这个们中来上大为和国", "bcdfghjklmnpqrstvwxz"]
+    junk = [(1000 + i, noise(alphabets[i % 4]), None, 0) for i in range(20)]
+    rows = corpus.unionByName(spark.createDataFrame(junk, corpus.schema)).selectExpr("*", "doc_id AS row", "text AS found", "1 AS `a.b`")
+    kept = language_id.known_languages(rows)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == rows.columns and not ids & set(range(1000, 1020)) and len(ids) >= 355
+
+
+def test_score_against_its_definition(spark, corpus):
+    model = quality_classifier.learned(corpus, corpus.selectExpr("doc_id", "quality AS label"))
+    mask = 2**64 - 1
+    for text in ("der der und%%% x", "the with\nthat", "a", "ß"):
+        raw = text.encode()
+        words = []
+        for w in raw.split():
+            h = sum(int(quality_classifier._BYTE[c]) * int(quality_classifier._PLACE[i & 63]) for i, c in enumerate(w)) * 0x9E3779B97F4A7C15 & mask
+            words.append(h ^ h >> 31)
+        at = [h * 0x9E3779B97F4A7C15 % 2**64 >> 48 for h in words]
+        at += [65536 + (0 if a == b else (a * 0xD6E8FEB86659FD93 + b) * 0x9E3779B97F4A7C15 % 2**64 >> 48) for a, b in zip(words, words[1:], strict=False)]
+        at += [131072 + (int.from_bytes(raw[i : i + 3], "big") * 2246822519 % 2**32 >> 16) for i in range(len(raw) - 2)]
+        want = 1 / (1 + math.exp(-(sum(float(model.gain[i]) for i in at) / max(len(at), 1) + model.bias)))
+        assert model.score(text) == pytest.approx(want, abs=1e-5)
+
+
+def test_no_documents(spark, odd_docs, folder):
+    d = folder(documents=odd_docs.limit(0), labels=spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert quality_classifier.op5_quality_classifier(spark, d).count() == 0
+    assert language_id.op7_language_id(spark, d).count() == 0
 
 
 def test_quality_of_held_out_documents(spark, corpus, odd_docs, folder):
