@@ -50,9 +50,8 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and a struct column `_m` of MEASURES."""
-    keep = docs.columns if keep is None else keep
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    """`row`, a struct of docs' columns (those to keep), and `m`, a struct of MEASURES."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     bare = F.btrim(F.col("_text"), F.lit(SPACE))
     split = own.withColumn("_words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+")))
     split = split.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
@@ -79,7 +78,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
         "n_distinct": F.size(F.array_distinct("_words")),
         "n_letters": F.length(F.regexp_replace(text, "\\P{L}+", "")),
     }
-    return split.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[values[m].cast("long").alias(m) for m in MEASURES]).alias("_m"))
+    return split.select("row", F.struct(*[values[m].cast("long").alias(m) for m in MEASURES]).alias("m"))
 
 
 def votes(code: int) -> list[int]:
@@ -113,31 +112,31 @@ def fitted(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, floa
 
 
 def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """The kept columns, `_m` (MEASURES), and `_v`: base_failed, posterior, kept (posterior >= least and the base holds)."""
+    """`row`, a struct of docs' columns (those to keep), `m` (MEASURES), and `v`: base_failed, posterior, kept (posterior >= least and the base holds)."""
     rows = written(measured(docs, text_col, keep), "quality-rules")
-    coded = rows.withColumn("_code", F.expr(_over(CODE)))
-    counts = {r["_code"]: r["n"] for r in coded.groupBy("_code").agg(F.count("*").alias("n")).collect()}  # at most 3 ** len(RULES) rows
+    code = F.expr(_over(CODE))
+    counts = {r["code"]: r["n"] for r in rows.groupBy(code.alias("code")).agg(F.count("*").alias("n")).collect()}  # at most 3 ** len(RULES) rows
     good, _ = fitted(counts)
-    posterior = F.element_at(F.create_map(*[F.lit(x) for c, p in sorted(good.items()) for x in (c, round(p, 6))]), F.col("_code")) if good else F.lit(0.5)
-    coded = coded.withColumn("_p", posterior).withColumn("_failed", F.expr(_over(BASE)))
-    return coded.withColumn("_v", F.struct(F.col("_failed").alias("base_failed"), F.col("_p").alias("posterior"), (~F.col("_failed") & (F.col("_p") >= least)).alias("kept"))).drop("_code", "_p", "_failed")
+    # One array literal with a place for each code: a verdict is a look-up.
+    by_code = F.split(F.lit(",".join(f"{good[c]:.6f}" if c in good else "0.5" for c in range(max(good, default=0) + 1))), ",").cast("array<double>")
+    failed, posterior = F.expr(_over(BASE)), F.get(by_code, code)
+    return rows.select("row", "m", F.struct(failed.alias("base_failed"), posterior.alias("posterior"), (~failed & (posterior >= least)).alias("kept")).alias("v"))
 
 
 def _over(sql: str) -> str:
     """The SQL with its measures taken from the struct."""
-    return re.sub(rf"\b({'|'.join(MEASURES)})\b", r"_m.\1", sql)
+    return re.sub(rf"\b({'|'.join(MEASURES)})\b", r"m.\1", sql)
 
 
 def good_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that the rules reject, with their columns."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return judged(rows, keep=["row"]).filter("_v.kept").select("row.*")
+    return judged(docs, text_col).filter("v.kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    rows = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return rows.select("doc_id", *[F.col(f"_m.{m}").alias(m) for m in MEASURES[:5]], "_v.base_failed", "_v.kept", "_v.posterior")
+    rows = judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("row.doc_id", *[F.col(f"m.{m}").alias(m) for m in MEASURES[:5]], "v.base_failed", "v.kept", "v.posterior")
 
 
 def verdict_sql(source: str) -> str:

@@ -37,8 +37,8 @@ def corpus(words):
 def test_measures_against_brute_force(spark, odd_docs, words):
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in corpus(words)] + [(99, "a b c a b c\n\x0bx y \na b c")], "doc_id long, text string"))
     for r in q.measured(docs).collect():
-        m = r["_m"]
-        assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == measures(r["text"]), r["doc_id"]
+        m = r["m"]
+        assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == measures(r["row"]["text"]), r["row"]["doc_id"]
 
 
 def test_junk_goes_and_prose_stays(spark, folder, words):
@@ -51,8 +51,9 @@ def test_junk_goes_and_prose_stays(spark, folder, words):
 
 
 def test_odd_rows_and_empty_table(spark, odd_docs):
-    kept = q.good_documents(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.count() == 0
+    clashing = odd_docs.withColumns({c: odd_docs["doc_id"] for c in ("m", "v", "_text", "_words", "_lines", "_three", "_sorted", "a.b")})
+    kept = q.good_documents(clashing)
+    assert kept.columns == clashing.columns and kept.count() == 0
     assert q.good_documents(odd_docs.limit(0)).count() == 0
 
 
