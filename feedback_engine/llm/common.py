@@ -41,6 +41,19 @@ def cleaned(spark: SparkSession) -> None:
     _folders.clear()
 
 
+def mark() -> int:
+    """The point that settled() goes back to."""
+    return len(_folders)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df written, and every intermediate table of this process since the mark removed; for results much smaller than what they come from."""
+    out = written(df, name)
+    dropped(df.sparkSession, *_folders[since:-1])
+    del _folders[since:-1]
+    return out
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: df as a parquet table in the shared folder, which outlives any executor."""
     path = path or new_folder(df.sparkSession, name)
@@ -64,19 +77,21 @@ def folder_of(df: DataFrame) -> str:
 HEAVY = 1024
 
 
-def met(big: DataFrame, small: DataFrame, on: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def met(big: DataFrame, small: DataFrame, on: str | list[str], n: str, total: int, how: str = "inner", only: Column | None = None) -> DataFrame:
     """big joined (inner or left) with small on the columns `on`, of which small has each value once, and in its column n how many of big's `total` rows have it.
 
     Values with more than 1 / HEAVY of the rows, so fewer than HEAVY of them, are dealt into parts of about that size: rows by their other
-    columns' hash, small's row once for each part. The list of these values is broadcast; its bound holds whatever the tables.
+    columns' hash, small's row once for each part. The list of these values is broadcast; its bound holds whatever the tables. With `only`, a condition on small, an inner join is with its rows that meet it, and no
+    row of big with a frequent other value travels.
     """
     on = [on] if isinstance(on, str) else on
     share = max(total // HEAVY, 1000)
     parts = F.ceil(F.col(n) / share).cast("int")
-    heavy = small.filter(F.col(n) > share).select(*on, parts.alias("_parts"))
+    heavy = small.filter(F.col(n) > share).select(*on, (parts if only is None else F.when(only, parts).otherwise(0)).alias("_parts"))
+    small = small if only is None else small.filter(only)
     others = [c for c in big.columns if c not in on]
     part = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_parts")), F.lit(0)).cast("int")
-    dealt = big.join(F.broadcast(heavy), on, "left").withColumn("_part", part).drop("_parts")
+    dealt = big.join(F.broadcast(heavy), on, "left").filter(F.coalesce("_parts", F.lit(1)) > 0).withColumn("_part", part).drop("_parts")
     copied = small.withColumn("_part", F.explode(F.when(F.col(n) > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))).drop(n)
     return dealt.join(copied, [*on, "_part"], how).drop("_part")
 

@@ -10,10 +10,12 @@ split by the next n-gram of the path. The runs are repeated until a pair at the
 threshold is missed with a probability below 1 - recall.
 
 Buckets compare minhash sketches against leaders, so a group of m near copies
-gives about m candidate links, not m * m. A sketch of a small set says too little,
+gives about m candidate links, not m * m. A bucket that is still large at the end
+of its path is dealt into parts; each finds its leaders, and the leaders of all
+parts are then compared in pairs of blocks, so no bucket is one task. A sketch of a small set says too little,
 so small sets are compared by short fingerprints of all their n-grams instead.
 Candidate links form components, and in these every pair is checked exactly by
-its sets, in blocks of bounded size; pairs are counted where they are checked and
+its sets, in blocks of bounded size and bytes; pairs are counted where they are checked and
 never emitted.
 
 Result: a row for each document with its class (smallest id of the documents
@@ -35,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedback_engine.llm.common import dropped, folder_of, small_batches, table, written
+from feedback_engine.llm.common import dropped, folder_of, mark, met, settled, small_batches, table, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 GROWTH = (2.0, 1.5, 1.5)  # expected branches at each level
 SKETCH = 64
+PART = 2048  # members of a bucket, or leaders, that one task compares
 FEW = 64  # n-grams about which sets are compared by fingerprints, by sketches, or by both
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(5)
@@ -186,8 +189,8 @@ def members(docs: DataFrame, runs: int, width: int, jaccard: float) -> DataFrame
     return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id long, h long, c1 long, c2 long, n int, sketch binary, trees {TREES}")
 
 
-def leader_links(ids: list[int], rows: list[bytes], same: float, near: float, near_few: float) -> list[tuple[int, int]]:
-    """Links that connect what a bucket holds in common: fewer than it has members.
+def leader_links(ids: list[int], rows: list[bytes], same: float, near: float, near_few: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that connect what a bucket holds in common, fewer than it has members, and the places of its leaders.
 
     A member is compared with the leaders by what both outlines have; if it is not
     the same as one in all that its own has, it becomes one. A link is made where it
@@ -233,45 +236,76 @@ def leader_links(ids: list[int], rows: list[bytes], same: float, near: float, ne
             sketches[at], has[at] = own, True
         table_[at, : len(prints[i])], size[at] = prints[i], len(prints[i])
         leaders.append(i)
-    return out
+    return out, leaders
 
 
-def candidate_links(classes: DataFrame, bucket: int, jaccard: float) -> DataFrame:
+def candidate_links(classes: DataFrame, bucket: int, jaccard: float, part: int = PART) -> DataFrame:
     """(a, b) of first halves of class ids that met in a bucket and look similar."""
+
+    def counted(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        sizes = written(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), name)
+        return sizes, sizes.agg(F.sum("n")).first()[0] or 0
+
     first = classes.select("c1", "sketch", F.explode("trees.p1").alias("k"))
-    sizes = first.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    small = first.join(sizes.filter(F.col("m") <= bucket).select("k"), "k")
-    large = sizes.filter(F.col("m") > bucket).select(F.col("k").alias("p1"))
-    deep = classes.select("c1", "sketch", F.explode("trees").alias("t")).select("c1", "sketch", "t.*").join(large, "p1")
+    sizes, total = counted(first, "sizes-1")
+    small = met(first, sizes, "k", "n", total, only=F.col("n") <= bucket)
+    deep = met(classes.select("c1", "sketch", F.explode("trees").alias("t")).select("c1", "sketch", F.col("t.p1").alias("k"), "t.kids"), sizes, "k", "n", total, only=F.col("n") > bucket)
     deep = written(deep.select("c1", "sketch", F.explode("kids").alias("t")).select("c1", "sketch", F.col("t.p2").alias("k"), "t.p3s"), "deep")
-    more = deep.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    middle = deep.join(more.filter(F.col("m") <= bucket).select("k"), "k")
-    third = deep.join(more.filter(F.col("m") > bucket).select("k"), "k").select("c1", "sketch", F.explode("p3s").alias("k"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    # A pair at the threshold and a leader that is `same` as one of it are this far apart at most.
+    sizes, total = counted(deep, "sizes-2")
+    middle = met(deep.select("c1", "sketch", "k"), sizes, "k", "n", total, only=F.col("n") <= bucket)
+    third = met(deep, sizes, "k", "n", total, only=F.col("n") > bucket)
+    third = written(third.select("c1", "sketch", F.explode("p3s").alias("k")), "third")
+    sizes, total = counted(third, "sizes-3")
+    # The rare bucket that is large at the end of its path is dealt into parts.
+    sizes = written(sizes.filter(F.col("n") > part).withColumn("parts", F.ceil(F.col("n") / part).cast("int")), "large")
+    large = not sizes.isEmpty()
+    third = met(third, sizes, "k", "n", total, "left") if large else third.withColumn("parts", F.lit(None).cast("int"))
+    # A pair at the threshold and a leader that is `same` as one of it are this far apart at most; the leaders of both, by `same` once more.
     error = 3 * math.sqrt(0.25 / SKETCH)
-    same, near = 0.9, max(0.05, 1 - (1 - jaccard) - (1 - 0.9 + error / 3) - error)
-    near_few = max(0.05, jaccard - (1 - same) - 0.02)  # fingerprints are exact but for rare equal ones
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, rows = None, [], []
-
-        def done() -> list[tuple[int, int]]:
-            return leader_links(ids, rows, same, near, near_few) if len(ids) > 1 else []
-
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for k, c, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != key:
-                    out += done()
-                    key, ids, rows = k, [], []
-                ids.append(c)
-                rows.append(s)
-            yield _batch(out, schema)
-        yield _batch(done(), schema)
-
-    met = small.select("k", "c1", "sketch").unionByName(middle.select("k", "c1", "sketch")).unionByName(third)
-    return met.repartition(F.col("k")).sortWithinPartitions("k", "c1").mapInArrow(compare, "a long, b long").filter("a <> b")
+    same = 0.9
+    slack = 1 - same + error / 3
+    near, far = (max(0.05, jaccard - hops * slack - error) for hops in (1, 2))
+    near_few, far_few = (max(0.05, jaccard - hops * (1 - same) - 0.02) for hops in (1, 2))  # fingerprints are exact but for rare equal ones
+
+    def compare(near: float, near_few: float):
+        """From rows (c1, sketch, key columns, flag) sorted by key: links (a, b), and where the flag is set the leaders (k, c1, sketch)."""
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("sketch", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, ids, rows, flag = None, [], [], False
+
+            def done() -> list[tuple]:
+                if len(ids) < 2 and not flag:
+                    return []
+                links, leaders = leader_links(ids, rows, same, near, near_few)
+                return [(a, b, None, None) for a, b in links if a != b] + [(ids[i], ids[i], key[0], rows[i]) for i in leaders if flag]
+
+            for batch in batches:
+                out: list[tuple] = []
+                for c, s, *k, f in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                    if k != key:
+                        out += done()
+                        key, ids, rows, flag = k, [], [], f
+                    ids.append(c)
+                    rows.append(s)
+                yield _batch(out, schema)
+            yield _batch(done(), schema)
+
+        return run
+
+    own = F.coalesce(F.pmod(F.xxhash64("c1"), F.col("parts")), F.lit(0)).cast("int")
+    rows = small.select("c1", "sketch", "k", F.lit(0).alias("part"), F.lit(False).alias("f")).unionByName(middle.select("c1", "sketch", "k", F.lit(0).alias("part"), F.lit(False).alias("f")))
+    rows = rows.unionByName(third.select("c1", "sketch", "k", own.alias("part"), F.col("parts").isNotNull().alias("f")))
+    links = rows.repartition(F.col("k"), F.col("part")).sortWithinPartitions("k", "part", "c1").mapInArrow(compare(near, near_few), "a long, b long, k long, sketch binary")
+    if not large:
+        return links.select("a", "b")
+    links = written(links, "bucket-links")
+    leaders = links.filter("k is not null").select(F.col("a").alias("c1"), "sketch", "k")
+    sizes = written(leaders.groupBy("k").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int")), "leaders")
+    blocks = met(leaders, sizes, "k", "n", sizes.agg(F.sum("n")).first()[0]).withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("c1", "sketch", "k", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.lit(False).alias("f"))
+    across = blocks.repartition(F.col("k"), F.col("x"), F.col("y")).sortWithinPartitions("k", "x", "y", "c1").mapInArrow(compare(far, far_few), "a long, b long, k long, sketch binary")
+    return links.filter("k is null").select("a", "b").unionByName(across.select("a", "b"))
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -324,13 +358,11 @@ def _links_of(left: list[tuple], right: list[tuple] | None, ratio: tuple[int, in
     return found
 
 
-def exact_links(sets: DataFrame, block: int, ratio: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """From (label, c1, c2, copies, own) of classes in candidate components: (c1, c2, links) in documents, and star links (a, b) of exact components."""
-    blocks = sets.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
+def exact_links(sets: DataFrame, ratio: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """From (label, blocks, mine, c1, c2, copies, own) of classes in candidate components, each dealt into blocks: (c1, c2, links) in documents, and star links (a, b) of exact components."""
     # A class meets every block of its component once; a pair of blocks is one group.
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("label", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "c1", "c2", "copies", "own")
+    meets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("label", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "c1", "c2", "copies", "own")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("links", pa.int64())])
 
     def star(rows: list[tuple], found: np.ndarray, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
@@ -382,40 +414,47 @@ def exact_links(sets: DataFrame, block: int, ratio: tuple[int, int]) -> tuple[Da
             yield _batch(out, schema)
         yield _batch(done(), schema)
 
-    # Blocks of hash-dealt classes can be a little uneven; sizes stay near `block`.
-    found = written(met.repartition(F.col("label"), F.col("x"), F.col("y")).sortWithinPartitions("label", "x", "y").mapInArrow(check, "a long, b long, c1 long, c2 long, links long"), "links")
+    found = written(meets.repartition(F.col("label"), F.col("x"), F.col("y")).sortWithinPartitions("label", "x", "y").mapInArrow(check, "a long, b long, c1 long, c2 long, links long"), "links")
     return found.groupBy("c1", "c2").agg(F.sum("links").alias("links")), found.select("a", "b")
 
 
-def joined(docs: DataFrame, recall: float = 0.999, width: int = WIDTH, ratio: tuple[int, int] = (NUMERATOR, DENOMINATOR), bucket: int = 64, block: int = 512) -> DataFrame:
-    """doc_id, h, class_id, n_links for docs (doc_id, text)."""
+def joined(docs: DataFrame, recall: float = 0.999, width: int = WIDTH, ratio: tuple[int, int] = (NUMERATOR, DENOMINATOR), bucket: int = 64, block: int = 1024, block_bytes: int = 8 << 20, part: int = PART) -> DataFrame:
+    """doc_id, h, class_id, n_links for docs (doc_id, text); a written table."""
     small_batches(docs.sparkSession)
+    since, jaccard = mark(), ratio[0] / ratio[1]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = written(members(docs, runs_for(recall, ratio[0] / ratio[1]), width, ratio[0] / ratio[1]), "members")
+    rows = written(members(docs, runs_for(recall, jaccard), width, jaccard), "members")
     some = rows.filter("n > 0")
     # One row for each class; copies combine before they travel.
-    classes = some.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("trees", ignorenulls=True).alias("trees"), F.min(F.struct("doc_id", "h")).alias("one"))
+    classes = some.groupBy("c1", "c2").agg(
+        F.count("*").alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("trees", ignorenulls=True).alias("trees"), F.min(F.struct("doc_id", "h")).alias("one")
+    )
     classes = written(classes, "classes")
-    near = components(candidate_links(classes, bucket, ratio[0] / ratio[1]))
-    wanted = classes.select("c1", "c2", "copies", "one.*").join(near.withColumnRenamed("node", "c1"), "c1")
+    near = components(candidate_links(classes.select("c1", "sketch", "trees"), bucket, jaccard, part))
+    wanted = written(classes.select("c1", "c2", "copies", "n", "one.*").join(near.withColumnRenamed("node", "c1"), "c1"), "wanted")
+    # Blocks of hash-dealt classes can be a little uneven; they stay near `block` sets and `block_bytes`.
+    blocks = wanted.groupBy("label").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
+    dealt = met(wanted.drop("n"), blocks, "label", "m", wanted.count()).withColumn("mine", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("label", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("copies", pa.int64()), ("own", pa.binary())])
+        schema = pa.schema([("label", pa.int64()), ("blocks", pa.int32()), ("mine", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("copies", pa.int64()), ("own", pa.binary())])
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                yield _batch([(*r, shingles(t.as_buffer().to_pybytes(), width).tobytes()) for *r, t in zip(*(part.column(i).to_pylist() for i in range(4)), part.column(4), strict=True)], schema)
+                cut = batch.slice(low, 1000)
+                yield _batch([(*r, shingles(t.as_buffer().to_pybytes(), width).tobytes()) for *r, t in zip(*(cut.column(i).to_pylist() for i in range(6)), cut.column(6), strict=True)], schema)
 
-    sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["h"] == wanted["h"])).select("label", "c1", "c2", "copies", "text").mapInArrow(emit, "label long, c1 long, c2 long, copies long, own binary")
-    links, stars = exact_links(sets, block, ratio)
+    sets = docs.join(dealt, docs["doc_id"].eqNullSafe(dealt["doc_id"]) & (docs["h"] == dealt["h"])).select("label", "blocks", "mine", "c1", "c2", "copies", "text").mapInArrow(emit, "label long, blocks int, mine int, c1 long, c2 long, copies long, own binary")
+    links, stars = exact_links(sets, ratio)
     labels = components(stars.filter("a <> b"))
-    per_class = classes.select("c1", "c2", "copies").join(links, ["c1", "c2"], "left").join(labels.withColumnRenamed("node", "c1"), "c1", "left")
-    per_class = per_class.select("c1", "c2", F.coalesce("label", "c1").alias("label"), F.when(F.col("label").isNull(), F.col("c2")).alias("own"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    each = some.select("doc_id", "h", "c1", "c2").join(per_class, ["c1", "c2"])
-    names = each.groupBy("label", "own").agg(F.min("doc_id").alias("class_id"))
-    each = each.join(names, (each["label"] == names["label"]) & each["own"].eqNullSafe(names["own"])).select("doc_id", "h", "class_id", "n_links")
-    return each.unionByName(rows.filter("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    per_class = classes.select("c1", "c2", "copies", "least").join(links, ["c1", "c2"], "left").join(labels.withColumnRenamed("node", "c1"), "c1", "left")
+    per_class = written(per_class.select("c1", "c2", "copies", "least", "label", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "verdicts")
+    linked = per_class.filter("label is not null")
+    names = linked.groupBy("label").agg(F.min("least").alias("class_id"), F.count("*").alias("m"))
+    named = met(linked, names, "label", "m", linked.count()).select("c1", "c2", "copies", "class_id", "n_links")
+    named = named.unionByName(per_class.filter("label is null").select("c1", "c2", "copies", F.col("least").alias("class_id"), "n_links"))
+    each = met(some.select("doc_id", "h", "c1", "c2"), named, ["c1", "c2"], "copies", rows.count()).select("doc_id", "h", "class_id", "n_links")
+    return settled(each.unionByName(rows.filter("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))), "near-duplicates", since)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
