@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from feedback_engine.llm.common import dropped, folder_of, met, small_batches, table, written
 
 LEAST = 400
+#: Bytes from which a text loses what it shares: fifty words of five bytes with their blank, so passages of more than fifty words are found in languages of short words too.
+PASSAGE = 250
 GRAM = 48
 BLOCK = 1 << 18
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
@@ -363,7 +365,7 @@ def remaining(data: bytes, flat: list[int] | None) -> tuple[bytes, list[tuple[in
     return b"".join(out) + data[at:], runs
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """docs with the repeated bytes of their text removed (and n_chars, if there, brought up to date); the other columns stay."""
     _, marks = spans(hashed(docs), least)
     others = [c for c in docs.columns if c != "text"]

@@ -60,7 +60,7 @@ def test_intervals_have_all_occurrences():
 
 
 def test_without_repeats(spark, odd_docs, texts):
-    out = r.without_repeats(odd_docs)
+    out = r.without_repeats(odd_docs, r.LEAST)
     assert out.columns == odd_docs.columns
     got = sorted((str(x["doc_id"]), str(x["text"])) for x in out.collect())
     want = sorted((str(x["doc_id"]), "word " * 0 if x["doc_id"] == 7 else str(x["text"])) for x in odd_docs.collect())
@@ -68,6 +68,20 @@ def test_without_repeats(spark, odd_docs, texts):
     assert r.without_repeats(odd_docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [51, 60, 80])
+def test_passages_of_over_fifty_words_go(spark, words):
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 4, 5, 6, 8])))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, short = prose(words), prose(30)
+    texts = [prose(90) + " " + passage + " " + prose(90) for _ in range(5)] + [prose(60) + " " + short + " " + prose(60) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in r.without_repeats(docs).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i] == t) == (i >= 5)
+        assert i >= 5 or passage[2:-2] not in got[i] and got[i].startswith(t[:200]) and got[i].endswith(t[-200:])
+
+
 def test_hot_keys_are_dealt(spark):
     from feedback_engine.llm.common import met
 
