@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedback_engine.functions.text import tags
+from feedback_engine.functions.text import plain, tags
 from feedback_engine.operators.shape import ISSUE, merged_results, pending, sanitised
 
 #: Dollars for a million tokens in and out.
@@ -30,7 +30,8 @@ def load_rules(path: str) -> list[tuple[str, list[str]]]:
 
 def by_rules(records: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], text: str = "text") -> DataFrame:
     """records with their tags and a confidence: high with one tag or more, else none."""
-    out = records.withColumn("tags", tags(F.coalesce(F.col(text), F.lit("")), rules))
+    own = F.coalesce(F.col(text), F.lit(""))
+    out = records.withColumn("_bare", plain(own)).withColumn("tags", tags(own, rules, F.col("_bare"))).drop("_bare")
     return out.withColumn("confidence", F.when(F.size("tags") > 0, "high").otherwise("none"))
 
 
@@ -93,6 +94,11 @@ def with_results(records: DataFrame, results: DataFrame, key: str, version: str)
     return merged_results(records, results, key, version, {"tags": F.array().cast("array<string>"), "confidence": F.lit("none")})
 
 
+def last_errors(results: DataFrame, order: Sequence[str], n: int = 20) -> DataFrame:
+    """The last n results with an error, newest first."""
+    return results.filter("error is not null").orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
 def costs(log: DataFrame) -> DataFrame:
     """Tokens and dollars of a run log (tokens_in, tokens_out, violations)."""
     dollars = F.sum("tokens_in") / 1e6 * PRICE_IN + F.sum("tokens_out") / 1e6 * PRICE_OUT

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 #: Words that n-grams leave out.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from "
-    "as into through during before after above below between out off over under again further then once here there when where why how all both each few more most other "
-    "some such no nor not only own same so than too very just don now and but or if while that this it its i me my we our you your he him his she her they them their "
-    "what which who whom up about s t re ve d ll m really much get got like also even"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as",
+    "into", "through", "during", "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "just", "don", "now", "and", "but", "or", "if", "while", "that", "this", "it", "its", "i",
+    "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "they", "them", "their", "what", "which", "who", "whom", "up", "about",
+    "s", "t", "re", "ve", "d", "ll", "m", "really", "much", "get", "got", "like", "also", "even",
+)
 #: Java flags that make a rule ignore case and see Unicode words and lines that end in \n alone.
 FLAGS = "(?idU)"
 
@@ -47,11 +50,59 @@ def ngrams(text: Column, n: int, stop_words: Sequence[str] = STOP_WORDS) -> Colu
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), gram)).otherwise(F.array().cast("array<string>"))
 
 
-def any_match(text: Column, patterns: Sequence[str]) -> Column:
-    """Whether one of the patterns is found; they become one alternation, so the text is read once."""
-    return text.rlike(FLAGS + "|".join(f"(?:{p})" for p in patterns))
+def plain(text: Column) -> Column:
+    """The text for patterns in ASCII: other letters, digits and marks become "_", which is part of a word as they are, other signs blanks."""
+    return F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}\p{M}]", " "), r"[^\x00-\x7F]", "_")
+
+
+def _divided(pattern: str) -> bool:
+    """Whether a pattern has a "|" outside of all groups."""
+    depth = inside = at = 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = 1
+        elif c == "|" and not depth:
+            return True
+        depth += (c == "(") - (c == ")") if not inside else 0
+        at += 1
+    return False
+
+
+def alternation(patterns: Sequence[str]) -> str:
+    """One pattern for all; a word boundary that many begin with is tried once at each place."""
+    edge = [p[2:] for p in patterns if p.startswith(r"\b") and not _divided(p)]
+    rest = [p for p in patterns if not p.startswith(r"\b") or _divided(p)]
+    parts = [r"\b(?:" + "|".join(edge) + ")"] if edge else []
+    return "|".join([*parts, *(f"(?:{p})" for p in rest)])
+
+
+def any_match(text: Column, patterns: Sequence[str], bare: Column | None = None) -> Column:
+    """Whether one of the patterns is found, whatever the case, by Unicode words.
+
+    Patterns in ASCII run on the plain text (bare, if it is at hand), where Java
+    needs no Unicode tables; others on the text itself, and only where it has a
+    letter of theirs.
+    """
+    narrow, wide = [p for p in patterns if p.isascii()], [p for p in patterns if not p.isascii()]
+    out = (plain(text) if bare is None else bare).rlike("(?id)" + alternation(narrow)) if narrow else None
+    if wide:
+        letters = sorted({c for p in wide for x in p if not x.isascii() for c in (x.lower(), x.upper())})
+        far = [c for c in letters if c > "\u00ff"]  # a range is one comparison
+        found = text.rlike("[" + "".join(c for c in letters if c <= "\u00ff") + (f"{far[0]}-{far[-1]}" if far else "") + "]") & text.rlike(FLAGS + alternation(wide))
+        out = found if out is None else out | found
+    return F.lit(False) if out is None else out
+
+
+def tags(text: Column, rules: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None) -> Column:
+    """Names of the rules (name, patterns) that match, in their order."""
+    return F.filter(F.array(*[F.when(any_match(text, p, bare), F.lit(name)) for name, p in rules]), lambda x: x.isNotNull())
 
 
-def tags(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Names of the rules (name, patterns) that match, in their order."""
-    return F.filter(F.array(*[F.when(any_match(text, p), F.lit(name)) for name, p in rules]), lambda x: x.isNotNull())
+def tags_by_side(text: Column, negative: Column, negatives: Sequence[tuple[str, Sequence[str]]], positives: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None) -> Column:
+    """The tags of one of two tables of rules, by the side of the text; the other table's rules do not run."""
+    return F.when(negative, tags(text, negatives, bare)).otherwise(tags(text, positives, bare))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedback_engine.functions.numbers import change_percent, count_if
+from feedback_engine.functions.numbers import change_percent, count_if, percent
 from feedback_engine.operators.rank import top_per_group
 
 
@@ -32,10 +32,11 @@ def by_language_and_tag(complaints: DataFrame, tagged: DataFrame, least: int = 5
     go, and tags whose best is rarer than `least_tag`.
     """
     own = complaints.filter(F.col("language") != "")
-    every = own.groupBy("language", "text").agg(F.count("*").alias("n")).withColumn("tag", F.lit("_all"))
-    per_tag = own.join(tagged, "rec_id").groupBy("language", "tag", "text").agg(F.count("*").alias("n"))
-    rows = every.select("language", "tag", "text", "n").unionByName(per_tag)
-    heard = every.groupBy("language").agg(F.max("n").alias("best")).filter(F.col("best") >= least).select("language")
+    # A complaint counts for "_all" and for each tag of its record: one join, one aggregation.
+    sets = tagged.groupBy("rec_id").agg(F.collect_set("tag").alias("tags"))
+    each = own.join(sets, "rec_id", "left").select("language", "text", F.explode(F.concat(F.array(F.lit("_all")), F.coalesce("tags", F.array().cast("array<string>")))).alias("tag"))
+    rows = each.groupBy("language", "tag", "text").agg(F.count("*").alias("n"))
+    heard = rows.filter(F.col("tag") == "_all").groupBy("language").agg(F.max("n").alias("best")).filter(F.col("best") >= least).select("language")
     rows = rows.join(heard, "language", "left_semi")
     ranked = top_per_group(rows, ["language", "tag"], [F.desc("n"), F.asc("text")], top)
     first = F.first("n").over(Window.partitionBy("language", "tag").orderBy("rank"))
@@ -77,6 +78,18 @@ def change_log_stats(patches: DataFrame) -> DataFrame:
     return patches.agg(F.count("*").alias("patches"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("changes"), count_if(n > 0).alias("with_changes"))
 
 
+def extraction_stats(records: DataFrame) -> DataFrame:
+    """Of records (rec_id, n issues, p primary ones; null without any): issues, issues a record, primary ones, and records without an issue."""
+    n, p = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "p"))
+    out = records.agg(n.cast("long").alias("n_issues"), F.count("*").alias("n_records"), F.round(F.try_divide(n.cast("double"), F.count("*").cast("double")), 2).alias("per_record"), p.cast("long").alias("n_primary"), count_if(F.col("n").isNull()).alias("n_empty"))
+    return out.withColumn("empty_pct", percent(F.col("n_empty"), F.col("n_records")))
+
+
+def ordered_log(log: DataFrame, date: str, version: str) -> DataFrame:
+    """A change log, by date, with its place; entries without a date last. A log has a row for each release, so one task sorts it."""
+    return log.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last(date), F.asc(version))))
+
+
 def spikes(daily: DataFrame, day: str = "day", value: str = "negative", days: int = 14, factor: float = 3.0, least: int = 10) -> DataFrame:
     """Days whose value is `factor` times the mean of the days before, and `least` at least. daily has a row for each day."""
     w = Window.orderBy(day).rowsBetween(-days, -1)

@@ -8,27 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedback_engine.functions.numbers import change_percent, count_if, percent
+from feedback_engine.operators.rank import top_per_group
 
 OUTSIDE = "Off-season"
 #: Intervals that become one CASE expression; more are joined by the day.
 CASE_ROWS = 200
 
 
-def with_period(df: DataFrame, periods: DataFrame, ts: str = "ts", outside: str = OUTSIDE) -> DataFrame:
+def with_period(df: DataFrame, periods: DataFrame | Sequence[tuple], ts: str = "ts", outside: str = OUTSIDE) -> DataFrame:
     """df with ord and season of the interval [start_ts, end_ts) that holds ts; else null and `outside`.
 
-    A small interval table becomes one CASE expression (the first match wins), so
+    periods: rows (ord, season, start_ts, end_ts), as a table or, without a job to
+    read it, as a list. A small interval table becomes one CASE expression (the first match wins), so
     no row moves and no join is planned. A larger one, whose intervals must not
     overlap, is joined by the day, exploded over its days.
     """
-    rows = periods.orderBy("ord").limit(CASE_ROWS + 1).collect()
+    if isinstance(periods, DataFrame):
+        rows = [(r["ord"], r["season"], r["start_ts"], r["end_ts"]) for r in periods.orderBy("ord").limit(CASE_ROWS + 1).collect()]
+    else:
+        rows = sorted(periods)
+        periods = df.sparkSession.createDataFrame(rows, "ord int, season string, start_ts timestamp_ntz, end_ts timestamp_ntz") if len(rows) > CASE_ROWS else None
     if not rows:
         return df.withColumns({"ord": F.lit(None).cast("int"), "season": F.lit(outside)})
     if len(rows) <= CASE_ROWS:
         name, ord_ = F, F
-        for r in rows:
-            inside = (F.col(ts) >= F.lit(r["start_ts"])) & (F.col(ts) < F.lit(r["end_ts"]))
-            name, ord_ = name.when(inside, r["season"]), ord_.when(inside, r["ord"])
+        for i, label, start, end in rows:
+            inside = (F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end))
+            name, ord_ = name.when(inside, label), ord_.when(inside, i)
         return df.withColumns({"ord": ord_, "season": name.otherwise(outside)})
     left = df.withColumn("_day", F.to_date(ts)).alias("l")
     right = periods.withColumn("_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts")))).alias("r")
@@ -42,28 +48,28 @@ def health(df: DataFrame, *keys: str) -> DataFrame:
     return sides.withColumn("approval", percent(F.col("positive"), F.col("total")))
 
 
-def last_two(df: DataFrame, periods: DataFrame) -> DataFrame:
-    """The last two periods of the table that occur in df, as (ord, is_last): two rows at most."""
-    present = df.filter(F.col("ord").isNotNull()).select("ord").distinct()
-    return present.orderBy(F.desc("ord")).limit(2).withColumn("is_last", F.row_number().over(Window.orderBy(F.desc("ord"))) == 1)
+def last_two(per_period: DataFrame) -> DataFrame:
+    """The last two rows of a table with one row for each period (ord and more), with is_last."""
+    place = F.row_number().over(Window.orderBy(F.desc("ord")))  # periods, not records
+    return per_period.filter("ord is not null").withColumn("_place", place).filter("_place <= 2").withColumn("is_last", F.col("_place") == 1).drop("_place")
 
 
-def share_changes(counts: DataFrame, totals: DataFrame, pair: DataFrame, n: int = 15) -> DataFrame:
-    """Keys whose share rose (trending) or fell (fixed) most between the two periods of pair.
+def share_changes(counts: DataFrame, per_period: DataFrame, n: int = 15) -> DataFrame:
+    """Keys whose share rose (trending) or fell (fixed) most between the last two periods.
 
-    counts: ord, tag, n; totals: ord, total. Shares are percent of the period's
-    total (at least 1); the difference is rounded, and ranked as rounded.
+    counts: ord, tag, n; per_period: ord, total, a row for each period that
+    occurs. Shares are percent of the period's total (at least 1); the difference
+    is rounded, and ranked as rounded.
     """
-    two = F.broadcast(pair)  # two rows
+    two = last_two(per_period)
     side = lambda last, x: F.coalesce(F.sum(F.when(F.col("is_last") == last, x)), F.lit(0)).cast("long")
-    t = totals.join(two, "ord").agg(side(False, F.col("total")).alias("t0"), side(True, F.col("total")).alias("t1"), F.count("*").alias("periods"))
-    c = counts.join(two, "ord").groupBy("tag").agg(side(False, F.col("n")).alias("prev"), side(True, F.col("n")).alias("curr"))
+    t = two.agg(side(False, F.col("total")).alias("t0"), side(True, F.col("total")).alias("t1"), F.count("*").alias("periods"))
+    c = counts.join(F.broadcast(two.select("ord", "is_last")), "ord").groupBy("tag").agg(side(False, F.col("n")).alias("prev"), side(True, F.col("n")).alias("curr"))  # two rows
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1)) * 100
     both = c.crossJoin(F.broadcast(t)).filter("periods = 2")  # t is one row
     both = both.select("tag", "prev", "curr", F.round(share("curr", "t1") - share("prev", "t0"), 1).alias("delta"))
-    up = both.filter("delta > 0").orderBy(F.desc("delta"), "tag").limit(n).withColumn("kind", F.lit("trending"))
-    down = both.filter("delta < 0").orderBy(F.asc("delta"), "tag").limit(n).withColumn("kind", F.lit("fixed"))
-    return up.unionByName(down)
+    both = both.withColumn("kind", F.when(F.col("delta") > 0, "trending").when(F.col("delta") < 0, "fixed")).filter("kind is not null")
+    return top_per_group(both, ["kind"], [F.desc(F.abs("delta")), F.asc("tag")], n).drop("rank")
 
 
 def with_previous(counts: DataFrame, ords: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def deviation(records: DataFrame, tagged: DataFrame, group: str = "language", le
 
     The frequent tags are `top` rows, so pairing groups with them is bounded.
     """
-    overall = records.agg(F.count("*").alias("all"))
-    groups = counted(records, group, name="total").filter(F.col("total") >= least)
-    common = counted(tagged, "tag", name="tag_n").orderBy(F.desc("tag_n"), "tag").limit(top).crossJoin(overall)
-    own = counted(tagged, group, "tag", name="own_n")
+    every, own = counted(records, group, name="total"), counted(tagged, group, "tag", name="own_n")
+    # Totals come from the groups' counts, so records and tags are each aggregated once.
+    overall = every.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("all"))
+    groups = every.filter(F.col("total") >= least)
+    common = own.groupBy("tag").agg(F.sum("own_n").alias("tag_n")).orderBy(F.desc("tag_n"), "tag").limit(top).crossJoin(overall)
     grid = groups.crossJoin(F.broadcast(common)).join(own, [group, "tag"], "left")
     share, base = F.col("own_n") / F.col("total") * 100, F.col("tag_n") / F.greatest(F.col("all"), F.lit(1)) * 100
     grid = grid.withColumns({"share": F.coalesce(share, F.lit(0.0)), "base": base}).filter(F.abs(F.col("share") - F.col("base")) >= points)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedback_engine.functions.numbers import count_if, percent
-from feedback_engine.functions.text import FLAGS, any_match, ngrams
+from feedback_engine.functions.text import any_match, ngrams, plain, tags
+from feedback_engine.operators.rank import top_per_group
 
 #: Lengths from the first bound, below the second.
 LENGTHS = (
@@ -23,21 +24,38 @@ LENGTHS = (
 )
 
 
-def term_frequency(df: DataFrame, terms: dict[str, str], text: str = "text", side: str = "sentiment") -> DataFrame:
-    """How many negative, positive and all texts hold each term; one pass over the texts."""
-    hits = F.array(*[F.struct(F.lit(name).alias("term"), F.col(text).rlike(FLAGS + pattern).alias("hit")) for name, pattern in terms.items()])
-    rows = df.select(side, F.explode(F.filter(hits, lambda h: h["hit"])).alias("h"))
-    return rows.groupBy(F.col("h.term").alias("term")).agg(count_if(F.col(side) == "negative").alias("negative"), count_if(F.col(side) == "positive").alias("positive"), F.count("*").alias("total"))
+def term_frequency(df: DataFrame, terms: dict[str, str], text: str = "text", side: str = "sentiment", group: int = 12) -> DataFrame:
+    """How many negative, positive and all texts hold each term; one pass over the texts.
+
+    Terms are looked for in groups; only where a group is found are its members tried.
+    """
+    names = list(terms)
+    own = df.select(side, F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
+    hits = []
+    for at in range(0, len(names), group):
+        part = names[at : at + group]
+        each = F.array(*[F.when(any_match(F.col("text"), [terms[x]], F.col("bare")), F.lit(x)) for x in part])
+        hits.append(F.when(any_match(F.col("text"), [terms[x] for x in part], F.col("bare")), each).otherwise(F.array().cast("array<string>")))
+    rows = own.select(side, F.explode(F.concat(*hits)).alias("term")).filter("term is not null")
+    return rows.groupBy("term").agg(count_if(F.col(side) == "negative").alias("negative"), count_if(F.col(side) == "positive").alias("positive"), F.count("*").alias("total"))
 
 
 def themes(df: DataFrame, rules: dict[str, Sequence[str]], text: str = "text") -> DataFrame:
     """Texts that match a theme, in percent of all."""
-    flags = [count_if(any_match(F.col(text), p)).alias(f"m{i}") for i, p in enumerate(rules.values())]
-    one = df.agg(F.count("*").alias("total"), *flags)
+    own = df.select(F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
+    flags = [count_if(any_match(F.col("text"), p, F.col("bare"))).alias(f"m{i}") for i, p in enumerate(rules.values())]
+    one = own.agg(F.count("*").alias("total"), *flags)
     pairs = F.array(*[F.struct(F.lit(name).alias("theme"), F.col(f"m{i}").alias("n")) for i, name in enumerate(rules)])
     return one.select("total", F.explode(pairs).alias("p")).select("p.theme", "p.n", percent(F.col("p.n"), F.col("total")).alias("pct"))
 
 
+def theme_samples(df: DataFrame, rules: dict[str, Sequence[str]], key: str, n: int = 3, longest: int = 200, text: str = "text") -> DataFrame:
+    """The first n texts (by key) of each theme, cut to `longest` characters."""
+    own = df.select(key, F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
+    hits = own.select(key, "text", F.explode(tags(F.col("text"), list(rules.items()), F.col("bare"))).alias("theme"))
+    return top_per_group(hits.select("theme", key, F.substring("text", 1, longest).alias("sample")), ["theme"], [F.asc(key)], n)
+
+
 def top_ngrams(df: DataFrame, n: int, top: int, text: str = "text") -> DataFrame:
     """The most frequent n-grams, ties to the smaller."""
     grams = df.select(F.explode(ngrams(F.col(text), n)).alias("gram"))

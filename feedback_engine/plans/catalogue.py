@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedback_engine.functions import numbers, text as textfn, time
+from feedback_engine.functions import numbers, rule_tables, text as textfn, time
 from feedback_engine.functions.canonical import canonical
 from feedback_engine.operators import issues as issue_ops
 from feedback_engine.operators import periods, quality, rank, sampling, shape, tags, textmining
@@ -63,21 +63,39 @@ def playtime_bracket(spark, d):
     return views.records(spark, d).select("rec_id", "hours", "bracket")
 
 
-@query(f"""SELECT {SIDES}, CAST(sum(CASE WHEN tagged THEN 1 ELSE 0 END) AS BIGINT) AS classified, CAST(sum(CASE WHEN tagged THEN 0 ELSE 1 END) AS BIGINT) AS unclassified, count(DISTINCT language) AS n_languages
- FROM (SELECT rec.*, rec_id IN (SELECT rec_id FROM tag) AS tagged FROM rec)""")
+@query(f"""SELECT {SIDES}, CAST(sum(CASE WHEN tagged THEN 1 ELSE 0 END) AS BIGINT) AS classified, CAST(sum(CASE WHEN tagged THEN 0 ELSE 1 END) AS BIGINT) AS unclassified, count(DISTINCT language) AS n_languages,
+ count(*) FILTER (u > ts + INTERVAL 60 DAY) AS updated
+ FROM (SELECT rec.*, rec_id IN (SELECT rec_id FROM tag) AS tagged, u FROM rec LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS u FROM lineitem GROUP BY 1) ON l_orderkey = rec_id)""")
 def overview_stats(spark, d):
-    any_tag = views.issues(spark, d).select("rec_id").distinct().withColumn("tagged", F.lit(True))
-    rows = views.records(spark, d).join(any_tag, "rec_id", "left")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    per_record = lines.groupBy(F.col("l_orderkey").alias("rec_id")).agg(F.max("l_shipdate").alias("u"), F.max(F.col("p_partkey").isNotNull()).alias("tagged"))
+    rows = views.records(spark, d).join(per_record, "rec_id", "left").withColumn("tagged", F.coalesce("tagged", F.lit(False)))
     own = F.col("sentiment")
     return rows.agg(
         F.count("*").alias("total"), numbers.count_if(own == "positive").alias("positive"), numbers.count_if(own == "negative").alias("negative"),
-        numbers.count_if(F.col("tagged").isNotNull()).alias("classified"), numbers.count_if(F.col("tagged").isNull()).alias("unclassified"), F.count_distinct("language").alias("n_languages"),
+        numbers.count_if(F.col("tagged")).alias("classified"), numbers.count_if(~F.col("tagged")).alias("unclassified"), F.count_distinct("language").alias("n_languages"),
+        numbers.count_if(F.coalesce(F.col("u") > F.col("ts") + F.expr("INTERVAL '60' DAY"), F.lit(False))).alias("updated"),
     )
 
 
-@query("SELECT sentiment, tag, count(*) AS n FROM rt GROUP BY sentiment, tag")
+RANKINGS = """WITH s AS (SELECT sentiment, count(*) AS total, count(*) FILTER (rec_id NOT IN (SELECT rec_id FROM tag)) AS unclassified FROM rec {where} GROUP BY 1), n AS (SELECT sentiment, tag, count(*) AS n FROM rt {where} GROUP BY 1, 2)
+ SELECT n.sentiment, tag, n, total, unclassified FROM n JOIN s ON s.sentiment = n.sentiment"""
+
+
+def _rankings(spark, d, where: str):
+    """Tags of each side with the side's records and those of them without a tag."""
+    sets = views.tagged(spark, d).groupBy("rec_id").agg(F.collect_list("tag").alias("tags"))
+    rows = views.records(spark, d).filter(where).select("rec_id", "sentiment").join(sets, "rec_id", "left")
+    # A record counts once for itself (a null tag) and once for each tag.
+    each = rows.select("sentiment", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tags", F.array().cast("array<string>")))).alias("tag"), F.col("tags").isNull().alias("bare"))
+    found = each.groupBy("sentiment", "tag").agg(F.count("*").alias("n"), numbers.count_if(F.col("bare")).alias("bare"))
+    sides = found.filter("tag is null").select("sentiment", F.col("n").alias("total"), F.col("bare").alias("unclassified"))
+    return found.filter("tag is not null").select("sentiment", "tag", "n").join(F.broadcast(sides), "sentiment").select("sentiment", "tag", "n", "total", "unclassified")  # two rows
+
+
+@query(RANKINGS.format(where=""))
 def category_rankings(spark, d):
-    return rank.counted(views.record_tags(spark, d), "sentiment", "tag")
+    return _rankings(spark, d, "true")
 
 
 @query(top_sql("SELECT season, sentiment, tag, count(*) AS n FROM rt GROUP BY season, sentiment, tag", "season, sentiment", "n DESC, tag", 10, "season, sentiment, tag, n, rank"))
@@ -120,19 +138,36 @@ def bracket_profile(spark, d):
     return names.join(found, "bracket", "left").select("place", "bracket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "positive", "negative")], F.coalesce("approval", F.lit(0.0)).alias("approval"))
 
 
+@query(top_sql("SELECT bracket, sentiment, tag, count(*) AS n FROM rt GROUP BY 1, 2, 3", "bracket, sentiment", "n DESC, tag", 10, "bracket, sentiment, tag, n, rank"))
+def bracket_top_tags(spark, d):
+    return rank.top_counts(views.record_tags(spark, d), ["bracket", "sentiment"], "tag", 10)
+
+
 @query("SELECT sentiment, tag, bracket, count(*) AS n FROM rt GROUP BY sentiment, tag, bracket")
 def tag_bracket_heatmap(spark, d):
     return rank.counted(views.record_tags(spark, d), "sentiment", "tag", "bracket")
 
 
-@query(f"SELECT season, bracket, {HEALTH} FROM rec GROUP BY season, bracket HAVING count(*) >= 20")
+@query(f"SELECT season, bracket, {HEALTH} FROM rec GROUP BY season, bracket HAVING count(*) >= 5")
 def cohort_matrix(spark, d):
-    return periods.health(views.records(spark, d), "season", "bracket").filter("total >= 20")
+    return periods.health(views.records(spark, d), "season", "bracket").filter("total >= 5")
 
 
-@query("WITH big AS (SELECT language FROM rec GROUP BY language HAVING count(*) >= 500),\nn AS (SELECT language, sentiment, tag, count(*) AS n FROM rt GROUP BY language, sentiment, tag) " + top_sql("SELECT n.* FROM n SEMI JOIN big USING (language)", "language, sentiment", "n DESC, tag", 5, "language, sentiment, tag, n, rank"))
+@query("WITH big AS (SELECT season, bracket FROM rec GROUP BY 1, 2 HAVING count(*) >= 5),\nn AS (SELECT season, bracket, tag, count(*) AS n FROM rt WHERE sentiment = 'negative' GROUP BY 1, 2, 3) " + top_sql("SELECT n.* FROM n SEMI JOIN big USING (season, bracket)", "season, bracket", "n DESC, tag", 5, "season, bracket, tag, n, rank"))
+def cohort_top_tags(spark, d):
+    big = rank.counted(views.records(spark, d), "season", "bracket", name="m").filter("m >= 5").select("season", "bracket")
+    rows = rank.counted(views.record_tags(spark, d).filter("sentiment = 'negative'"), "season", "bracket", "tag")
+    return rank.top_per_group(rows.join(F.broadcast(big), ["season", "bracket"], "left_semi"), ["season", "bracket"], [F.desc("n"), F.asc("tag")], 5)  # seasons x brackets
+
+
+@query(f"SELECT language, {HEALTH} FROM rec GROUP BY language HAVING count(*) >= 20")
+def regional_health(spark, d):
+    return periods.health(views.records(spark, d), "language").filter("total >= 20")
+
+
+@query("WITH big AS (SELECT language FROM rec GROUP BY language HAVING count(*) >= 20),\nn AS (SELECT language, sentiment, tag, count(*) AS n FROM rt GROUP BY language, sentiment, tag) " + top_sql("SELECT n.* FROM n SEMI JOIN big USING (language)", "language, sentiment", "n DESC, tag", 5, "language, sentiment, tag, n, rank"))
 def regional_profile(spark, d):
-    big = rank.counted(views.records(spark, d), "language", name="m").filter("m >= 500").select("language")
+    big = rank.counted(views.records(spark, d), "language", name="m").filter("m >= 20").select("language")
     rows = rank.counted(views.record_tags(spark, d), "language", "sentiment", "tag").join(F.broadcast(big), "language", "left_semi")  # languages
     return rank.top_per_group(rows, ["language", "sentiment"], [F.desc("n"), F.asc("tag")], 5)
 
@@ -153,6 +188,37 @@ def hc_overlay(spark, d):
     return out.crossJoin(F.broadcast(n)).drop("one")  # n is one row or none
 
 
+#: The overlay exists only where some records, but not all, are of high confidence.
+PART_HIGH = "(SELECT count(*) FILTER (hc) FROM rec) > 0 AND (SELECT count(*) FILTER (NOT hc) FROM rec) > 0"
+
+
+def _if_part(spark, d, df):
+    both = views.records(spark, d).agg(F.min("hc").alias("a"), F.max("hc").alias("b")).filter("not a and b").select(F.lit(1).alias("_one"))
+    return df.crossJoin(F.broadcast(both)).drop("_one")  # one row or none
+
+
+@query(f"SELECT * FROM (SELECT {SIDES} FROM rec WHERE hc) WHERE {PART_HIGH}")
+def hc_overview(spark, d):
+    rows = views.records(spark, d).filter("hc").withColumn("all", F.lit(1))
+    return _if_part(spark, d, periods.health(rows, "all").drop("all", "approval"))
+
+
+@query(f"SELECT * FROM ({RANKINGS.format(where='WHERE hc')}) WHERE {PART_HIGH}")
+def hc_category_rankings(spark, d):
+    return _if_part(spark, d, _rankings(spark, d, "hc"))
+
+
+@query(f"SELECT * FROM ({top_sql('SELECT season, sentiment, tag, count(*) AS n FROM rt WHERE hc GROUP BY 1, 2, 3', 'season, sentiment', 'n DESC, tag', 10, 'season, sentiment, tag, n, rank')}) WHERE {PART_HIGH}")
+def hc_season_top_tags(spark, d):
+    return _if_part(spark, d, rank.top_counts(views.record_tags(spark, d).filter("hc"), ["season", "sentiment"], "tag", 10))
+
+
+@query(f"SELECT * FROM (SELECT strftime(ts, '%Y-%m') AS month, {SIDES} FROM rec WHERE hc GROUP BY 1) WHERE {PART_HIGH}")
+def hc_monthly_timeline(spark, d):
+    rows = views.records(spark, d).filter("hc").withColumn("month", time.month(F.col("ts")))
+    return _if_part(spark, d, periods.health(rows, "month").drop("approval"))
+
+
 @query("""SELECT count(*) AS total, count(*) FILTER (k > 0) AS tagged, count(*) FILTER (k = 0) AS untagged, count(*) FILTER (k > 1) AS multi, round(CAST(sum(k) AS DOUBLE) / count(*) FILTER (k > 0), 2) AS per_tagged
  FROM (SELECT rec.rec_id, count(tag.tag) AS k FROM rec LEFT JOIN tag ON tag.rec_id = rec.rec_id GROUP BY rec.rec_id)""")
 def multi_tag_stats(spark, d):
@@ -186,15 +252,14 @@ def value_fallback(spark, d):
  SELECT tag, prev, curr, delta, 'trending' AS kind FROM (SELECT * FROM s WHERE delta > 0 ORDER BY delta DESC, tag LIMIT 15)
  UNION ALL SELECT tag, prev, curr, delta, 'fixed' AS kind FROM (SELECT * FROM s WHERE delta < 0 ORDER BY delta, tag LIMIT 15)""")
 def trending_fixed(spark, d):
-    rows = views.records(spark, d)
-    totals = rank.counted(rows.filter("sentiment = 'negative' and ord is not null"), "ord", name="total")
+    per_period = views.records(spark, d).filter("ord is not null").groupBy("ord").agg(numbers.count_if(F.col("sentiment") == "negative").alias("total"))
     counts = rank.counted(views.record_tags(spark, d).filter("sentiment = 'negative' and ord is not null"), "ord", "tag")
-    return periods.share_changes(counts, totals, periods.last_two(rows, views.seasons(spark)))
+    return periods.share_changes(counts, per_period)
 
 
 @query("WITH n AS (SELECT topic AS tag, text, count(*) AS n FROM ri WHERE kind = 'complaint' AND ord = (SELECT max(ord) FROM rec) GROUP BY 1, 2) " + top_sql("SELECT * FROM n", "tag", "n DESC, text", 3, "tag, text, n, rank"))
 def trend_top_issues(spark, d):
-    last = periods.last_two(views.records(spark, d), views.seasons(spark)).filter("is_last").select("ord")
+    last = periods.last_two(views.records(spark, d).select("ord").distinct()).filter("is_last").select("ord")
     rows = views.record_issues(spark, d).filter("kind = 'complaint'").join(F.broadcast(last), "ord").withColumnRenamed("topic", "tag")  # one row
     return rank.top_counts(rows, ["tag"], "text", 3)
 
@@ -235,7 +300,7 @@ def tag_cooccurrence(spark, d):
     return tags.cooccurrence(views.tagged(spark, d), "rec_id", "tag")
 
 
-TOPICS = [("Shine", "STANDARD", "ECONOMY"), ("Size", "SMALL", "LARGE"), ("Kind", "PROMO", "MEDIUM")]
+TOPICS = [("Shine", "STANDARD", "ECONOMY"), ("Size", "SMALL", "LARGE"), ("Kind", "PROMO", "MEDIUM"), ("Price", "ECONOMY", "PROMO"), ("Bulk", "LARGE", "SMALL"), ("Middle", "MEDIUM", "STANDARD")]
 
 
 @query("""WITH s AS (SELECT season, count(*) FILTER (sentiment = 'negative') AS neg, count(*) FILTER (sentiment = 'positive') AS pos FROM rec GROUP BY 1),
@@ -253,6 +318,33 @@ def topic_comparison(spark, d):
     return grid.select("season", "topic", zero("neg_count").alias("neg_count"), zero("pos_count").alias("pos_count"), numbers.percent(zero("neg_count"), F.col("negative")).alias("neg_pct"), numbers.percent(zero("pos_count"), F.col("positive")).alias("pos_pct"))
 
 
+TOPIC_VALUES = "p(topic, neg_tag, pos_tag) AS (VALUES " + ", ".join(map(str, TOPICS)) + ")"
+
+
+@query(f"""WITH {TOPIC_VALUES}, s AS (SELECT count(*) FILTER (sentiment = 'negative') AS neg, count(*) FILTER (sentiment = 'positive') AS pos FROM rec),
+ c AS (SELECT topic, neg_tag, pos_tag, count(*) FILTER (sentiment = 'negative' AND tag = neg_tag) AS neg_count, count(*) FILTER (sentiment = 'positive' AND tag = pos_tag) AS pos_count FROM p LEFT JOIN rt ON tag IN (neg_tag, pos_tag) GROUP BY 1, 2, 3)
+ SELECT topic, neg_tag, pos_tag, neg_count, pos_count, """ + PCT.format("neg_count", "neg") + " AS neg_pct, " + PCT.format("pos_count", "pos") + " AS pos_pct FROM c, s")
+def topic_totals(spark, d):
+    pairs = spark.createDataFrame(TOPICS, "topic string, neg_tag string, pos_tag string")
+    sides = views.records(spark, d).agg(numbers.count_if(F.col("sentiment") == "negative").alias("neg"), numbers.count_if(F.col("sentiment") == "positive").alias("pos"))
+    own = views.record_tags(spark, d).groupBy("tag").agg(*[numbers.count_if(F.col("sentiment") == x).alias(x) for x in ("negative", "positive")])
+    found = pairs.join(own.select(F.col("tag").alias("neg_tag"), F.col("negative").alias("neg_count")), "neg_tag", "left").join(own.select(F.col("tag").alias("pos_tag"), F.col("positive").alias("pos_count")), "pos_tag", "left")
+    found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("neg_count", "pos_count")}).crossJoin(F.broadcast(sides))  # one row
+    return found.select("topic", "neg_tag", "pos_tag", "neg_count", "pos_count", numbers.percent(F.col("neg_count"), F.col("neg")).alias("neg_pct"), numbers.percent(F.col("pos_count"), F.col("pos")).alias("pos_pct"))
+
+
+@query(f"""WITH {TOPIC_VALUES}, w AS (SELECT topic, 'negative' AS sentiment, neg_tag AS tag FROM p UNION ALL SELECT topic, 'positive', pos_tag FROM p), x AS (SELECT rec_id, arg_min(text, (line, text)) AS text FROM iss GROUP BY 1),
+ r AS (SELECT w.topic, w.sentiment, rt.rec_id, substr(x.text, 1, 600) AS text, votes_up, hours, season, language FROM w JOIN rt ON rt.tag = w.tag AND rt.sentiment = w.sentiment JOIN x ON x.rec_id = rt.rec_id
+  WHERE length(x.text) >= 20 AND length(regexp_replace(x.text, '[^\\p{{L}}]', '', 'g')) / CAST(length(x.text) AS DOUBLE) > 0.35) """ + top_sql("SELECT * FROM r", "topic, sentiment", "votes_up DESC, rec_id", 3, "topic, sentiment, rec_id, text, votes_up, hours, season, language, rank"))
+def topic_examples(spark, d):
+    wanted = [(t, side, tag) for t, neg, pos in TOPICS for side, tag in (("negative", neg), ("positive", pos))]
+    wanted = F.broadcast(spark.createDataFrame(wanted, "topic string, sentiment string, tag string"))
+    found = views.record_tags(spark, d).select("rec_id", "sentiment", "tag", "votes_up", "hours", "season", "language").join(wanted, ["sentiment", "tag"])
+    texts = views.issues(spark, d).groupBy("rec_id").agg(F.min_by("text", F.struct("line", "text")).alias("text")).filter(textfn.readable(F.col("text")))
+    best = rank.top_per_group(found.join(texts, "rec_id"), ["topic", "sentiment"], [F.desc("votes_up"), F.asc("rec_id")], 3)
+    return best.select("topic", "sentiment", "rec_id", F.substring("text", 1, 600).alias("text"), "votes_up", "hours", "season", "language", "rank")
+
+
 @query("SELECT sentiment, strftime(ts, '%Y-%m') AS month, bracket, tag, count(*) AS n FROM rt GROUP BY ROLLUP (sentiment, month, bracket, tag)")
 def tag_rollup(spark, d):
     return views.record_tags(spark, d).withColumn("month", time.month(F.col("ts"))).rollup("sentiment", "month", "bracket", "tag").agg(F.count("*").alias("n"))
@@ -309,6 +401,24 @@ def issue_stats(spark, d):
     return issue_ops.stats(views.issues(spark, d))
 
 
+@query("""SELECT count(line) AS n_issues, count(DISTINCT rec.rec_id) AS n_records, round(CAST(count(line) AS DOUBLE) / count(DISTINCT rec.rec_id), 2) AS per_record, count(*) FILTER (line = 1) AS n_primary,
+ count(DISTINCT CASE WHEN line IS NULL THEN rec.rec_id END) AS n_empty, """ + PCT.format("count(DISTINCT CASE WHEN line IS NULL THEN rec.rec_id END)", "count(DISTINCT rec.rec_id)") + " AS empty_pct FROM rec LEFT JOIN iss ON iss.rec_id = rec.rec_id")
+def extraction_stats(spark, d):
+    per = views.issues(spark, d).groupBy("rec_id").agg(F.count("*").alias("n"), numbers.count_if(F.col("line") == 1).alias("p"))
+    return issue_ops.extraction_stats(views.records(spark, d).select("rec_id").join(per, "rec_id", "left"))
+
+
+@query("SELECT entity, count(*) AS n FROM iss GROUP BY 1 ORDER BY n DESC, entity LIMIT 30")
+def extraction_entities(spark, d):
+    return rank.top_rows(rank.counted(views.issues(spark, d), "entity"), [F.desc("n"), F.asc("entity")], 30)
+
+
+@query("SELECT 'S' || votes % 10 AS season_ref, count(*) AS n FROM iss WHERE line = 2 GROUP BY 1")
+def season_references(spark, d):
+    ref = F.when(F.col("line") == 2, F.concat(F.lit("S"), (F.col("votes") % 10).cast("string")))
+    return rank.counted(views.issues(spark, d).select(ref.alias("season_ref")).filter("season_ref is not null"), "season_ref")
+
+
 @query("SELECT entity, season, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS) + " FROM ri WHERE entity IN (SELECT entity FROM iss GROUP BY 1 ORDER BY count(*) DESC, entity LIMIT 80) GROUP BY 1, 2")
 def entity_tracking(spark, d):
     top = rank.top_rows(rank.counted(views.issues(spark, d), "entity"), [F.desc("n"), F.asc("entity")], 80).select("entity")
@@ -382,6 +492,17 @@ def issue_bracket_dist(spark, d):
     return issue_ops.distribution(views.record_issues(spark, d), "bracket", [n for _, n in numbers.BRACKETS])
 
 
+@query("SELECT text, season, bracket, count(*) AS n FROM ri GROUP BY 1, 2, 3")
+def issue_season_bracket_dist(spark, d):
+    return rank.counted(views.record_issues(spark, d), "text", "season", "bracket")
+
+
+@query("SELECT version, day, CAST(row_number() OVER (ORDER BY day NULLS LAST, version) AS INTEGER) AS place FROM (SELECT p_partkey AS version, CASE WHEN p_partkey % 7 > 0 THEN '2024-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS day FROM part WHERE p_partkey <= 200)")
+def change_log_order(spark, d):
+    log = table(spark, d, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("version"), F.when(F.col("p_partkey") % 7 > 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))).alias("day"))
+    return issue_ops.ordered_log(log, "day", "version")
+
+
 @query("WITH k AS (" + top_sql("SELECT kind, text, count(*) AS n FROM iss GROUP BY 1, 2", "kind", "n DESC, text", 20, "text") + " UNION " + top_sql("SELECT entity, text, count(*) AS n FROM iss GROUP BY 1, 2", "entity", "n DESC, text", 5, "text") + ") SELECT rec_id, line, text FROM iss WHERE text IN (SELECT text FROM k)")
 def needed_issue_semi(spark, d):
     rows = views.issues(spark, d)
@@ -408,29 +529,37 @@ def normalize_effect(spark, d):
     return quality.change_effect(rows.withColumn("b", canonical(F.col("a"))), "a", "b")
 
 
-EDGE = "(?:^|[^\\p{L}\\p{N}_])(?:%s)(?:$|[^\\p{L}\\p{N}_])"
-RULES = [("article", ["the", "der|die|das", "le|la|les", "el|los|las"]), ("link", ["and", "und", "et", "y"]), ("place", ["in|on|at", "auf", "dans|sur", "en"]), ("licence", ["licensed", "rights reserved"])]
-PATTERNS = [(name, [EDGE % p for p in ps]) for name, ps in RULES]
-TERMS = {p.split("|")[0]: EDGE % p for _, ps in RULES for p in ps}
+#: For SQL, whose word boundaries know ASCII only: other letters and digits become "_", other signs blanks.
+PLAIN = """t AS MATERIALIZED (SELECT doc_id, sentiment, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}\\p{M}°]', ' ', 'g'), '[^\\x00-\\x7F°]', '_', 'g') AS text FROM fb)"""
+
+
+def _hit(*patterns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in patterns) + ")"
 
 
-def _hit(p: str) -> str:
-    return f"regexp_matches(text, '(?i){p}')"
+def _tags_sql(rules: dict[str, list[str]]) -> str:
+    return "[" + ", ".join(f"CASE WHEN {_hit(*ps)} THEN '{n}' END" for n, ps in rules.items()) + "]"
 
 
-@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(map(_hit, ps))} THEN '{n}' END" for n, ps in PATTERNS) + "], lambda x: x IS NOT NULL), ',') AS tags FROM documents")
+@query(f"WITH {PLAIN} SELECT doc_id, array_to_string(list_filter(CASE WHEN sentiment = 'negative' THEN {_tags_sql(rule_tables.NEGATIVE)} ELSE {_tags_sql(rule_tables.POSITIVE)} END, lambda x: x IS NOT NULL), ',') AS tags FROM t")
 def regex_tagger(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(textfn.tags(F.col("text"), PATTERNS), ",").alias("tags"))
+    found = textfn.tags_by_side(F.col("text"), F.col("sentiment") == "negative", list(rule_tables.NEGATIVE.items()), list(rule_tables.POSITIVE.items()), F.col("bare"))
+    return views.feedback(spark, d).withColumn("bare", textfn.plain(F.col("text"))).select("doc_id", F.array_join(found, ",").alias("tags"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'positive') AS positive, count(*) AS total FROM fb WHERE {_hit(p)} HAVING count(*) > 0" for t, p in TERMS.items()))
+@query(f"WITH {PLAIN} " + " UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'positive') AS positive, count(*) AS total FROM t WHERE {_hit(p)} HAVING count(*) > 0" for t, p in rule_tables.TERMS.items()))
 def term_frequency(spark, d):
-    return textmining.term_frequency(views.feedback(spark, d), TERMS)
+    return textmining.term_frequency(views.feedback(spark, d), rule_tables.TERMS)
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS theme, count(*) FILTER ({' OR '.join(map(_hit, ps))}) AS n, " + PCT.format(f"count(*) FILTER ({' OR '.join(map(_hit, ps))})", "count(*)") + " AS pct FROM fb WHERE sentiment IS NULL" for n, ps in PATTERNS))
+@query(f"WITH {PLAIN} " + " UNION ALL ".join(f"SELECT '{n}' AS theme, count(*) FILTER ({_hit(*ps)}) AS n, " + PCT.format(f"count(*) FILTER ({_hit(*ps)})", "count(*)") + " AS pct FROM t WHERE sentiment IS NULL" for n, ps in rule_tables.THEMES.items()))
 def theme_match(spark, d):
-    return textmining.themes(views.feedback(spark, d).filter("sentiment is null"), dict(PATTERNS))
+    return textmining.themes(views.feedback(spark, d).filter("sentiment is null"), rule_tables.THEMES)
+
+
+@query(f"WITH {PLAIN}, m AS (" + " UNION ALL ".join(f"SELECT '{n}' AS theme, doc_id FROM t WHERE sentiment IS NULL AND {_hit(*ps)}" for n, ps in rule_tables.THEMES.items()) + ") " + top_sql("SELECT theme, m.doc_id, substr(d.text, 1, 200) AS sample FROM m JOIN documents d ON d.doc_id = m.doc_id", "theme", "doc_id", 3, "theme, doc_id, sample, rank"))
+def theme_samples(spark, d):
+    return textmining.theme_samples(views.feedback(spark, d).filter("sentiment is null"), rule_tables.THEMES, "doc_id")
 
 
 @query("SELECT doc_id, length(text) >= 20 AND length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / CAST(length(text) AS DOUBLE) > 0.35 AS readable FROM documents")

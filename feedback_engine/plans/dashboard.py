@@ -59,7 +59,20 @@ KEYS: dict[str, Maker] = {
     "issue_samples": Q["stratified_sample"],
     "patch_impact": Q["patch_impact"],
     "player_count": _static(monthly_players),
+    "playtime_tags": Q["bracket_top_tags"],
+    "cohort_tags": Q["cohort_top_tags"],
+    "regional_health": Q["regional_health"],
+    "comparison_totals": Q["topic_totals"],
+    "comparison_examples": Q["topic_examples"],
+    "issue_playtime_by_season": Q["issue_season_bracket_dist"],
+    "extraction_stats": Q["extraction_stats"],
+    "extraction_entities": Q["extraction_entities"],
+    "season_references": Q["season_references"],
     "hc": Q["hc_overlay"],
+    "hc_overview": Q["hc_overview"],
+    "hc_category_rankings": Q["hc_category_rankings"],
+    "hc_season_categories": Q["hc_season_top_tags"],
+    "hc_monthly_timeline": Q["hc_monthly_timeline"],
 }
 
 

@@ -36,7 +36,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
         F.pmod(F.floor("o_totalprice"), F.lit(1000)).cast("long").alias("votes_up"),
         F.col("o_orderpriority").isin(*HIGH).alias("hc"),
     )
-    return with_period(rows, seasons(spark)).withColumn("bracket", bracket(F.col("hours")))
+    return with_period(rows, SEASONS).withColumn("bracket", bracket(F.col("hours")))
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:

@@ -28,15 +28,25 @@ def merged(df: DataFrame, key: str, order: Sequence[str], path: str) -> None:
 
 
 def swapped(df: DataFrame, path: str) -> None:
-    """Overwrite a table that may also be df's input: write beside it, then rename."""
-    spark, staged = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
+    """Overwrite a table that may also be df's input: write beside it, rename the old one away, then the new one into its place.
+
+    The old table is deleted last and comes back if the new one cannot take its
+    place, so a whole table is there after a crash at any point: at `path`, or
+    beside it under the names that end in .old and .new.
+    """
+    spark, once = df.sparkSession, uuid.uuid4().hex[:8]
+    staged, kept = (f"{path.rstrip('/')}.{once}.{x}" for x in ("new", "old"))
     df.write.parquet(staged)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(kept)
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"cannot rename {path}")
     if not fs.rename(new, old):
+        fs.rename(aside, old)
         raise OSError(f"cannot rename {staged}")
+    fs.delete(aside, True)
 
 
 def envelope(df: DataFrame, metadata: Mapping[str, object]) -> DataFrame:
@@ -49,6 +59,19 @@ def envelope(df: DataFrame, metadata: Mapping[str, object]) -> DataFrame:
     return meta.select(F.lit("meta").alias("part"), F.to_json(F.struct("key", "value")).alias("json")).unionByName(out)
 
 
+def document(df: DataFrame, path: str, metadata: Mapping[str, object], key: str = "rows", order: Sequence[str] = ()) -> None:
+    """One JSON document {metadata..., key: [rows]} as a single text file in the folder; rows stream through one task and are never collected."""
+    import json
+
+    head = json.dumps(dict(metadata), ensure_ascii=False)
+    head = f"{head[:-1]}{', ' if metadata else ''}{json.dumps(key)}: ["
+    one = df.repartition(1)
+    one = (one.sortWithinPartitions(*order) if order else one).withColumn("_id", F.monotonically_increasing_id())
+    rows = one.select((F.col("_id") + 1).alias("_id"), F.concat(F.when(F.col("_id") > 0, ",").otherwise(""), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, head), ((1 << 62), "]}")], "_id long, value string")
+    ends.unionByName(rows).repartition(1).sortWithinPartitions("_id").select("value").write.mode("overwrite").text(path)
+
+
 def dashboard(results: Mapping[str, DataFrame], path: str) -> None:
     """A parquet table for each key of the dashboard."""
     for key, df in results.items():

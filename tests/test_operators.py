@@ -2,12 +2,15 @@
 
 import datetime
 import json
+import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedback_engine import enrich
-from feedback_engine.functions import numbers, text, time
+from feedback_engine.functions import numbers, rule_tables, text, time
 from feedback_engine.functions.canonical import canonical
 from feedback_engine.operators import issues, periods, quality, rank, sampling, shape, tags
 from feedback_engine.sinks import writers
@@ -296,3 +299,27 @@ def test_dashboard(spark, tmp_path):
     some = {k: made[k] for k in ("overview", "season_health", "player_count", "hc")}
     writers.dashboard(some, str(tmp_path / "d"))
     assert set(json.loads(writers.assembled(spark, str(tmp_path / "d"), list(some)))) == set(some)
+
+
+def test_rules_match_as_told(spark):
+    rng = random.Random(4)
+    words = "cheaters Cheater чит Читеры balance имба SBMM ruined op melee is broken no update 60° ping high great game топ весёлый fun unfun éfun fun_ 10/10 free to play\n UI menu crash naïve—fun dead game".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for table in (rule_tables.NEGATIVE, rule_tables.POSITIVE, rule_tables.THEMES, {k: [v] for k, v in rule_tables.TERMS.items()}):
+        want = {i: [n for n, ps in table.items() if any(re.search(p, t or "", re.I) for p in ps)] for i, t in enumerate(texts)}
+        got = {r["i"]: r["t"] for r in df.select("i", text.tags(F.coalesce("text", F.lit("")), list(table.items())).alias("t")).collect()}
+        assert got == want
+
+
+def test_swap_and_document(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    writers.swapped(spark.read.parquet(path).selectExpr("id * 2 AS id"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 2, 4, 6, 8] and os.listdir(tmp_path) == ["t"]
+    for n, name in ((3, "a"), (0, "b")):
+        writers.document(spark.range(n).selectExpr("id", "'x\"y' AS s"), str(tmp_path / name), {"app": 7, "name": "ü"}, "rows", ["id"])
+        part = [f for f in os.listdir(tmp_path / name) if f.startswith("part")]
+        assert len(part) == 1
+        got = json.loads((tmp_path / name / part[0]).read_text(encoding="utf-8"))
+        assert got == {"app": 7, "name": "ü", "rows": [{"id": i, "s": 'x"y'} for i in range(n)]}
