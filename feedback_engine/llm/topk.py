@@ -11,15 +11,16 @@ pair of blocks, so nothing is broadcast and no task grows with the table.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 and rows with a null id take no part; only vectors of equal length are compared
-(an empty vector scores 0 with other empty ones); rows that repeat an id count
-once, by their smallest vector; ties go to the smaller id; an empty table gives
-an empty result. Component products must fit in 63 bits.
+(an empty vector scores 0 with other empty ones); every row is a candidate for
+every other, so rows that repeat an id are each asked for and each found, and
+find one another; copies of a row travel once with their number; ties go to the
+smaller id; an empty table gives an empty result. Component products must fit in
+63 bits.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from feedback_engine.llm.common import table
 
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_id long, q long, n_q long, vec_id long, score long, n long"
 
 
 def quantised(vec: Column, scale: int = 256) -> Column:
@@ -38,17 +39,17 @@ def quantised(vec: Column, scale: int = 256) -> Column:
     return F.when(vec.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def block_top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, width: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of each query's k best among the candidates of a block."""
+def block_top_k(own: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, width: int) -> list[list[tuple[int, int]]]:
+    """For each query the (place, score) of its k best among the candidates of a block, without the place `own` (-1: none)."""
     dims = q.shape[1]
     by_mass = np.argsort(-(c.astype(np.float64) ** 2).sum(0), kind="stable")
     column = np.ascontiguousarray(c[:, by_mass].T.astype(np.float64))
     starts = list(range(0, dims, width))
     rest = [np.sqrt((column[s + width :] ** 2).sum(0)) for s in starts]
-    out = []
-    for own, vec in zip(qid, q, strict=True):
+    out, places = [], np.arange(len(cid))
+    for self_, vec in zip(own.tolist(), q, strict=True):
         x = vec[by_mass].astype(np.float64)
-        alive = np.flatnonzero(cid != own)
+        alive = places[places != self_]
         score, floor = np.zeros(len(alive)), -math.inf
         for s, mass in zip(starts, rest, strict=True):
             if len(alive) <= k:
@@ -61,39 +62,43 @@ def block_top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
             alive, score = alive[stays], score[stays]
         exact = c[alive] @ vec
         best = np.lexsort((cid[alive], -exact))[:k]
-        out += [(int(own), int(cid[alive[i]]), int(exact[i])) for i in best]
+        out.append([(int(alive[i]), int(exact[i])) for i in best])
     return out
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, width: int = 16, candidate_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score) for tables (id long, vec array<long>); both may be the same rows."""
+    """(query_id, rank, vec_id, score) for tables (id long, vec array<long>); every query must be a row of the candidates, too."""
     c_blocks = max(1, math.ceil(candidates.count() / candidate_rows))
     q_blocks = max(1, math.ceil(queries.count() / query_rows))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.groupBy("id").agg(F.min("vec").alias("vec")).select("id", "vec", dealt(q_blocks).alias("qb"), each(c_blocks).alias("cb"))
-    c = candidates.select("id", "vec", each(q_blocks).alias("qb"), dealt(c_blocks).alias("cb"))
+    counted = lambda df: df.groupBy("id", "vec").agg(F.count("*").alias("n"))
+    # q tells the vectors of a repeated id apart.
+    q = counted(queries).select("id", "vec", "n", F.xxhash64("vec").alias("q"), dealt(q_blocks).alias("qb"), each(c_blocks).alias("cb"))
+    c = counted(candidates).select("id", "vec", "n", each(q_blocks).alias("qb"), dealt(c_blocks).alias("cb"))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            by_length: dict[int, tuple[list, list]] = {}
-            for side, frame in ((0, left), (1, right)):
-                for i, v in zip(frame["id"], frame["vec"], strict=True):
-                    by_length.setdefault(len(v), ([], []))[side].append((i, tuple(v)))
-            for dims, (ours, theirs) in by_length.items():
-                if ours and theirs:
-                    smallest: dict[int, tuple] = {}
-                    for i, v in theirs:
-                        smallest[i] = min(v, smallest.get(i, v))
-                    ids = np.array(sorted(smallest), dtype=np.int64)
-                    vecs = np.array([smallest[i] for i in ids.tolist()], dtype=np.int64).reshape(len(ids), dims)
-                    out += block_top_k(np.array([i for i, _ in ours], dtype=np.int64), np.array([v for _, v in ours], dtype=np.int64).reshape(len(ours), dims), ids, vecs, k, width)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        out: list[tuple[int, ...]] = []
+        of_length = lambda df: dict(list(df.groupby(df["vec"].map(len)))) if len(df) else {}
+        ours, theirs = of_length(left), of_length(right)
+        for dims in ours.keys() & theirs.keys():
+            asked, rows = ours[dims], theirs[dims]
+            stacked = lambda df: np.array(df["vec"].tolist(), dtype=np.int64).reshape(len(df), dims)  # noqa: B023, E731
+            ids, n, vecs = rows["id"].to_numpy(), rows["n"].to_numpy(), stacked(rows)
+            place = {(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids.tolist(), vecs, strict=True))}
+            mine = stacked(asked)
+            at = [place.get((i, v.tobytes()), -1) for i, v in zip(asked["id"].tolist(), mine, strict=True)]
+            alone = np.array([x if x >= 0 and n[x] == 1 else -1 for x in at])
+            for i, x, key, times, best in zip(asked["id"].tolist(), at, asked["q"].tolist(), asked["n"].tolist(), block_top_k(alone, mine, ids, vecs, k, width), strict=True):
+                out += [(i, key, times, int(ids[y]), score, int(n[y]) - (x == y)) for y, score in best]
+        return pd.DataFrame(out, columns=["query_id", "q", "n_q", "vec_id", "score", "n"])
 
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(pair, OUT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Each copy found is a row, k of them are enough; each copy of a query gets them all.
+    found = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
+    best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), F.asc("vec_id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("n_q", F.explode(F.sequence(F.lit(1), F.col("n_q").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +108,11 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+WITH v AS (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id AS vec_id,
              CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+      FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -143,29 +144,32 @@ def test_very_long_page():
     assert len(html.main_text(page(f"<article>{body}</article>"))) > 1_000_000
 
 
-def brute(vectors, k, every):
-    v = {i: [int(np.floor(256 * float(x))) for x in e] for i, e in vectors.items()}
+def brute(rows, k, every):
+    v = [(i, [int(np.floor(256 * float(x))) for x in e]) for i, e in rows]
     out = []
-    for q in v:
+    for a, (q, x) in enumerate(v):
         if q % every == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q and len(v[c]) == len(v[q])))[:k]
+            best = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), c) for b, (c, y) in enumerate(v) if a != b and len(x) == len(y))[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     return sorted(out)
 
 
 def test_search_against_brute_force(spark, folder):
     rng = random.Random(9)
-    good = {i: [rng.gauss(0, 0.2) for _ in range(12)] for i in range(400)}
-    for i in range(100, 140):
-        good[i] = list(good[7])
-    rows = [(i, v) for i, v in good.items()] + [(900, None), (950, [0.1, None] * 6), (1000, [float("nan")] * 12), (1050, [float("inf")] + [0.0] * 11), (None, [0.5] * 12), (50, good[50])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    good = {r["vec_id"]: r["embedding"] for r in df.collect() if r["vec_id"] in good}
+    good = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(400)]
+    good = [(i, list(good[7][1]) if 100 <= i < 140 else v) for i, v in good]
+    # Repeated ids: an exact copy, many copies of a best one, another vector under the same id.
+    good += [good[50], (100, [0.9] * 12), (150, [1.5] * 12), (200, [2.0] * 12), *[(333, [3.0] * 12)] * 9, *[(350, [2.5] * 12)] * 3]
+    bad = [(900, None), (950, [0.1, None] * 6), (1000, [float("nan")] * 12), (1050, [float("inf")] + [0.0] * 11), (None, [0.5] * 12)]
+    df = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>")
     d = folder(embeddings=df)
-    assert sorted(map(tuple, topk.op9_exact_top_k(spark, d).collect())) == brute(good, 5, 50)
+    assert sorted(map(tuple, topk.op9_exact_top_k(spark, d).collect())) == brute([(i, np.float32(v)) for i, v in good], 5, 50)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{d}/embeddings.parquet/*.parquet')")
+    assert sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.OP9_SQL})").fetchall()) == brute([(i, np.float32(v)) for i, v in good], 5, 50)
     rows_ = df.select(df["vec_id"].alias("id"), topk.quantised(df["embedding"]).alias("vec")).filter("id is not null and vec is not null")
     small = topk.exact_top_k(rows_.filter("id % 50 = 0"), rows_, k=9, width=5, candidate_rows=64, query_rows=3)
-    assert sorted(map(tuple, small.collect())) == brute(good, 9, 50)
+    assert sorted(map(tuple, small.collect())) == brute([(i, np.float32(v)) for i, v in good], 9, 50)
 
 
 def test_few_rows(spark, folder):
