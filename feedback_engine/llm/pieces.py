@@ -9,12 +9,13 @@ would join across them; one path is left, and it is the model's encoding.
 A giant text is split into chunks wherever its length says. Across a chunk's end
 lies one piece, the boundary state. Each chunk, alone, yields the matrix of best
 weights from every state at its start to every state at its end; the matrices
-are combined by the max-plus product, which is associative; with the states at
-its ends known, each chunk is traced back alone. Where no piece of the vocabulary
+are combined by the max-plus product, which is associative, as a tree: FAN of
+them in a task, then FAN of the products, and back down for the states between
+them; with the states at its ends known, each chunk is traced back alone. Where no piece of the vocabulary
 spans two neighbouring characters all paths meet, so a chunk is solved once
 between its first and last such place, whatever the state.
 
-Texts below the giant size are one chunk and need no shuffle. Parts between such
+Texts below the giant size are one chunk of the same scan and need no shuffle. Parts between such
 places are kept in a bounded cache in each worker.
 
 Defined cases: null and empty texts have no pieces; characters without a piece
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from feedback_engine.llm.tokens import vocabulary
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-GIANT, CHUNK = 65_536, 32_768
+GIANT, CHUNK, FAN = 65_536, 32_768, 64
 NEVER = float("-inf")
 #: Parts held in each of the two generations of a worker's cache.
 CACHE_PARTS = 250_000
@@ -181,38 +183,6 @@ class Vocabulary:
                         best[end], last[end] = (weight, start), piece
         return best
 
-    def merged_pieces(self, text: str) -> list[str]:
-        """table() and traced() of a whole text for a BPE model, where one piece at most can end at each place."""
-        n, longest, endings, ids, fits = len(text), self.longest, self.endings, self.ids, self.fits
-        last: list[str | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
-                piece = text[start:end]
-                if piece not in ids:
-                    if end - start > 1:
-                        if piece in endings:
-                            continue
-                        break
-                elif end - start > 1 and self.split(piece) is None:
-                    continue
-                if start:
-                    before = last[start]
-                    if before is None:
-                        continue
-                    fit = fits.get((before, piece))
-                    if not (self.neighbours(before, piece) if fit is None else fit):
-                        continue
-                last[end] = piece
-                break
-        out, end = [], n
-        while end:
-            piece = last[end]
-            if piece is None:
-                raise ValueError("no path")
-            out.append(piece)
-            end -= len(piece)
-        return out[::-1]
-
     def traced(self, text: str, best: list[tuple[float, int] | None], end: int, at: int = 0) -> list[str]:
         out = []
         while end > at:
@@ -274,7 +244,7 @@ class Encoder:
         if out is None:
             out = self.old.get(text)
             if out is None:
-                pieces = self.v.merged_pieces(text) if self.v.kind == BPE else self.v.traced(text, self.v.table(text, None), len(text))
+                pieces = self.v.traced(text, self.v.table(text, None), len(text))
                 out = b"".join([self.four[i] for i in self.v.ids_of(pieces)])
             if len(text) <= 64:
                 self.keep(text, out)
@@ -427,24 +397,25 @@ def product(a: dict, b: dict) -> dict:
     return out
 
 
-def boundary_states(matrices: list[dict]) -> list[State]:
-    """The states of the best path at both ends of each chunk: suffix products, then forward."""
+def boundary_states(matrices: list[dict], at: State = (0, 0), end: State | None = None) -> list[State]:
+    """The states of the best path from `at` to `end` (the text's end if None) at both ends of each chunk: suffix products, then forward."""
+    ends = lambda e: e[1] == 0 if end is None else e == end
     suffix, total = [], None
     for m in reversed(matrices):
         total = m if total is None else product(m, total)
         suffix.append(total)
     suffix.reverse()
-    at, out = (0, 0), [(0, 0)]
+    out = [at]
     for i, m in enumerate(matrices):
         rest = suffix[i + 1] if i + 1 < len(matrices) else None
         onward: dict[State, float] = {}
         for (s, e), w in (rest or {}).items():
-            if e[1] == 0:
+            if ends(e):
                 onward[s] = max(w, onward.get(s, NEVER))
         best = None
         for (s, e), w in m.items():
             if s == at:
-                w += (onward.get(e, NEVER) if rest is not None else 0.0 if e[1] == 0 else NEVER)
+                w += (onward.get(e, NEVER) if rest is not None else 0.0 if ends(e) else NEVER)
                 if w > NEVER and (best is None or w > best[0]):
                     best = (w, e)
         if best is None:
@@ -470,7 +441,7 @@ def _batch(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], names=[n for n, _ in types])
 
 
-def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     path = path or vocabulary(MODEL)
@@ -486,16 +457,22 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
 
     small = docs.filter(F.length("text") <= giant).mapInArrow(whole, "doc_id long, ids binary")
     # Giant texts, copies once; the blank in front is part of the text that is cut.
-    front = BLANK if encoder(path).v.prefix else ""
-    big = docs.filter(F.length("text") > giant).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    big = big.select("doc_id", F.xxhash64("text").alias("h"), "copies", F.concat(F.lit(front), F.translate("text", " ", BLANK)).alias("text"))
-    n = F.ceil(F.length("text") / chunk).cast("int")
-    cut = big.select("doc_id", "h", "copies", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "text")
+    big = docs.filter(F.length("text") > giant).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).select("doc_id", F.xxhash64("text").alias("h"), "copies", "text")
     margin = longest + 1
-    low = F.greatest(F.col("i") * chunk - margin, F.lit(0))
-    cut = cut.select("doc_id", "h", "copies", "i", (F.col("i") * chunk - low).cast("int").alias("low"), F.least(F.length("text"), (F.col("i") + 1) * chunk).alias("stop"), low.alias("from"), "text")
-    cut = cut.select("doc_id", "h", "copies", "i", "low", (F.col("stop") - F.col("from")).cast("int").alias("high"), F.substring("text", F.col("from") + 1, F.col("stop") - F.col("from") + margin).alias("part"))
-    chunks = written(cut.repartition(F.col("doc_id"), F.col("h"), F.col("i")), "chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        types = [("doc_id", pa.int64()), ("h", pa.int64()), ("copies", pa.int64()), ("i", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("part", pa.string())]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                *row, text = (batch.column(j)[at].as_py() for j in range(4))
+                text = e.shown(text)
+                for i in range(-(-len(text) // chunk)):
+                    low, stop = max(i * chunk - margin, 0), min(len(text), (i + 1) * chunk)
+                    yield _batch([(*row, i, i * chunk - low, stop - low, text[low : stop + margin])], types)
+
+    cuts = big.mapInArrow(cut, "doc_id long, h long, copies long, i int, low int, high int, part string")
+    chunks = written(cuts.repartition("doc_id", "h", "i"), "chunks")
     entry = pa.list_(pa.struct([("s", pa.list_(pa.int32())), ("w", pa.float64())]))
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,18 +482,37 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
                 m = e.matrix(row[5], row[3], row[4])
                 yield _batch([(*row[:3], [{"s": [*s, *t], "w": w} for (s, t), w in m.items()])], [("doc_id", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("m", entry)])
 
-    matrices = chunks.select("doc_id", "h", "i", "low", "high", "part").mapInArrow(transfer, "doc_id long, h long, i int, m array<struct<s:array<int>,w:double>>")
+    made = "doc_id long, h long, i int, m array<struct<s:array<int>,w:double>>"
+    keys = [("doc_id", pa.int64()), ("h", pa.int64())]
+    levels = [written(chunks.select("doc_id", "h", "i", "low", "high", "part").mapInArrow(transfer, made), "matrices")]
+    read = lambda rows: [{((x["s"][0], x["s"][1]), (x["s"][2], x["s"][3])): x["w"] for x in r["m"]} for r in rows]
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [("doc_id", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("s", pa.list_(pa.int32()))]
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, h, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                states = boundary_states([{((x["s"][0], x["s"][1]), (x["s"][2], x["s"][3])): x["w"] for x in r["m"]} for r in rows])
-                yield _batch([(doc_id, h, i, [*a, *b]) for i, (a, b) in enumerate(zip(states, states[1:], strict=False))], types)
+            for *key, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                m = reduce(product, read(rows))
+                yield _batch([(*key, [{"s": [*s, *t], "w": w} for (s, t), w in m.items()])], [*keys, ("i", pa.int32()), ("m", entry)])
 
-    # A document's matrices are a few hundred numbers for each chunk.
-    per_doc = matrices.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("rows"))
-    states = per_doc.mapInArrow(combine, "doc_id long, h long, i int, s array<int>")
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *key, rows, over in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at, end = ((over[0], over[1]), (over[2], over[3])) if over else ((0, 0), None)
+                states = boundary_states(read(rows), at, end)
+                yield _batch([(*key, r["i"], [*a, *b]) for r, a, b in zip(rows, states, states[1:], strict=False)], [*keys, ("i", pa.int32()), ("s", pa.list_(pa.int32()))])
+
+    # Groups have fan matrices at most, each of a few hundred numbers.
+    up = F.floor(F.col("i") / fan).cast("int")
+    grouped = F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("i", "m")))).alias("rows")
+    n = (chunks.agg(F.max("i")).first()[0] or 0) + 1
+    while n > fan:
+        levels.append(written(levels[-1].groupBy("doc_id", "h", up.alias("g")).agg(grouped).mapInArrow(multiplied, made), "products"))
+        n = -(-n // fan)
+    state = "doc_id long, h long, i int, s array<int>"
+    states = levels.pop().groupBy("doc_id", "h").agg(grouped).select("doc_id", "h", "rows", F.lit(None).cast("array<int>").alias("s")).mapInArrow(between, state)
+    for level in reversed(levels):
+        known = states.select("doc_id", "h", F.col("i").alias("g"), "s", F.lit(None).cast("int").alias("i"), F.lit(None).cast("array<struct<s:array<int>,w:double>>").alias("m"))
+        both = level.withColumn("g", up).withColumn("s", F.lit(None).cast("array<int>")).unionByName(known)
+        states = both.groupBy("doc_id", "h", "g").agg(grouped, F.max("s").alias("s")).select("doc_id", "h", "rows", "s").mapInArrow(between, state)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -529,8 +525,15 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     traced = c.join(s, F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.h") == F.col("s.h")) & (F.col("c.i") == F.col("s.i"))).select("c.doc_id", "c.h", "c.copies", "c.i", "c.low", "c.high", "c.part", "s.s")
     pieces = traced.mapInArrow(trace, "doc_id long, h long, copies long, i int, ids binary")
     large = pieces.groupBy("doc_id", "h", "copies").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-    join = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    large = large.select("doc_id", join.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, copies, parts in zip(*(batch.column(i) for i in range(3)), strict=True):
+                out = b"".join(p["ids"] for p in parts.as_py())
+                for _ in range(copies.as_py()):
+                    yield _batch([(doc_id.as_py(), out)], [("doc_id", pa.int64()), ("ids", pa.binary())])
+
+    large = large.select("doc_id", "copies", "parts").mapInArrow(joined, "doc_id long, ids binary")
     return small.unionByName(large)
 
 
