@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from re import _constants as ops
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,8 +55,8 @@ def ngrams(text: Column, n: int, stop_words: Sequence[str] = STOP_WORDS) -> Colu
 
 
 def plain(text: Column) -> Column:
-    """The text for patterns in ASCII: other letters, digits and marks become "_", which is part of a word as they are, other signs blanks."""
-    return F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}\p{M}]", " "), r"[^\x00-\x7F]", "_")
+    """The text for patterns in ASCII, in small letters: other letters, digits and marks become "_", which is part of a word as they are, other signs blanks."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}\p{M}]", " "), r"[^\x00-\x7F]", "_"))
 
 
 def _divided(pattern: str) -> bool:
@@ -81,21 +85,60 @@ def alternation(patterns: Sequence[str]) -> str:
     return "|".join([*parts, *(f"(?:{p})" for p in rest)])
 
 
+def _literals(parsed: parser.SubPattern) -> tuple[str, ...] | None:
+    """Strings of which every match holds one; the choice whose shortest is longest."""
+    found: list[tuple[str, ...]] = []
+    run = ""
+    for op, value in [*parsed, (ops.ANY, None)]:
+        if op is ops.LITERAL:
+            run += chr(value).lower()
+            continue
+        if op is ops.AT:  # takes no character
+            continue
+        if run:
+            found.append((run,))
+        run, inner = "", None
+        if op is ops.SUBPATTERN:
+            inner = _literals(value[3])
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and value[0]:
+            inner = _literals(value[2])
+        elif op is ops.BRANCH:
+            parts = [_literals(x) for x in value[1]]
+            inner = tuple(dict.fromkeys(x for p in parts for x in p)) if all(parts) else None
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def needed(pattern: str) -> tuple[str, ...] | None:
+    """Small-letter strings of which a text must hold one for the pattern to match; None if no such list is known."""
+    try:
+        return _literals(parser.parse(pattern))
+    except (re.error, OverflowError):  # Java's own syntax
+        return None
+
+
 def any_match(text: Column, patterns: Sequence[str], bare: Column | None = None) -> Column:
     """Whether one of the patterns is found, whatever the case, by Unicode words.
 
     Patterns in ASCII run on the plain text (bare, if it is at hand), where Java
-    needs no Unicode tables; others on the text itself, and only where it has a
-    letter of theirs.
+    needs no Unicode tables, and only if it holds a string that they need; others
+    on the text itself, and only where it has a letter of theirs.
     """
     narrow, wide = [p for p in patterns if p.isascii()], [p for p in patterns if not p.isascii()]
-    out = (plain(text) if bare is None else bare).rlike("(?id)" + alternation(narrow)) if narrow else None
+    low, tests = plain(text) if bare is None else bare, []
+    by_need: dict[tuple[str, ...] | None, list[str]] = {}
+    for p in narrow:
+        by_need.setdefault(needed(p), []).append(p)
+    for words, ps in by_need.items():
+        found = low.rlike("(?id)" + alternation(ps))
+        tests.append(reduce(lambda a, b: a | b, [low.contains(w) for w in words]) & found if words else found)
     if wide:
         letters = sorted({c for p in wide for x in p if not x.isascii() for c in (x.lower(), x.upper())})
         far = [c for c in letters if c > "\u00ff"]  # a range is one comparison
-        found = text.rlike("[" + "".join(c for c in letters if c <= "\u00ff") + (f"{far[0]}-{far[-1]}" if far else "") + "]") & text.rlike(FLAGS + alternation(wide))
-        out = found if out is None else out | found
-    return F.lit(False) if out is None else out
+        some = "[" + "".join(c for c in letters if c <= "\u00ff") + (f"{far[0]}-{far[-1]}" if far else "") + "]"
+        tests.append(text.rlike(some) & text.rlike(FLAGS + alternation(wide)))
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def tags(text: Column, rules: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None) -> Column:

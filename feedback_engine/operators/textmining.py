@@ -24,19 +24,11 @@ LENGTHS = (
 )
 
 
-def term_frequency(df: DataFrame, terms: dict[str, str], text: str = "text", side: str = "sentiment", group: int = 12) -> DataFrame:
-    """How many negative, positive and all texts hold each term; one pass over the texts.
-
-    Terms are looked for in groups; only where a group is found are its members tried.
-    """
-    names = list(terms)
+def term_frequency(df: DataFrame, terms: dict[str, str], text: str = "text", side: str = "sentiment") -> DataFrame:
+    """How many negative, positive and all texts hold each term; one pass over the texts."""
     own = df.select(side, F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
-    hits = []
-    for at in range(0, len(names), group):
-        part = names[at : at + group]
-        each = F.array(*[F.when(any_match(F.col("text"), [terms[x]], F.col("bare")), F.lit(x)) for x in part])
-        hits.append(F.when(any_match(F.col("text"), [terms[x] for x in part], F.col("bare")), each).otherwise(F.array().cast("array<string>")))
-    rows = own.select(side, F.explode(F.concat(*hits)).alias("term")).filter("term is not null")
+    hits = F.array(*[F.when(any_match(F.col("text"), [p], F.col("bare")), F.lit(x)) for x, p in terms.items()])
+    rows = own.select(side, F.explode(hits).alias("term")).filter("term is not null")
     return rows.groupBy("term").agg(count_if(F.col(side) == "negative").alias("negative"), count_if(F.col(side) == "positive").alias("positive"), F.count("*").alias("total"))
 
 

@@ -323,3 +323,28 @@ def test_swap_and_document(spark, tmp_path):
         assert len(part) == 1
         got = json.loads((tmp_path / name / part[0]).read_text(encoding="utf-8"))
         assert got == {"app": 7, "name": "ü", "rows": [{"id": i, "s": 'x"y'} for i in range(n)]}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "words"),
+    [
+        (r"\bcheat(?:er|s)?\b", ("cheat",)), (r"\b(?:queue|wait)\s*(?:time|times)\b", ("time",)), (r"(higher|better).*rank", ("higher", "better")), (r"A[bc]D+", ("a",)),
+        (r"x*", None), (r"[ab]", None), (r"(?:abc|)d", ("d",)), (r"\Qa.b\E", None), (r"(ab)?", None), (r"(?:ab){2,}", ("ab",)),
+    ],
+)
+def test_strings_that_a_pattern_needs(pattern, words):
+    assert text.needed(pattern) == words
+
+
+def test_every_rule_holds_with_and_without_its_strings(spark):
+    """The strings a rule needs never take a match away."""
+    rules = [p for t in (rule_tables.NEGATIVE, rule_tables.POSITIVE, rule_tables.THEMES) for ps in t.values() for p in ps] + list(rule_tables.TERMS.values())
+    narrow = sorted({p for p in rules if p.isascii()})
+    rng, rows = random.Random(1), []
+    pool = [w for p in narrow for w in text.needed(p) or ()]
+    for i in range(300):
+        rows.append((i, " ".join(rng.choice(pool).upper() if rng.random() < 0.2 else rng.choice(pool) for _ in range(60)) + " ÄÖ ß"))
+    df = spark.createDataFrame(rows, "i long, t string").withColumn("b", text.plain(F.col("t")))
+    plain = lambda p: F.col("b").rlike("(?id)" + p)
+    wrong = [F.sum((text.any_match(F.col("t"), [p], F.col("b")) != plain(p)).cast("int")) for p in narrow]
+    assert not any(df.agg(*wrong).first())
