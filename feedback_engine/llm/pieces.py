@@ -165,22 +165,30 @@ class Vocabulary:
         best: list[tuple[float, int] | None] = [None] * (len(text) + 1)
         last: list[str | None] = [None] * (len(text) + 1)
         best[at], last[at] = (0.0, -1), before
+        bpe, longest, ids, endings, fits = self.kind == BPE, self.longest, self.ids, self.endings, self.fits
         for end in range(at + 1, len(text) + 1):
-            for start in range(end - 1, max(at, end - self.longest) - 1, -1):
+            for start in range(end - 1, max(at, end - longest) - 1, -1):
                 piece = text[start:end]
-                if end - start > 1 and piece not in self.endings:
+                if piece not in ids and end - start > 1:
+                    if piece in endings:
+                        continue
                     break
-                if best[start] is None or end - start > 1 and piece not in self.ids:
+                if best[start] is None:
                     continue
-                if self.kind == BPE:
-                    if last[start] is None or self.neighbours(last[start], piece):
-                        if len(piece) == 1 or self.split(piece) is not None:
-                            best[end], last[end] = (0.0, start), piece
-                            break
-                else:
-                    weight = best[start][0] + (self.score[self.ids[piece]] if piece in self.ids else self.unknown_score)
-                    if best[end] is None or weight >= best[end][0]:
-                        best[end], last[end] = (weight, start), piece
+                if bpe:  # one piece at most can end at each place
+                    left = last[start]
+                    if left is None:
+                        if end - start > 1 and self.split(piece) is None:
+                            continue
+                    else:  # pieces that merging never makes have no neighbours
+                        fit = fits.get((left, piece))
+                        if not (self.neighbours(left, piece) if fit is None else fit):
+                            continue
+                    best[end], last[end] = (0.0, start), piece
+                    break
+                weight = best[start][0] + (self.score[ids[piece]] if piece in ids else self.unknown_score)
+                if best[end] is None or weight >= best[end][0]:
+                    best[end], last[end] = (weight, start), piece
         return best
 
     def traced(self, text: str, best: list[tuple[float, int] | None], end: int, at: int = 0) -> list[str]:
