@@ -45,13 +45,20 @@ def topic(text: Column) -> Column:
     return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise("")
 
 
+def words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """The words that are left after links, other characters, stop words and single letters are gone."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"https?://\S+", ""), r"[^a-z\s]", " ")
+    return F.filter(F.split(bare, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
+
+
 def ngrams(text: Column, n: int, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """n-grams of the words that are left after links, other characters, stop words and single letters are gone."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"https?://\S+", ""), r"[^a-z\s]", " ")
-    words = F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
-    last = F.size(words) - n
-    gram = lambda i: F.array_join(F.slice(words, i + 1, n), " ")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), gram)).otherwise(F.array().cast("array<string>"))
+    """n-grams of the words of a text, in order. The words are bound once, so time grows with the text's length and not with its square."""
+
+    def runs(ws: Column) -> Column:
+        places = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(ws, i, n), " "))
+
+    return F.flatten(F.transform(F.array(words(text, stop_words)), runs))
 
 
 def plain(text: Column) -> Column:

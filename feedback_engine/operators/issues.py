@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedback_engine.functions.numbers import change_percent, count_if, percent
 from feedback_engine.operators.rank import top_per_group
+from feedback_engine.operators.scan import placed
 
 
 def ranked_by_kind(issues: DataFrame, groups: list[str], caps: dict[str, int]) -> DataFrame:
@@ -44,15 +45,29 @@ def by_language_and_tag(complaints: DataFrame, tagged: DataFrame, least: int = 5
     return ranked.filter((F.col("tag") == "_all") | (F.col("_first") >= least_tag) & (F.col("rank") <= top_tag)).select("language", "tag", "text", "n", "rank")
 
 
+def prefixes(df: DataFrame, column: str, name: str = "prefix", least: int = 1) -> DataFrame:
+    """df with a row for each prefix of a text, from `least` characters to the whole."""
+    n = F.length(column)
+    lengths = F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>"))
+    return df.select("*", F.explode(lengths).alias("_n")).withColumn(name, F.expr(f"left({column}, _n)")).drop("_n")
+
+
 def matched_entities(items: DataFrame, entities: DataFrame) -> DataFrame:
     """items (item) with the entity it names: the same, else the most frequent of which it is a prefix or which is a prefix of it.
 
-    entities (entity, total) is a top list of bounded size.
+    entities (entity, total) may be a table of any size: either side's prefixes
+    are joined by equality, so nothing is compared with everything. Of entities
+    that share a prefix only the best travels. An empty text names nothing; equal
+    totals go to the smaller entity.
     """
-    either = F.col("item").startswith(F.col("entity")) | F.col("entity").startswith(F.col("item"))
-    pairs = items.select("item").distinct().filter(F.length("item") > 0).join(F.broadcast(entities), either)
-    best = top_per_group(pairs, ["item"], [F.desc(F.col("item") == F.col("entity")), F.desc("total"), F.asc("entity")], 1, "_rank")
-    return items.join(best.select("item", "entity"), "item", "left")
+    names = entities.filter(F.length("entity") > 0).groupBy("entity").agg(F.max("total").alias("total"))
+    wanted = items.select("item").distinct().filter(F.length("item") > 0)
+    score = F.struct((-F.col("total")).alias("minus"), F.col("entity").alias("entity"))
+    longer = prefixes(names, "entity", "item").groupBy("item").agg(F.min(score).alias("best")).join(wanted, "item", "left_semi")
+    within = prefixes(wanted, "item", "entity").join(names, "entity").select("item", score.alias("best"))
+    both = within.unionByName(longer).select("item", F.struct((F.col("best.entity") != F.col("item")).alias("other"), F.col("best")).alias("m"))
+    best = both.groupBy("item").agg(F.min("m").alias("m"))
+    return items.join(best.select("item", F.col("m.best.entity").alias("entity")), "item", "left")
 
 
 def impact(changes: DataFrame, complaints: DataFrame) -> DataFrame:
@@ -86,8 +101,8 @@ def extraction_stats(records: DataFrame) -> DataFrame:
 
 
 def ordered_log(log: DataFrame, date: str, version: str) -> DataFrame:
-    """A change log, by date, with its place; entries without a date last. A log has a row for each release, so one task sorts it."""
-    return log.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last(date), F.asc(version))))
+    """A change log with each entry's place by date, entries without a date last; of any size, no task sorts it whole."""
+    return placed(log, [F.asc_nulls_last(date), F.asc(version)])
 
 
 def spikes(daily: DataFrame, day: str = "day", value: str = "negative", days: int = 14, factor: float = 3.0, least: int = 10) -> DataFrame:

@@ -9,37 +9,79 @@ from pyspark.sql import functions as F
 
 from feedback_engine.functions.numbers import change_percent, count_if, percent
 from feedback_engine.operators.rank import top_per_group
+from feedback_engine.operators.scan import last_known, placed
 
 OUTSIDE = "Off-season"
-#: Intervals that become one CASE expression; more are joined by the day.
+#: Intervals that become one CASE expression; a larger table is looked up by its segments, by the same rule.
 CASE_ROWS = 200
+#: Levels of the interval tree whose nodes are broadcast: fewer than 2 ** (TOP + 1).
+TOP = 10
 
 
-def with_period(df: DataFrame, periods: DataFrame | Sequence[tuple], ts: str = "ts", outside: str = OUTSIDE) -> DataFrame:
-    """df with ord and season of the interval [start_ts, end_ts) that holds ts; else null and `outside`.
+def with_period(df: DataFrame, periods: DataFrame | Sequence[tuple], ts: str = "ts", outside: str = OUTSIDE, case_rows: int = CASE_ROWS) -> DataFrame:
+    """df with ord and season of the first interval, by ord and then season, that holds ts; else null and `outside`.
 
     periods: rows (ord, season, start_ts, end_ts), as a table or, without a job to
-    read it, as a list. A small interval table becomes one CASE expression (the first match wins), so
-    no row moves and no join is planned. A larger one, whose intervals must not
-    overlap, is joined by the day, exploded over its days.
+    read it, as a list. Intervals are half-open, may overlap or touch, and are
+    open on a side that is null; one that ends before it starts holds nothing. A
+    small table becomes a CASE expression, so no row moves and no join is planned.
+    A table of any other size is cut into segments that don't overlap, and each
+    row takes the last segment that starts at or before it, by a scan over ranges:
+    long intervals and frequent times do no harm. Both give the same rows.
     """
     if isinstance(periods, DataFrame):
-        rows = [(r["ord"], r["season"], r["start_ts"], r["end_ts"]) for r in periods.orderBy("ord").limit(CASE_ROWS + 1).collect()]
+        rows = [(r["ord"], r["season"], r["start_ts"], r["end_ts"]) for r in periods.orderBy("ord", "season").limit(case_rows + 1).collect()]
     else:
-        rows = sorted(periods)
-        periods = df.sparkSession.createDataFrame(rows, "ord int, season string, start_ts timestamp_ntz, end_ts timestamp_ntz") if len(rows) > CASE_ROWS else None
+        rows = sorted(periods, key=lambda r: r[:2])
+        periods = df.sparkSession.createDataFrame(rows, "ord int, season string, start_ts timestamp_ntz, end_ts timestamp_ntz") if len(rows) > case_rows else None
     if not rows:
         return df.withColumns({"ord": F.lit(None).cast("int"), "season": F.lit(outside)})
-    if len(rows) <= CASE_ROWS:
+    if len(rows) <= case_rows:
         name, ord_ = F, F
         for i, label, start, end in rows:
-            inside = (F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end))
+            inside = F.col(ts).isNotNull()
+            inside = inside if start is None else inside & (F.col(ts) >= F.lit(start))
+            inside = inside if end is None else inside & (F.col(ts) < F.lit(end))
             name, ord_ = name.when(inside, label), ord_.when(inside, i)
         return df.withColumns({"ord": ord_, "season": name.otherwise(outside)})
-    left = df.withColumn("_day", F.to_date(ts)).alias("l")
-    right = periods.withColumn("_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts")))).alias("r")
-    held = (F.col("l._day") == F.col("r._day")) & (F.col(f"l.{ts}") >= F.col("r.start_ts")) & (F.col(f"l.{ts}") < F.col("r.end_ts"))
-    return left.join(right, held, "left").select(*[F.col(f"l.{c}") for c in df.columns], "r.ord", F.coalesce("r.season", F.lit(outside)).alias("season"))
+    own, cuts = df.select(F.struct(*df.columns).alias("_row"), F.col(ts).alias("_ts")), segments(periods)
+    nothing = F.lit(None).cast(cuts.schema["_segment"].dataType)
+    # A null time is no segment's; segments come before the rows that start with them.
+    both = own.select("_row", "_ts", F.lit(1).alias("_kind"), nothing.alias("_segment"))
+    both = both.unionByName(cuts.select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), F.col("_ts").cast(own.schema["_ts"].dataType), F.lit(0).alias("_kind"), "_segment"))
+    # Rows without a time come before the segment that is open on the left, whose _ts is null too.
+    untimed = F.when((F.col("_kind") == 1) & F.col("_ts").isNull(), 0).otherwise(1)
+    found = last_known(both.withColumn("_timed", untimed), [F.asc("_timed"), F.asc_nulls_first("_ts"), F.asc("_kind")], "_segment").filter("_kind = 1")
+    return found.select("_row.*", F.col("_segment.ord").alias("ord"), F.coalesce("_segment.season", F.lit(outside)).alias("season"))
+
+
+def segments(periods: DataFrame) -> DataFrame:
+    """_ts, _segment: where another interval begins to be the first that holds a time, and its (ord, season), both null where none does; the first _ts is null, before all.
+
+    All starts and ends, in order, are the leaves of a binary tree. An interval
+    covers at most two nodes of each level, a segment lies in one, and the first
+    interval of a node is a minimum; so everything is an equality of nodes.
+    """
+    periods = periods.filter("start_ts is null or end_ts is null or start_ts < end_ts")
+    ends = periods.select(F.col("start_ts").alias("_ts")).union(periods.select("end_ts"))
+    leaves = placed(ends.union(ends.sparkSession.range(1).select(F.lit(None).cast(ends.schema["_ts"].dataType))).distinct(), [F.asc_nulls_first("_ts")], "_leaf")
+    n = leaves.count()
+    levels = max(n.bit_length(), 1)
+    start, end = leaves.select(F.col("_ts").alias("start_ts"), F.col("_leaf").alias("_low")), leaves.select(F.col("_ts").alias("end_ts"), F.col("_leaf").alias("_high"))
+    spans = periods.join(start, periods.start_ts.eqNullSafe(start.start_ts)).drop(start.start_ts)
+    spans = spans.join(end, "end_ts", "left").select(F.struct("ord", "season").alias("_first"), "_low", F.coalesce("_high", F.lit(n + 1)).alias("_high"))
+    each = spans.select("_first", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"), "_low", "_high")
+    low, high = F.expr("shiftright(_low + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_high, _level)")
+    each = each.select("_first", "_level", low.alias("_low"), high.alias("_high")).filter("_low < _high")
+    odd = lambda c: c % 2 == 1
+    covered = F.array_compact(F.array(F.when(odd(F.col("_low")), F.col("_low")), F.when(odd(F.col("_high")), F.col("_high") - 1)))
+    nodes = each.select("_first", "_level", F.explode(covered).alias("_node")).groupBy("_level", "_node").agg(F.min("_first").alias("_first"))
+    paths = leaves.select("_ts", "_leaf", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")).withColumn("_node", F.expr("shiftright(_leaf, _level)"))
+    top = F.col("_level") >= max(levels - TOP, 0)
+    found = paths.filter(top).join(F.broadcast(nodes.filter(top)), ["_level", "_node"]).unionByName(paths.filter(~top).join(nodes.filter(~top), ["_level", "_node"]))
+    best = found.groupBy("_leaf").agg(F.min("_first").alias("_first"))
+    none = F.struct(F.lit(None).cast(periods.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("season"))
+    return leaves.join(best, "_leaf", "left").select("_ts", F.coalesce("_first", none).alias("_segment"))
 
 
 def health(df: DataFrame, *keys: str) -> DataFrame:

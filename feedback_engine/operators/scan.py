@@ -32,8 +32,8 @@ def partitions(spark: SparkSession) -> int:
 
 def _ranged(df: DataFrame, order: Sequence[Column], parts: int | None) -> DataFrame:
     """df written in order, with _part and _at, its place in it; rows equal in order go by their other columns, and equal rows need not meet in a task."""
-    ties = [F.xxhash64(*df.columns), F.monotonically_increasing_id()]
-    out = df.withColumns({"_tie": ties[0], "_copy": ties[1]})
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    out = df.withColumns({"_tie": F.xxhash64(*plain), "_copy": F.monotonically_increasing_id()})
     keys = [*order, F.col("_tie"), F.col("_copy")]
     out = out.repartitionByRange(parts or partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("_tie", "_copy")
     out = written(out.withColumn("_at", F.monotonically_increasing_id()), "ranged")
@@ -63,6 +63,16 @@ def running(df: DataFrame, order: Sequence[Column], value: str, name: str = "run
     return out.select(*df.columns, (F.col("_before_n") + F.col("_at") + 1).alias(place), (F.col("_before_v") + F.col("_own")).alias(name))
 
 
+def last_known(df: DataFrame, order: Sequence[Column], value: str, parts: int | None = None) -> DataFrame:
+    """df with nulls of value filled by the last value before them in order, over the whole table; null where there is none."""
+    rows = _ranged(df, order, parts)
+    own = F.last(value, True).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    each = rows.groupBy("_part").agg(F.max(F.when(F.col(value).isNotNull(), F.struct("_at", F.col(value).alias("v")))).alias("last"))
+    before = each.select("_part", F.last("last.v", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    out = rows.withColumn("_own", own).join(F.broadcast(before), "_part")  # a row for each partition
+    return out.select(*[F.coalesce("_own", "_before").alias(c) if c == value else F.col(c) for c in df.columns])
+
+
 def with_progress(df: DataFrame, order: Sequence[Column], value: str, name: str = "running") -> DataFrame:
     """running(), with the place and the running sum in percent of the whole."""
     from feedback_engine.functions.numbers import percent

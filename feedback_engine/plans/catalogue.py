@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedback_engine.functions import numbers, rule_tables, text as textfn, time
-from feedback_engine.functions.canonical import canonical
+from feedback_engine.functions import canonical_tables
+from feedback_engine.functions.canonical import canonicalised
 from feedback_engine.operators import issues as issue_ops
-from feedback_engine.operators import periods, quality, rank, sampling, shape, tags, textmining
+from feedback_engine.operators import periods, quality, rank, sampling, scan, shape, tags, textmining
 from feedback_engine.plans import views
 from feedback_engine.plans.views import sql, table
 from feedback_engine.sources import pages
@@ -497,12 +498,19 @@ def issue_season_bracket_dist(spark, d):
     return rank.counted(views.record_issues(spark, d), "text", "season", "bracket")
 
 
-@query("SELECT version, day, CAST(row_number() OVER (ORDER BY day NULLS LAST, version) AS INTEGER) AS place FROM (SELECT p_partkey AS version, CASE WHEN p_partkey % 7 > 0 THEN '2024-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS day FROM part WHERE p_partkey <= 200)")
+@query("SELECT version, day, row_number() OVER (ORDER BY day NULLS LAST, version) AS place FROM (SELECT p_partkey AS version, CASE WHEN p_partkey % 7 > 0 THEN '2024-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS day FROM part)")
 def change_log_order(spark, d):
-    log = table(spark, d, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("version"), F.when(F.col("p_partkey") % 7 > 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))).alias("day"))
+    log = table(spark, d, "part").select(F.col("p_partkey").alias("version"), F.when(F.col("p_partkey") % 7 > 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))).alias("day"))
     return issue_ops.ordered_log(log, "day", "version")
 
 
+@query(f"""SELECT rec_id, place, votes, {PCT.format("place", "n")} AS rows_pct, {PCT.format("votes", "v")} AS votes_pct FROM (SELECT rec_id, row_number() OVER w AS place, CAST(sum(votes_up) OVER w AS BIGINT) AS votes, count(*) OVER () AS n, CAST(sum(votes_up) OVER () AS BIGINT) AS v FROM rec WINDOW w AS (ORDER BY ts, rec_id ROWS UNBOUNDED PRECEDING))""")
+def progress_totals(spark, d):
+    """How far a run over all records, by time, has come at each of them."""
+    rows = views.records(spark, d).select("rec_id", "ts", "votes_up")
+    return scan.with_progress(rows, [F.asc("ts"), F.asc("rec_id")], "votes_up", "votes").select("rec_id", "place", "votes", "rows_pct", "votes_pct")
+
+
 @query("WITH k AS (" + top_sql("SELECT kind, text, count(*) AS n FROM iss GROUP BY 1, 2", "kind", "n DESC, text", 20, "text") + " UNION " + top_sql("SELECT entity, text, count(*) AS n FROM iss GROUP BY 1, 2", "entity", "n DESC, text", 5, "text") + ") SELECT rec_id, line, text FROM iss WHERE text IN (SELECT text FROM k)")
 def needed_issue_semi(spark, d):
     rows = views.issues(spark, d)
@@ -512,21 +520,65 @@ def needed_issue_semi(spark, d):
 
 # --- text ---
 
-SAMPLES = {"overrides": "Light Class: overpowered", "praise": "gameplay: great", "combat": "sword: cancer", "uneven": "matchmaking: unfair"}
-VARIANT = "CASE p_size % 5 WHEN 0 THEN 'bugs: crash' WHEN 1 THEN lower(p_type) || ': op' WHEN 2 THEN 'Matchmaking: unfair' WHEN 3 THEN p_type || ': ' || p_name ELSE 'sound: great' END"
-EXPECTED = "CASE p_size % 5 WHEN 0 THEN 'Bugs: crashes' WHEN 1 THEN upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ': overpowered' WHEN 2 THEN 'Matchmaking: skill disparity' WHEN 3 THEN p_type || ': ' || p_name ELSE 'Audio: satisfying' END"
+def _values(xs) -> str:
+    return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
+
+
+def _lookup(name: str, table: dict[str, str]) -> str:
+    return f"{name}(k, v) AS (VALUES " + ", ".join(_values(pair) for pair in table.items()) + ")"
+
+
+_T = canonical_tables
+_RULED = [*_T.FUN, *_T.SATISFYING, *_T.BEAUTIFUL, *_T.GOOD, *_T.COMBAT, *_T.UNEVEN_TOPICS], [*_T.PRAISE, "good", *_T.UNEVEN, *_T.ANNOYING]
+
+
+def _pick_sql(xs, index: str) -> str:
+    return f"([{_values(xs)[1:-1]}])[{index} % {len(xs)} + 1]"
+
+
+#: All entries of the tables in turn, topics and descriptions in other places and letters, those that go by their topic, and texts without any.
+VARIANT = f"""CASE p_partkey % 6 WHEN 0 THEN {_pick_sql(_T.OVERRIDES, "p_partkey // 6")} WHEN 1 THEN upper({_pick_sql(_T.PREFIXES, "p_partkey // 6")}) || ' : ' || p_name
+ WHEN 2 THEN p_type || ':  ' || {_pick_sql(_T.SUFFIXES, "p_partkey // 6")} WHEN 3 THEN {_pick_sql(_T.PREFIXES, "p_partkey // 6")} || ': ' || upper({_pick_sql(_T.SUFFIXES, "p_partkey // 6")})
+ WHEN 4 THEN {_pick_sql(_RULED[0], "p_partkey // 6")} || ': ' || {_pick_sql(_RULED[1], "p_size")} ELSE lower(p_type) || CASE WHEN p_size % 2 = 0 THEN ' ' ELSE ': ' END || p_name END"""
+
+
+def _variants(part: DataFrame) -> DataFrame:
+    """p_partkey, text: the same in Spark."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    sixth, kind = F.floor(F.col("p_partkey") / 6), F.col("p_partkey") % 6
+    text = (
+        F.when(kind == 0, pick(_T.OVERRIDES, sixth))
+        .when(kind == 1, F.concat(F.upper(pick(_T.PREFIXES, sixth)), F.lit(" : "), "p_name"))
+        .when(kind == 2, F.concat("p_type", F.lit(":  "), pick(_T.SUFFIXES, sixth)))
+        .when(kind == 3, F.concat(pick(_T.PREFIXES, sixth), F.lit(": "), F.upper(pick(_T.SUFFIXES, sixth))))
+        .when(kind == 4, F.concat(pick(_RULED[0], sixth), F.lit(": "), pick(_RULED[1], F.col("p_size"))))
+        .otherwise(F.concat(F.lower("p_type"), F.when(F.col("p_size") % 2 == 0, " ").otherwise(": "), "p_name"))
+    )
+    return part.select("p_partkey", text.alias("text"))
+
+
+_PRAISED = f"WHEN head IN {_values(_T.FUN)} THEN 'fun' WHEN head IN {_values(_T.SATISFYING)} THEN 'satisfying' WHEN head IN {_values(_T.BEAUTIFUL)} THEN 'beautiful'"
+CANONICAL = f"""{_lookup("ov", _T.OVERRIDES)}, {_lookup("pre", _T.PREFIXES)}, {_lookup("suf", _T.SUFFIXES)},
+v AS (SELECT p_partkey, {VARIANT} AS text FROM part),
+s AS (SELECT *, instr(text, ': ') AS cut, substr(text, 1, instr(text, ': ') - 1) AS h, substr(text, instr(text, ': ') + 2) AS t FROM v),
+m AS (SELECT s.p_partkey, s.text, s.cut, ov.v AS whole, coalesce(pre.v, upper(substr(h, 1, 1)) || substr(h, 2)) AS head, coalesce(suf.v, t) AS tail, lower(trim(coalesce(suf.v, t))) AS low
+ FROM s LEFT JOIN ov ON ov.k = s.text LEFT JOIN pre ON pre.k = lower(trim(h)) LEFT JOIN suf ON suf.k = lower(trim(t))),
+c AS (SELECT p_partkey, text, CASE WHEN whole IS NOT NULL THEN whole WHEN cut = 0 THEN text ELSE head || ': ' || CASE
+ WHEN low IN {_values(_T.PRAISE)} THEN CASE {_PRAISED} WHEN head IN {_values(_T.GOOD)} THEN 'good' ELSE tail END
+ WHEN low = 'good' THEN CASE {_PRAISED} ELSE tail END
+ WHEN low IN {_values(_T.UNEVEN)} THEN CASE WHEN head IN {_values(_T.UNEVEN_TOPICS)} THEN 'skill disparity' ELSE tail END
+ WHEN low IN {_values(_T.ANNOYING)} THEN CASE WHEN head IN {_values(_T.COMBAT)} THEN 'unfun to play against' ELSE 'annoying' END
+ ELSE tail END END AS canonical FROM m)"""
 
 
-@query(f"SELECT p_partkey, {VARIANT} AS text, {EXPECTED} AS canonical FROM part")
+@query(f"WITH {CANONICAL} SELECT p_partkey, text, canonical FROM c")
 def normalize_text(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.expr(VARIANT).alias("text"))
-    return rows.withColumn("canonical", canonical(F.col("text")))
+    return canonicalised(_variants(table(spark, d, "part")))
 
 
-@query(f"SELECT count(DISTINCT a) AS before, count(DISTINCT b) AS after, count(*) FILTER (a <> b) AS changed, round(CAST(count(DISTINCT a) - count(DISTINCT b) AS DOUBLE) / count(DISTINCT a) * 100, 1) AS reduction_pct FROM (SELECT {VARIANT} AS a, {EXPECTED} AS b FROM part)")
+@query(f"WITH {CANONICAL} SELECT count(DISTINCT text) AS before, count(DISTINCT canonical) AS after, count(*) FILTER (text <> canonical) AS changed, round(CAST(count(DISTINCT text) - count(DISTINCT canonical) AS DOUBLE) / count(DISTINCT text) * 100, 1) AS reduction_pct FROM c")
 def normalize_effect(spark, d):
-    rows = table(spark, d, "part").select(F.expr(VARIANT).alias("a"))
-    return quality.change_effect(rows.withColumn("b", canonical(F.col("a"))), "a", "b")
+    return quality.change_effect(canonicalised(_variants(table(spark, d, "part"))), "text", "canonical")
 
 
 #: For SQL, whose word boundaries know ASCII only: other letters and digits become "_", other signs blanks.
