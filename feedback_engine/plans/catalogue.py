@@ -6,6 +6,7 @@ are longs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,8 @@ from feedback_engine.operators import issues as issue_ops
 from feedback_engine.operators import periods, quality, rank, sampling, scan, shape, tags, textmining
 from feedback_engine.plans import views
 from feedback_engine.plans.views import sql, table
-from feedback_engine.sources import pages
+from feedback_engine.session import shared_folder
+from feedback_engine.sources import pages, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -823,9 +825,23 @@ def dim_entity_flatten(spark, d):
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_id % 10 <> 3")
 def scan_jsonl(spark, d):
-    line = F.when(F.col("event_id") % 10 == 3, F.lit('{"event_id": oops')).otherwise(F.to_json(F.struct("event_id", "event_type", "value")))
-    parsed = table(spark, d, "events").select(F.from_json(line, "event_id long, event_type string, value double").alias("r"))
-    return parsed.select("r.*").filter("event_id is not null")
+    """Events written as JSON lines, some of them broken or empty, and read back from the files."""
+    line = F.when(F.col("event_id") % 20 == 3, F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))).when(F.col("event_id") % 10 == 3, F.lit(""))
+    lines = table(spark, d, "events").select(line.otherwise(F.to_json(F.struct("event_id", "event_type", "value"))).alias("value"))
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex[:12]}"
+    lines.write.text(folder)
+    return readers.jsonl(spark, folder, "event_id long, event_type string, value double")
+
+
+@query(f"""SELECT page_id, version, season, text FROM (SELECT page_id, version, text, CASE WHEN version IN ('Season_1', '1.2.0') THEN 'S1' WHEN regexp_matches(version, '^[0-9]+\\.') THEN 'S' || regexp_extract(version, '^([0-9]+)\\.', 1) ELSE '' END AS season
+ FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Season_1' WHEN 1 THEN '1.2.0' WHEN 2 THEN CAST(page_id % 9 + 1 AS VARCHAR) || '.4.0' WHEN 3 THEN 'beta-' || CAST(page_id AS VARCHAR) ELSE 'Update' END AS version,
+ {pages.plain_text_sql("CASE WHEN page_id % 7 = 3 THEN '<nav>only a menu</nav>' ELSE html END")} AS text FROM pages)) WHERE text <> '' AND season <> '' AND NOT regexp_matches(version, '^beta')""")
+def page_versions(spark, d):
+    """Pages of released versions that have a text and a season."""
+    version = F.when(F.col("page_id") % 5 == 0, "Season_1").when(F.col("page_id") % 5 == 1, "1.2.0").when(F.col("page_id") % 5 == 2, F.concat((F.col("page_id") % 9 + 1).cast("string"), F.lit(".4.0")))
+    version = version.when(F.col("page_id") % 5 == 3, F.concat(F.lit("beta-"), F.col("page_id").cast("string"))).otherwise("Update")
+    html = F.when(F.col("page_id") % 7 == 3, "<nav>only a menu</nav>").otherwise(F.col("html"))
+    return pages.released(table(spark, d, "pages").select("page_id", version.alias("version"), html.alias("html")), exclude="^beta")
 
 
 # --- data quality, sampling ---

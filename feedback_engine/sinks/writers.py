@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedback_engine.operators.scan import placed
+
 
 def csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """CSV with a header and a fixed order of columns; others are left out."""
@@ -28,15 +30,20 @@ def merged(df: DataFrame, key: str, order: Sequence[str], path: str) -> None:
 
 
 def swapped(df: DataFrame, path: str) -> None:
-    """Overwrite a table that may also be df's input: write beside it, rename the old one away, then the new one into its place.
+    """Overwrite a table that may also be df's input: write beside it, then put it in the old one's place."""
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.new"
+    df.write.parquet(staged)
+    put(df.sparkSession, staged, path)
+
+
+def put(spark: SparkSession, staged: str, path: str) -> None:
+    """Rename what is at `path` away, then what is staged into its place.
 
-    The old table is deleted last and comes back if the new one cannot take its
-    place, so a whole table is there after a crash at any point: at `path`, or
-    beside it under the names that end in .old and .new.
+    What was there is deleted last and comes back if the new one cannot take its
+    place, so a whole one is there after a crash at any point: at `path`, or beside
+    it under a name that ends in .old or the staged one.
     """
-    spark, once = df.sparkSession, uuid.uuid4().hex[:8]
-    staged, kept = (f"{path.rstrip('/')}.{once}.{x}" for x in ("new", "old"))
-    df.write.parquet(staged)
+    kept = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.old"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
     fs = old.getFileSystem(conf)
@@ -60,16 +67,23 @@ def envelope(df: DataFrame, metadata: Mapping[str, object]) -> DataFrame:
 
 
 def document(df: DataFrame, path: str, metadata: Mapping[str, object], key: str = "rows", order: Sequence[str] = ()) -> None:
-    """One JSON document {metadata..., key: [rows]} as a single text file in the folder; rows stream through one task and are never collected."""
+    """One JSON document {metadata..., key: [rows]} as text files in a folder, which are the document one after the other by name.
+
+    Rows are sorted by ranges and written by as many tasks as they need; none sees
+    them all. The folder takes its place when all of it is written.
+    """
     import json
 
+    spark, staged = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.new"
     head = json.dumps(dict(metadata), ensure_ascii=False)
     head = f"{head[:-1]}{', ' if metadata else ''}{json.dumps(key)}: ["
-    one = df.repartition(1)
-    one = (one.sortWithinPartitions(*order) if order else one).withColumn("_id", F.monotonically_increasing_id())
-    rows = one.select((F.col("_id") + 1).alias("_id"), F.concat(F.when(F.col("_id") > 0, ",").otherwise(""), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("value"))
-    ends = df.sparkSession.createDataFrame([(0, head), ((1 << 62), "]}")], "_id long, value string")
-    ends.unionByName(rows).repartition(1).sortWithinPartitions("_id").select("value").write.mode("overwrite").text(path)
+    columns = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = placed(df, [F.asc(c) for c in order], "_place") if order else df.withColumn("_place", F.monotonically_increasing_id() + 1)
+    first = rows.agg(F.min("_place")).first()[0]
+    lines = rows.select("_place", F.concat(F.when(F.col("_place") > first, ",").otherwise(""), F.to_json(columns)).alias("value"))
+    ends = spark.createDataFrame([(0, head), ((1 << 62), "]}")], "_place long, value string")
+    ends.unionByName(lines).orderBy("_place").select("value").write.text(staged)
+    put(spark, staged, path)
 
 
 def dashboard(results: Mapping[str, DataFrame], path: str) -> None:

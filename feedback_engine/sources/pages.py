@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedback_engine.functions.time import season_code
 from feedback_engine.operators.rank import first_per_key
 
 DROPPED = ("script", "style", "nav", "footer", "head")
@@ -47,3 +48,11 @@ def fetched(pages: DataFrame, cached: DataFrame, longest: int | None = None) ->
     """(page_id, text) of every page: from the cache where it is there, else read now; a page that failed (null html) is empty."""
     new = pages.join(cached.select("page_id"), "page_id", "left_anti").select("page_id", plain_text(F.col("html"), longest).alias("text"))
     return cached.select("page_id", "text").unionByName(new)
+
+
+def released(pages: DataFrame, exclude: str | None = None, longest: int | None = None) -> DataFrame:
+    """page_id, version, season, text of pages (page_id, version, html) with a text and a season; versions that match `exclude` go unread."""
+    known = pages.withColumn("season", season_code(F.col("version"))).filter(F.col("season") != "")
+    if exclude:
+        known = known.filter(~F.col("version").rlike(exclude))
+    return known.select("page_id", "version", "season", plain_text(F.col("html"), longest).alias("text")).filter(F.col("text") != "")
