@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedback_engine.functions.text import plain, tags
+from feedback_engine.functions.text import prepared, tags
 from feedback_engine.operators.shape import ISSUE, merged_results, pending, sanitised
 
 #: Dollars for a million tokens in and out.
@@ -31,7 +31,8 @@ def load_rules(path: str) -> list[tuple[str, list[str]]]:
 def by_rules(records: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], text: str = "text") -> DataFrame:
     """records with their tags and a confidence: high with one tag or more, else none."""
     own = F.coalesce(F.col(text), F.lit(""))
-    out = records.withColumn("_bare", plain(own)).withColumn("tags", tags(own, rules, F.col("_bare"))).drop("_bare")
+    out, bare, known = prepared(records.withColumn("_own", own), [p for _, ps in rules for p in ps], "_own", spread=False)
+    out = out.withColumn("tags", tags(F.col("_own"), rules, bare, known)).drop("_own", "_bare", "_held")
     return out.withColumn("confidence", F.when(F.size("tags") > 0, "high").otherwise("none"))
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from re import _constants as ops
 from re import _parser as parser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that n-grams leave out.
@@ -125,12 +125,95 @@ def needed(pattern: str) -> tuple[str, ...] | None:
         return None
 
 
-def any_match(text: Column, patterns: Sequence[str], bare: Column | None = None) -> Column:
+def example(pattern: str) -> str:
+    """A text that a pattern matches: first choices, fewest repeats but one at least, a letter for a class."""
+
+    def shown(parsed: parser.SubPattern) -> str:
+        out = ""
+        for op, value in parsed:
+            if op is ops.LITERAL:
+                out += chr(value)
+            elif op is ops.SUBPATTERN:
+                out += shown(value[3])
+            elif op is ops.BRANCH:
+                out += shown(value[1][0])
+            elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT):
+                out += shown(value[2]) * max(value[0], 1)
+            elif op is ops.IN:
+                kind, first = value[0]
+                out += {ops.CATEGORY_DIGIT: "7", ops.CATEGORY_SPACE: " "}.get(first, "a") if kind is ops.CATEGORY else chr(first if kind is ops.LITERAL else first[0])
+            elif op is ops.ANY:
+                out += " "
+        return out
+
+    return shown(parser.parse(pattern))
+
+
+#: Stands among a text's findings for letters beyond Latin-1; no plain text holds it.
+FAR = "\uffff"
+
+
+class Dictionary:
+    """The strings that the patterns of many rules need, found in a text by one pass over it.
+
+    A text is read once by a lookahead whose pattern is the trie of all strings, so
+    at each place the longest that begins there is found, and with it every string
+    that begins it. A rule's own pattern then runs only where one of its strings
+    was found.
+    """
+
+    def __init__(self, patterns: Iterable[str]) -> None:
+        patterns = list(patterns)
+        self.strings = sorted({w for p in patterns for w in needed(p) or () if w.isascii()})
+        self.letters = sorted({x for p in patterns for c in p if c > "\u00ff" for x in (c.lower(), c.upper())})
+
+    def found(self, bare: Column) -> Column:
+        """The distinct strings that a plain text holds, but those that only begin a longer one where it stands."""
+        if not self.strings:
+            return F.array().cast("array<string>")
+        return F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?=({trie(self.strings)}))"), F.lit(1)))
+
+    def far(self, text: Column, found: Column) -> Column:
+        """found with FAR added where the text has a letter beyond Latin-1 that some pattern has."""
+        if not self.letters:
+            return found
+        return F.when(text.rlike(f"[{self.letters[0]}-{self.letters[-1]}]"), F.array_append(found, F.lit(FAR))).otherwise(found)
+
+    def held(self, found: Column, strings: Iterable[str]) -> Column:
+        """Whether a text with these findings holds one of the strings."""
+        own = sorted({x for w in strings for x in self.strings if x.startswith(w)})
+        return reduce(lambda a, b: a | b, [F.array_contains(found, x) for x in own])
+
+
+def trie(strings: Iterable[str]) -> str:
+    """One pattern for the longest of the strings that begins at a place; no two branches begin alike."""
+    root: dict = {}
+    for s in strings:
+        node = root
+        for c in s:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        parts = [re.sub(r"([^\w\s])", r"\\\1", c) + shown(child) for c, child in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        if "" in node:
+            return "(?:" + "|".join(parts) + ")?"
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return shown(root)
+
+
+def any_match(text: Column, patterns: Sequence[str], bare: Column | None = None, known: tuple[Dictionary, Column] | None = None) -> Column:
     """Whether one of the patterns is found, whatever the case, by Unicode words.
 
     Patterns in ASCII run on the plain text (bare, if it is at hand), where Java
     needs no Unicode tables, and only if it holds a string that they need; others
-    on the text itself, and only where it has a letter of theirs.
+    on the text itself, and only where it has a letter of theirs that a match
+    needs, or a string if a match can do without such letters. known: a
+    dictionary of these patterns' strings and what it found in the text; without
+    it the text is searched for each string.
     """
     narrow, wide = [p for p in patterns if p.isascii()], [p for p in patterns if not p.isascii()]
     low, tests = plain(text) if bare is None else bare, []
@@ -139,20 +222,48 @@ def any_match(text: Column, patterns: Sequence[str], bare: Column | None = None)
         by_need.setdefault(needed(p), []).append(p)
     for words, ps in by_need.items():
         found = low.rlike("(?id)" + alternation(ps))
-        tests.append(reduce(lambda a, b: a | b, [low.contains(w) for w in words]) & found if words else found)
-    if wide:
-        letters = sorted({c for p in wide for x in p if not x.isascii() for c in (x.lower(), x.upper())})
+        if words:
+            found = (known[0].held(known[1], words) if known else reduce(lambda a, b: a | b, [low.contains(w) for w in words])) & found
+        tests.append(found)
+    held = lambda words: known[0].held(known[1], words) if known else reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    lettered = []
+    for p in wide:
+        words = needed(p) or ("",)
+        if not any(w.isascii() for w in words):
+            lettered.append(p)
+        elif all(words):  # a choice without other letters
+            found = held([w for w in words if w.isascii()])
+            other = "".join(sorted({c for w in words for x in w if not x.isascii() for c in (x.lower(), x.upper())}))
+            tests.append((found | text.rlike(f"[{other}]") if other else found) & text.rlike(FLAGS + p))
+        else:
+            tests.append(text.rlike(FLAGS + p))
+    if lettered:
+        letters = sorted({c for p in lettered for x in p if not x.isascii() for c in (x.lower(), x.upper())})
         far = [c for c in letters if c > "\u00ff"]  # a range is one comparison
         some = "[" + "".join(c for c in letters if c <= "\u00ff") + (f"{far[0]}-{far[-1]}" if far else "") + "]"
-        tests.append(text.rlike(some) & text.rlike(FLAGS + alternation(wide)))
+        test = text.rlike(some) & text.rlike(FLAGS + alternation(lettered))
+        tests.append(F.array_contains(known[1], FAR) & test if known and len(far) == len(letters) else test)
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def tags(text: Column, rules: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None) -> Column:
+def tags(text: Column, rules: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None, known: tuple[Dictionary, Column] | None = None) -> Column:
     """Names of the rules (name, patterns) that match, in their order."""
-    return F.filter(F.array(*[F.when(any_match(text, p, bare), F.lit(name)) for name, p in rules]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(any_match(text, p, bare, known), F.lit(name)) for name, p in rules]), lambda x: x.isNotNull())
 
 
-def tags_by_side(text: Column, negative: Column, negatives: Sequence[tuple[str, Sequence[str]]], positives: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None) -> Column:
+def tags_by_side(text: Column, negative: Column, negatives: Sequence[tuple[str, Sequence[str]]], positives: Sequence[tuple[str, Sequence[str]]], bare: Column | None = None, known: tuple[Dictionary, Column] | None = None) -> Column:
     """The tags of one of two tables of rules, by the side of the text; the other table's rules do not run."""
-    return F.when(negative, tags(text, negatives, bare)).otherwise(tags(text, positives, bare))
+    return F.when(negative, tags(text, negatives, bare, known)).otherwise(tags(text, positives, bare, known))
+
+
+def prepared(df: DataFrame, patterns: Iterable[str], text: str = "text", spread: bool = True) -> tuple[DataFrame, Column, tuple[Dictionary, Column]]:
+    """df with what matching many patterns shares, made once a text: the plain text (_bare) and the strings it holds (_held). And both as any_match() takes them.
+
+    A table that is read in fewer tasks than there are cores is dealt out first.
+    """
+    book = Dictionary(patterns)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    df = df.withColumn("_bare", plain(F.col(text)))
+    return df.withColumn("_held", book.far(F.col(text), book.found(F.col("_bare")))), F.col("_bare"), (book, F.col("_held"))

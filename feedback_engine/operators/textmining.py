@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedback_engine.functions.numbers import count_if, percent
-from feedback_engine.functions.text import any_match, ngrams, plain, tags
+from feedback_engine.functions.text import any_match, ngrams, prepared, tags
 from feedback_engine.operators.rank import top_per_group
 
 #: Lengths from the first bound, below the second.
@@ -26,16 +26,16 @@ LENGTHS = (
 
 def term_frequency(df: DataFrame, terms: dict[str, str], text: str = "text", side: str = "sentiment") -> DataFrame:
     """How many negative, positive and all texts hold each term; one pass over the texts."""
-    own = df.select(side, F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
-    hits = F.array(*[F.when(any_match(F.col("text"), [p], F.col("bare")), F.lit(x)) for x, p in terms.items()])
+    own, bare, known = prepared(df.select(side, F.col(text).alias("text")), terms.values())
+    hits = F.array(*[F.when(any_match(F.col("text"), [p], bare, known), F.lit(x)) for x, p in terms.items()])
     rows = own.select(side, F.explode(hits).alias("term")).filter("term is not null")
     return rows.groupBy("term").agg(count_if(F.col(side) == "negative").alias("negative"), count_if(F.col(side) == "positive").alias("positive"), F.count("*").alias("total"))
 
 
 def themes(df: DataFrame, rules: dict[str, Sequence[str]], text: str = "text") -> DataFrame:
     """Texts that match a theme, in percent of all."""
-    own = df.select(F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
-    flags = [count_if(any_match(F.col("text"), p, F.col("bare"))).alias(f"m{i}") for i, p in enumerate(rules.values())]
+    own, bare, known = prepared(df.select(F.col(text).alias("text")), [p for ps in rules.values() for p in ps])
+    flags = [count_if(any_match(F.col("text"), p, bare, known)).alias(f"m{i}") for i, p in enumerate(rules.values())]
     one = own.agg(F.count("*").alias("total"), *flags)
     pairs = F.array(*[F.struct(F.lit(name).alias("theme"), F.col(f"m{i}").alias("n")) for i, name in enumerate(rules)])
     return one.select("total", F.explode(pairs).alias("p")).select("p.theme", "p.n", percent(F.col("p.n"), F.col("total")).alias("pct"))
@@ -43,8 +43,8 @@ def themes(df: DataFrame, rules: dict[str, Sequence[str]], text: str = "text") -
 
 def theme_samples(df: DataFrame, rules: dict[str, Sequence[str]], key: str, n: int = 3, longest: int = 200, text: str = "text") -> DataFrame:
     """The first n texts (by key) of each theme, cut to `longest` characters."""
-    own = df.select(key, F.col(text).alias("text"), plain(F.col(text)).alias("bare"))
-    hits = own.select(key, "text", F.explode(tags(F.col("text"), list(rules.items()), F.col("bare"))).alias("theme"))
+    own, bare, known = prepared(df.select(key, F.col(text).alias("text")), [p for ps in rules.values() for p in ps])
+    hits = own.select(key, "text", F.explode(tags(F.col("text"), list(rules.items()), bare, known)).alias("theme"))
     return top_per_group(hits.select("theme", key, F.substring("text", 1, longest).alias("sample")), ["theme"], [F.asc(key)], n)
 
 

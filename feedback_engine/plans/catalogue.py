@@ -6,6 +6,7 @@ are longs.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -597,8 +598,32 @@ def _tags_sql(rules: dict[str, list[str]]) -> str:
 
 @query(f"WITH {PLAIN} SELECT doc_id, array_to_string(list_filter(CASE WHEN sentiment = 'negative' THEN {_tags_sql(rule_tables.NEGATIVE)} ELSE {_tags_sql(rule_tables.POSITIVE)} END, lambda x: x IS NOT NULL), ',') AS tags FROM t")
 def regex_tagger(spark, d):
-    found = textfn.tags_by_side(F.col("text"), F.col("sentiment") == "negative", list(rule_tables.NEGATIVE.items()), list(rule_tables.POSITIVE.items()), F.col("bare"))
-    return views.feedback(spark, d).withColumn("bare", textfn.plain(F.col("text"))).select("doc_id", F.array_join(found, ",").alias("tags"))
+    sides = list(rule_tables.NEGATIVE.items()), list(rule_tables.POSITIVE.items())
+    rows, bare, known = textfn.prepared(views.feedback(spark, d).select("doc_id", "sentiment", "text"), [p for rules in sides for _, ps in rules for p in ps])
+    found = textfn.tags_by_side(F.col("text"), F.col("sentiment") == "negative", *sides, bare, known)
+    return rows.select("doc_id", F.array_join(found, ",").alias("tags"))
+
+
+_WIDE = [{n: [p for p in ps if not p.isascii()] for n, ps in rules.items() if any(not p.isascii() for p in ps)} for rules in (rule_tables.NEGATIVE, rule_tables.POSITIVE)]
+#: A text for each pattern with other letters than ASCII; as it is, in capitals, and inside a word.
+_EXAMPLES = [t for rules in _WIDE for ps in rules.values() for p in ps for e in [textfn.example(p)] for t in (e, e.upper(), f"ж{e}ж")]
+
+
+def _marked(pattern: str) -> str:
+    """A pattern for texts with marks around each Unicode word: SQL's own word boundaries know ASCII only."""
+    out = pattern.replace("\\s", "[\\s‹›]").replace(" ", "[‹›]* [‹›]*").replace("\\b", "[‹›]").replace("\\w", "[\\p{L}\\p{M}\\p{N}_]")
+    return re.sub(r"(?<!\\)\.(?!\*)", "[‹›]*.[‹›]*", out)
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT doc_id, regexp_replace(text || ' ' || ([{", ".join(f"'{e}'" for e in _EXAMPLES)}])[doc_id % {len(_EXAMPLES)} + 1] || ' .', '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', '‹\\1›', 'g') AS text FROM documents WHERE doc_id IS NOT NULL)
+ SELECT doc_id, array_to_string(list_filter({_tags_sql({f"{side} {n}": [_marked(p) for p in ps] for side, rules in zip(("negative", "positive"), _WIDE, strict=True) for n, ps in rules.items()})}, lambda x: x IS NOT NULL), ',') AS tags FROM t""")
+def wide_tagger(spark, d):
+    """Rules with other letters than ASCII over every text, each with an example of one of their patterns."""
+    example = F.element_at(F.array(*map(F.lit, _EXAMPLES)), (F.col("doc_id") % len(_EXAMPLES) + 1).cast("int"))
+    rows = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", F.concat("text", F.lit(" "), example, F.lit(" .")).alias("text"))
+    rules = [(f"{side} {n}", ps) for side, own in zip(("negative", "positive"), _WIDE, strict=True) for n, ps in own.items()]
+    rows, bare, known = textfn.prepared(rows, [p for _, ps in rules for p in ps])
+    return rows.select("doc_id", F.array_join(textfn.tags(F.col("text"), rules, bare, known), ",").alias("tags"))
 
 
 @query(f"WITH {PLAIN} " + " UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'positive') AS positive, count(*) AS total FROM t WHERE {_hit(p)} HAVING count(*) > 0" for t, p in rule_tables.TERMS.items()))

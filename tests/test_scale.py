@@ -166,3 +166,26 @@ def test_own_tables_reach_their_fixed_point():
         for _ in range(n):
             t = tables.once(t)
         assert tables.once(t) == t
+
+
+def test_patterns_with_and_without_other_letters(spark):
+    """Rules with a dictionary, without one, and Python's own search agree."""
+    import re
+
+    rules = [("low", [r"\bonline\b.*(?:dead|dying|мертв)"]), ("ban", [r"\bban\b.*(?:модификац|reason)", r"\bbanned\b"]), ("far", [r"\bимб\w+\b", r"\bmé?lé\b"]), ("any", [r"\b\d+\s*°", r"(?:x|ж)y"]), ("plain", [r"\bcheat(?:er)?s?\b", r"heat wave"])]
+    texts = ["online is DEAD", "online and мертвый", "online", "a ban for REASON", "ban модификаций", "имба", "ИМБАЛАНС", "симба", "mélé", "mlé", "MÉLÉ", "30 °", "xy", "жY", "cheaters", "cheat wave", "heat wave", "", "é" * 50, "a cheat\nhéat wave"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = {i: [n for n, ps in rules if any(re.search(p, t, re.I) for p in ps)] for i, t in enumerate(texts)}
+    assert {r["i"]: r["t"] for r in df.select("i", text.tags(F.col("text"), rules).alias("t")).collect()} == want
+    own, bare, known = text.prepared(df, [p for _, ps in rules for p in ps])
+    assert {r["i"]: r["t"] for r in own.select("i", text.tags(F.col("text"), rules, bare, known).alias("t")).collect()} == want
+
+
+def test_examples_match_their_patterns():
+    import re
+
+    from feedback_engine.functions import rule_tables
+
+    for rules in (rule_tables.NEGATIVE, rule_tables.POSITIVE):
+        for p in [p for ps in rules.values() for p in ps if not p.isascii()]:
+            assert re.search(p, text.example(p), re.I), p
