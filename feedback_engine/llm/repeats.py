@@ -242,8 +242,9 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 256) -> tuple[DataFra
     every = written(docs.select("id", "h", "text").mapInArrow(_emit_anchors(least), "id long, h long, key long, ctx long, lo long, stop long"), "anchors")
     keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("n > 1").select("key", "n", (F.col("a") != F.col("b")).alias("mixed"))
     keys = written(keys, "keys")
-    # A row that occurs more than once has each anchor more than once; lists hold each once.
+    # A row that occurs more than once has each anchor more than once; lists hold each once, and copies share one list.
     per_doc = met(every, keys, "key", "n", every.count()).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "stop", "mixed", "key", "ctx")).alias("candidates"))
+    per_doc = written(per_doc, "per-doc")
     held = written(docs.join(per_doc, ["id", "h"]), "candidates")
     dropped(spark, folder_of(every), folder_of(keys))
 
@@ -286,14 +287,14 @@ def spans(docs: DataFrame, least: int = LEAST, most: int = 256) -> tuple[DataFra
     found = few.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(scan, ranges)
     if (totals["most"] or 0) > most:
         found = found.unionByName(counted(written(grouped.filter(F.col("m") > most).select("key", "ctx", "starts", "bytes"), "many"), least))
-    uses = held.select("id", "h", F.explode("candidates").alias("c")).select("id", "h", "c.*")
+    uses = per_doc.select("id", "h", F.explode("candidates").alias("c")).select("id", "h", "c.*")
     # What is known of a context: its own repeated ranges, and whether the whole of it is copied.
     known = contexts.select("key", "ctx", "n").join(found, ["key", "ctx"], "left").filter("n > 1 or ranges is not null")
     whole = uses.filter("not mixed").select("id", "h", F.array(F.col("lo"), F.col("stop")).alias("r"))
     partly = met(uses.filter("mixed").select("key", "ctx", "id", "h", "lo", "stop"), known.withColumn("copied", F.col("n") > 1), ["key", "ctx"], "n", totals["uses"] or 0)
     partly = partly.select("id", "h", F.when(F.col("copied"), F.array("lo", "stop")).otherwise(F.transform("ranges", lambda x: x + F.col("lo"))).alias("r"))
     marks = written(whole.unionByName(partly).groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("spans")), "marks")
-    dropped(spark, folder_of(contexts), folder_of(sizes))
+    dropped(spark, folder_of(contexts), folder_of(sizes), folder_of(per_doc))
     return held, marks
 
 

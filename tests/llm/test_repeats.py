@@ -90,3 +90,19 @@ def test_hot_keys_are_dealt(spark):
     total = big.count()
     assert met(big, small, "k", "n", total).selectExpr("sum(y)", "count(*)", "count(distinct x)").first() == big.filter("k <> 8").selectExpr("sum(k * 2)", "count(*)", "count(distinct x)").first()
     assert met(big, small, "k", "n", total, "left").selectExpr("count(*)", "count(y)").first() == (30_000, 19_999)  # 8 itself is in no row of small
+
+
+def test_copies_share_one_list(spark):
+    """Many rows with one id and text, and with none: what is held of them does not grow with their number."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    one = spark.createDataFrame([(7, text), (None, text[:900]), (8, text[300:800] + " own end")], "doc_id long, text string")
+    sizes = {}
+    for n in (3, 10_000):
+        docs = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.coalesce("doc_id", F.lit(0)) == 8, 1).otherwise(n)))).drop("copy")
+        held, marks = r.spans(r.hashed(docs))
+        assert held.count() == 2 * n + 1 and marks.count() == 3
+        sizes[n] = sorted(x[0] for x in marks.select(F.size("spans")).collect())
+    assert sizes[10_000] == sizes[3] and max(sizes[3]) < 400
