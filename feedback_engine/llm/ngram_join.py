@@ -313,17 +313,19 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     folders: list[str] = []
+    n_edges = edges.count()
     for _ in range(rounds):
         # Each node of an edge links to the smallest neighbour; so do the neighbours among themselves, through it.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        linked = both.join(smallest, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        smallest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        # A star's centre has as many edges as the star has leaves; they are dealt out.
+        linked = met(both, smallest, "a", "n", 2 * n_edges).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         new = written(linked.unionByName(smallest.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
         folders.append(folder_of(edges))
         stats = new.agg(F.count("*").alias("n"), F.count_distinct("a").alias("nodes")).first()
         # Stars: every node has one link, to one that has none itself.
         over = stats["n"] == stats["nodes"] and not new.join(new.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
-        edges = new
+        edges, n_edges = new, stats["n"]
         if over:
             break
     else:

@@ -86,3 +86,15 @@ def test_runs_hold_for_a_set_within_another():
         alive = 1 - n.math.exp(-growth * 0.8 * alive)
     for recall in (0.9, 0.99, 0.999, 0.9999):
         assert (1 - alive) ** n.runs_for(recall) <= 1 - recall
+
+
+def test_components_with_a_star(spark):
+    """A centre with 100 000 edges that is not the smallest node, a chain, and rings; no task gets the centre's edges alone."""
+    from pyspark.sql import functions as F
+
+    star = spark.range(100_000).select((F.col("id") + 1_000_000).alias("a"), F.lit(500_000).cast("long").alias("b"))
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    ring = spark.range(30).select((F.col("id") % 10 + F.floor(F.col("id") / 10) * 10 + 100).alias("a"), ((F.col("id") + 1) % 10 + F.floor(F.col("id") / 10) * 10 + 100).alias("b"))
+    got = n.components(star.unionByName(chain).unionByName(ring))
+    sizes = {r["label"]: (r["n"], r["m"]) for r in got.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("m")).collect()}
+    assert sizes == {500_000: (100_001, 500_000), 0: (41, 0), 100: (10, 100), 110: (10, 110), 120: (10, 120)}
