@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedback_engine.llm import tokens
-from feedback_engine.llm.common import dropped, new_folder, small_batches, table
+from feedback_engine.llm.common import HEAVY, dropped, new_folder, small_batches, table
 
 #: WINDOW is a power of two and below LEAST.
 LEAST, MEAN_BITS, MOST, WINDOW = 128, 9, 4096, 8
@@ -212,9 +212,27 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, part_docs
             row += n
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(("part", part, row, None, None, start, None, tree.root()), arrow, strict=True)], schema=arrow)
 
-    order = [F.asc_nulls_first("doc_id"), F.asc("digests")]
-    recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/recipes")
+    # Rows that are equal in both are told apart by their place, so any number of them is divided.
+    order = [F.asc_nulls_first("doc_id"), F.asc("digests"), F.asc("place")]
+    ranged = recipes.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged.drop("place").mapInArrow(number, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/recipes")
     dropped(spark, f"{folder}/staged")
+    top_of(recipes_of(spark, folder)[1]).write.parquet(f"{folder}/top")
+
+
+def top_of(parts: DataFrame) -> DataFrame:
+    """One row over all parts: n_parts, n_docs, n_tokens and the root of their roots, in order. A part has one row, of up to part_docs documents, so one task reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, sums = Merkle(), np.zeros(3, np.int64)
+        for batch in batches:
+            for part, n_docs, n_tokens, root in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tree.add(part.to_bytes(4, "little") + n_docs.to_bytes(8, "little") + n_tokens.to_bytes(8, "little") + root)
+                sums += (1, n_docs, n_tokens)
+        yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in sums.tolist()], pa.array([tree.root()], pa.binary())], names=["n_parts", "n_docs", "n_tokens", "root"])
+
+    rows = parts.select("part", "n_docs", "part_tokens", "root").coalesce(1).sortWithinPartitions("part")
+    return rows.mapInArrow(run, "n_parts long, n_docs long, n_tokens long, root binary")
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,17 +261,29 @@ def recipes_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def verified(spark: SparkSession, folder: str) -> None:
-    """Raise if a part's root is not that of its documents' roots; these are checked where recipes are read."""
+    """Raise if the parts are not those that the top row stands for, or a part's root is not that of its documents' roots; these are checked where recipes are read."""
     docs, parts = recipes_of(spark, folder)
+    top = spark.read.schema("n_parts long, n_docs long, n_tokens long, root binary").parquet(f"{folder}/top")
+    if top.exceptAll(top_of(parts)).count() or top.count() != 1:
+        raise ValueError("the parts do not match the top of the store")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, part, n = Merkle(), None, 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "n", "seen"])
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([len(r) for _, r in rows], pa.int64()), pa.array([merkle_root(r) for _, r in rows], pa.binary())], names=["part", "n", "seen"])
-
-    # A part has part_docs documents, so its roots are few.
-    roots = docs.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row", "root"))).alias("r")).select("part", F.col("r.root").alias("roots"))
-    wrong = parts.join(roots.mapInArrow(check, "part int, n long, seen binary"), "part", "left").filter("n_docs > 0 and not (n <=> n_docs and seen <=> root)")
+            for own, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != part:
+                    if part is not None:
+                        yield done()
+                    tree, part, n = Merkle(), own, 0
+                tree.add(root)
+                n += 1
+        if part is not None:
+            yield done()
+
+    # Roots stream by in order; a task keeps a path of the tree.
+    seen = docs.select("part", "root", "row").repartition(F.col("part")).sortWithinPartitions("part", "row").select("part", "root").mapInArrow(check, "part int, n long, seen binary")
+    wrong = parts.join(seen, "part", "left").filter("n_docs > 0 and not (n <=> n_docs and seen <=> root)")
     if wrong.count():
         raise ValueError("a part does not match its root")
 
@@ -274,7 +304,14 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, use, strict=True)], schema=use)
 
     uses = docs.select("part", "row", "digests", "root").mapInArrow(spread, "part int, row long, pos int, digest binary")
-    found = uses.join(read_chunks(spark, folder), "digest", "left").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("c"))
+    # A chunk that many documents share (all empty texts are one) is dealt out; fewer than HEAVY have more than a share.
+    share = max((docs.agg(F.sum(F.size("digests"))).first()[0] or 0) // HEAVY, 1000)
+    heavy = docs.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > share)
+    heavy = F.broadcast(heavy.select("digest", F.ceil(F.col("n") / share).cast("int").alias("parts")))
+    uses = uses.join(heavy, "digest", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("part", "row", "pos"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = read_chunks(spark, folder).join(heavy, "digest", "left")
+    copies = copies.withColumn("own", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).drop("parts")
+    found = uses.join(copies, ["digest", "own"], "left").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("c"))
     numbered = docs.drop("digests", "root").join(found, ["part", "row"], "left").join(F.broadcast(before), "part", "left")
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 

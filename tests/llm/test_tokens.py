@@ -127,3 +127,44 @@ def test_odd_rows(spark, odd_docs):
     made = packing.packed(packing.pieces(odd_docs))
     assert made.select("doc_id", "piece").count() >= odd_docs.count()
     assert packing.packed(packing.pieces(odd_docs.limit(0))).count() == 0
+
+
+def test_equal_rows_are_divided(spark, tmp_path):
+    """A third of empty texts and 6000 equal rows without an id: parts stay of a size and all is read back."""
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "store")
+    rows = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same words here").alias("text"))
+    rows = rows.unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), F.col("id").cast("string"))).otherwise("").alias("text")))
+    store.write_store(rows, folder, part_docs=1000)
+    store.verified(spark, folder)
+    sizes = [r["n_docs"] for r in store.recipes_of(spark, folder)[1].collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 2500
+    got = store.read_store(spark, folder).collect()
+    crc = lambda t: (len(library(t)), zlib.crc32(np.array(library(t), "<u4").tobytes()))
+    want = {t: crc(t) for t in ["same words here", ""]}
+    assert len(got) == 9000 and sum(r["doc_id"] is None for r in got) == 6000
+    assert all((r["n_tokens"], r["ids_crc32"]) == (want["same words here"] if r["doc_id"] is None else want[""] if r["doc_id"] % 3 == 0 else crc(f"text {r['doc_id']}")) for r in got)
+    assert sorted(r["start"] for r in got)[0] == 0 and len({r["start"] for r in got}) == 9000
+
+
+def test_a_lost_part_is_seen(spark, documents, tmp_path):
+    folder = str(tmp_path / "store")
+    store.write_store(documents[1], folder, part_docs=20)
+    files = spark.read.parquet(f"{folder}/recipes").filter("part <> 1")
+    files.write.partitionBy("kind").parquet(f"{folder}/less")
+    spark.read.parquet(f"{folder}/less").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/recipes")
+    with pytest.raises(ValueError, match="top"):
+        store.verified(spark, folder)
+
+
+def test_documents_rebuilt_from_files(spark, tmp_path):
+    """Every document of the supplied table, from its recipe and chunks, against the library."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    folder = str(tmp_path / "store")
+    store.write_store(docs, folder)
+    got = {r["doc_id"]: list(r["ids"]) for r in store.read_documents(spark, folder).collect()}
+    sums = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in store.read_store(spark, folder).collect()}
+    for r in docs.collect():
+        ids = library(r["text"])
+        assert got[r["doc_id"]] == ids and sums[r["doc_id"]] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
