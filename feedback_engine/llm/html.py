@@ -11,7 +11,10 @@ Structure is evidence beside that. What the elements nav, header, footer, aside,
 form and the like hold is out. Of the words in class, id and role, strong ones
 (comments, sidebar, advert) are out unless a page has no main text elsewhere; weak
 ones (widget, social) only ask for more: their blocks stay if they are dense and
-long by themselves. On a page with hardly a known stop word density says nothing:
+long by themselves. A mark beside a word of another kind ("share-price"), or one
+that may be an article's subject ("related"), leaves its part in doubt: it is read
+like any other if it holds dense prose of some length, and is out if not. A short
+block that tells of cookies and asks for consent is a notice, marked or not. On a page with hardly a known stop word density says nothing:
 length and links decide.
 
 Pages are independent rows, so this is one scan without a shuffle. Tags are read
@@ -51,10 +54,17 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
 BOUNDS = ("article", "main", "body")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in class, id and role that mark boilerplate; those of a page's head do so only outside of an article.
-STRONG = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|menu|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|sponsor\w*|subscribe|complementary|contentinfo)(?:$|[_-])", re.I)
-WEAK = re.compile(r"(?:^|[_-])(?:disclaimer|modal|social|toolbar|widget)(?:$|[_-])", re.I)
-HEAD_MARKS = re.compile(r"(?:^|[_-])(?:header|masthead|topbar)(?:$|[_-])", re.I)
+#: Words in class, id and role of what is no main text whatever it holds; those of a page's head are so only outside of an article.
+STRONG = re.compile(r"ad|ads|advert\w*|adsense|sponsor\w*|breadcrumbs?|comments?|commentlist|disqus|replies|reply|respond|consent|cookies?|gdpr|notices?|notification|footer|contentinfo|menu|nav|navbar|navigation|pagination|sidebar|complementary")
+HEAD_MARKS = re.compile(r"header|masthead|topbar")
+#: Words that mean the same around few words, but may be the subject of an article's part.
+SOFT = re.compile(r"banner|newsletter|popup|promo\w*|related|share|sharing|subscribe")
+WEAK = re.compile(r"disclaimer|modal|social|toolbar|widget")
+#: Words beside a mark that say where it is or how it is made, not what it is about.
+FORM = re.compile(r"\d*|area|bar|block|body|bottom|box|btn|buttons?|center|container|content|form|group|heading|holder|icons?|inner|inline|items?|label|left|links?|lists?|main|mobile|outer|overlay|panel|posts?|right|section|site|slot|small|sticky|text|threads?|title|top|unit|wrap|wrapper|primary|secondary|message")
+#: A short block that tells of a site's cookies and asks for consent is a notice, marked or not.
+COOKIES = re.compile(r"\b(?:site|website|page|we|wir|nous|utili[sz]\w*|verwend\w*)\b.{0,40}\bcookies?\b", re.I)
+CONSENT = re.compile(r"\b(?:accept\w*|agree|allow|consent|decline|reject|akzeptier\w*|zustimm\w*|refuser|acepta\w*|rechazar)\b", re.I)
 #: A layout that says what it has, not what it is.
 LAYOUT = re.compile(r"^(?:no|has|with|without|is|page|layout)[_-]|[_-]free$", re.I)
 #: Frequent function words of the languages in hand; density is a share of words.
@@ -68,7 +78,7 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
 UNQUOTED = re.compile(r"[^\s>]*")
 WORD = re.compile(r"\w+")
-OPEN, HARD, MARKED, FAINT = range(4)  # what is around a block: nothing, an element of FRAME, a strong mark, a weak one
+OPEN, HARD, MARKED, FAINT, DOUBT = range(5)  # what is around a block: nothing, an element of FRAME, a strong mark, a weak one, one that may be a subject
 
 
 class Block(NamedTuple):
@@ -135,15 +145,28 @@ def surroundings(name: str, attributes: dict[str, str], inside: bool) -> int:
         return OPEN
     if name in FRAME and not (name == "header" and inside) or "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return HARD
-    out = OPEN
-    for token in " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split():
-        if LAYOUT.search(token):
-            continue
-        if STRONG.search(token) or not inside and name != "article" and HEAD_MARKS.search(token):
-            return MARKED
-        if WEAK.search(token):
-            out = FAINT
-    return out
+    said = {meaning(t, inside, name == "article") for t in " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split()}
+    return next((x for x in (MARKED, FAINT, DOUBT) if x in said), OPEN)
+
+
+def meaning(token: str, inside: bool, article: bool = False) -> int:
+    """What a word of class, id or role says, in an article or outside.
+
+    A mark decides if the rest of its token is form ("ad-slot", "comment-list"); in
+    other company ("share-price", "related-work") it is in doubt, and so is a soft
+    mark in an article.
+    """
+    parts = re.split("[-_]+", token.lower())
+    if LAYOUT.search(token):
+        return OPEN
+    strong = [p for p in parts if STRONG.fullmatch(p) or not inside and not article and HEAD_MARKS.fullmatch(p)]
+    soft, weak = [p for p in parts if SOFT.fullmatch(p)], [p for p in parts if WEAK.fullmatch(p)]
+    if not (strong or soft or weak):
+        return OPEN
+    subject = any(not (p in strong or p in soft or p in weak or FORM.fullmatch(p)) for p in parts)
+    if strong or soft:
+        return DOUBT if subject or not strong and inside else MARKED
+    return FAINT
 
 
 def blocks(page: str) -> list[Block]:
@@ -167,7 +190,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             joined = " ".join(references.unescape("".join(parts)).split())
             if joined:
-                out.append(Block(joined, linked, next((x for x in (HARD, MARKED, FAINT) if around[x]), OPEN), articles > 0, container, tag))
+                out.append(Block(joined, linked, next((x for x in (HARD, MARKED, FAINT, DOUBT) if around[x]), OPEN), articles > 0, container, tag))
         parts, linked = [], 0
 
     def close(to: int) -> None:
@@ -257,10 +280,15 @@ def classify(found: list[Block], short: int = 70, long: int = 200, low: float =
     seen = [x for x, b in zip(stops, found, strict=True) if b.around != HARD]
     # Below what a block of prose has, on the whole page: its language is not one of those in hand.
     foreign = sum(x[0] for x in seen) < low * sum(x[1] for x in seen)
+    # A part in doubt is like any other if it holds prose of some length, else out.
+    prose = lambda b, x: len(b.text) >= long and (foreign or x[0] >= low * x[1]) and b.linked <= links * len(b.text)
+    cleared = {b.container for b, x in zip(found, stops, strict=True) if b.around == DOUBT and prose(b, x)}
     first: list[bool | None] = []
     for b, (n_stops, n_words) in zip(found, stops, strict=True):
         density, size = n_stops / max(n_words, 1), len(b.text)
-        if b.around == HARD:
+        if b.around == HARD or b.around == DOUBT and b.container not in cleared:
+            first.append(False)
+        elif size < long and COOKIES.search(b.text) and CONSENT.search(b.text):
             first.append(False)
         elif b.linked > links * size if not b.article else b.tag == "li" and b.linked > 0.8 * size and (size < long or density < high):
             first.append(False)  # in an article, a list of links that reads like no prose

@@ -177,3 +177,28 @@ def test_few_rows(spark, folder):
     assert sorted(map(tuple, topk.op9_exact_top_k(spark, d).collect())) == [(0, 1, 1, 256 * 512)]
     d = folder(embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.op9_exact_top_k(spark, d).count() == 0
+
+
+@pytest.mark.parametrize("token", ["share-price", "related-work", "notice-period", "menu_engineering", "ad-hoc", "cookie-recipes", "banner-bearers", "related", "share", "promo-section"])
+def test_marks_do_not_overrule_dense_prose(token):
+    """In an article a part stays if it holds prose, also what is short in it; without prose it goes."""
+    part = f'<section class="{token}"><h2>On it</h2><p>Of the one. {PROSE}</p><p>In short.</p><p>Of the other. {PROSE}</p></section>'
+    got = html.main_text(page(f"<article><p>{PROSE}</p>{part}<p>And so it was. {PROSE}</p></article>"))
+    assert got == " ".join([PROSE.strip(), "On it", f"Of the one. {PROSE.strip()}", "In short.", f"Of the other. {PROSE.strip()}", f"And so it was. {PROSE.strip()}"])
+    got = html.main_text(page(f'<article><p>{PROSE}</p><div class="{token}"><p>Share it</p><p><a href="/x">The other of the two</a></p></div><p>And so it was. {PROSE}</p></article>'))
+    assert got == f"{PROSE.strip()} And so it was. {PROSE.strip()}"
+
+
+@pytest.mark.parametrize("token", ["comment-thread", "comments", "comment_list", "ad-slot", "ads", "advert-box", "sidebar-left", "sidebar", "cookie-banner", "nav-menu", "footer-content", "notice", "sponsored-content", "disqus_thread"])
+def test_containers_of_no_main_text_go_whole(token):
+    got = html.main_text(page(f'<article><p>{PROSE}</p><div class="{token}"><p>Of the one. {PROSE}</p><p>Of the other. {PROSE}</p></div><p>And so it was. {PROSE}</p></article>'))
+    assert got == f"{PROSE.strip()} And so it was. {PROSE.strip()}"
+
+
+def test_unmarked_notices():
+    for notice in ("This site uses cookies. Accept all.", "We use cookies to improve the site. Do you agree?", "Wir verwenden Cookies. Alle akzeptieren", "Utilizamos cookies. Aceptar"):
+        assert html.main_text(page(f"<article><div><p>{notice}</p></div><p>{PROSE}</p></article>")) == PROSE.strip()
+    tale = "She would not accept cookies from the man by the sea."
+    assert html.main_text(page(f"<article><p>{tale}</p><p>{PROSE}</p></article>")) == f"{tale} {PROSE.strip()}"
+    long = f"The site of the man has cookies in it and he can accept them. {PROSE}"
+    assert html.main_text(page(f"<article><p>{long}</p></article>")) == long.strip()
