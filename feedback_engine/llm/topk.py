@@ -109,8 +109,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, width: in
     found = near
     if c_blocks > 1:
         near = written(near, "near")
-        floors = near.groupBy("query_id", "q").agg(F.when(F.sum("n") >= k, F.min("score").cast("double")).alias("floor"))
-        asked = q.join(floors, (q.id == floors.query_id) & (q.q == floors.q), "left").select("id", "vec", "n", q.q, F.coalesce("floor", F.lit(-math.inf)).alias("floor"), "qb", F.explode(F.filter(every(c_blocks), lambda i: i != first)).alias("cb"))
+        floors = near.groupBy(F.col("query_id").alias("id"), "q").agg(F.when(F.sum("n") >= k, F.min("score").cast("double")).alias("floor"))
+        asked = q.join(floors, ["id", "q"], "left").select("id", "vec", "n", "q", F.coalesce("floor", F.lit(-math.inf)).alias("floor"), "qb", F.explode(F.filter(every(c_blocks), lambda i: i != first)).alias("cb"))
         found = near.unionByName(met(asked, c.select("id", "vec", "n", F.explode(F.filter(every(q_blocks), lambda i: i % c_blocks != F.col("cb"))).alias("qb"), "cb")))
     # Each copy found is a row, k of them are enough; each copy of a query gets them all.
     found = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
