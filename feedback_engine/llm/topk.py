@@ -103,7 +103,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, width: in
                 out += [(i, key, times, int(ids[y]), score, int(n[y]) - (x == y)) for y, score in best]
         return pd.DataFrame(out, columns=["query_id", "q", "n_q", "vec_id", "score", "n"])
 
-    met = lambda left, right: left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, OUT)
+    renamed = lambda df: df.select(*[F.col(x).alias(x) for x in df.columns])  # noqa: E731  both sides come from one table
+    met = lambda left, right: renamed(left).groupBy("qb", "cb").cogroup(renamed(right).groupBy("qb", "cb")).applyInPandas(pair, OUT)
     no_floor = F.lit(-math.inf).alias("floor")
     near = met(q.select("id", "vec", "n", "q", no_floor, "qb", first.alias("cb")), c.select("id", "vec", "n", F.explode(F.filter(every(q_blocks), lambda i: i % c_blocks == F.col("cb"))).alias("qb"), "cb"))
     found = near
