@@ -106,9 +106,9 @@ class Aligner:
 def portions(texts: list[str], most: int = PORTION) -> list[list[str]]:
     """Runs of texts of up to `most` characters together; a longer one is alone."""
     out: list[list[str]] = []
-    held = most
+    held = 0
     for t in texts:
-        if held + len(t) > most:
+        if not out or held + len(t) > most:
             out.append([])
             held = 0
         out[-1].append(t)
