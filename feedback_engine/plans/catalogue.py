@@ -17,7 +17,7 @@ from feedback_engine.functions import numbers, rule_tables, text as textfn, time
 from feedback_engine.functions import canonical_tables
 from feedback_engine.functions.canonical import canonicalised
 from feedback_engine.operators import issues as issue_ops
-from feedback_engine.operators import periods, quality, rank, sampling, scan, shape, tags, textmining
+from feedback_engine.operators import agreement, periods, quality, rank, sampling, scan, shape, tags, textmining
 from feedback_engine.plans import views
 from feedback_engine.plans.views import sql, table
 from feedback_engine.session import shared_folder
@@ -869,6 +869,26 @@ def page_versions(spark, d):
     return pages.released(table(spark, d, "pages").select("page_id", version.alias("version"), html.alias("html")), exclude="^beta")
 
 
+_TAGGERS = {
+    "by_kind": ("array_distinct(collect_list(kind))", "list_distinct(list(kind ORDER BY line))"),
+    "by_topic": ("array_distinct(collect_list(topic))", "list_distinct(list(topic ORDER BY line))"),
+    "by_both": ("array_distinct(collect_list(CASE WHEN line % 2 = 0 THEN kind ELSE topic END))", "list_distinct(list(CASE WHEN line % 2 = 0 THEN kind ELSE topic END ORDER BY line))"),
+}
+
+
+@query("WITH l AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, rec_id, {own} AS tags FROM iss GROUP BY rec_id" for m, (_, own) in _TAGGERS.items()) + """),
+ p AS (SELECT a.model AS model_a, b.model AS model_b, len(list_intersect(a.tags, b.tags)) AS c, len(list_distinct(a.tags || b.tags)) AS u FROM l a JOIN l b ON a.rec_id = b.rec_id AND a.model < b.model)
+ SELECT model_a, model_b, count(*) AS n, count(*) FILTER (c = u) AS same, round(avg(CASE WHEN u = 0 THEN 1.0::DOUBLE ELSE c::DOUBLE / u END), 4) AS overlap, """ + PCT.format("count(*) FILTER (c = u)", "count(*)") + " AS same_pct FROM p GROUP BY 1, 2")
+def model_agreement(spark, d):
+    """What three ways of tagging records agree on, pair by pair."""
+    rows = views.issues(spark, d)
+    labels = None
+    for model, (own, _) in _TAGGERS.items():
+        each = rows.groupBy(F.col("rec_id").alias("key")).agg(F.expr(own).alias("tags")).select(F.lit(model).alias("model"), "key", "tags")
+        labels = each if labels is None else labels.unionByName(each)
+    return agreement.pairwise(labels)
+
+
 # --- data quality, sampling ---
 
 
