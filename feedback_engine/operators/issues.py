@@ -20,9 +20,14 @@ def ranked_by_kind(issues: DataFrame, groups: list[str], caps: dict[str, int]) -
 
 
 def stats(issues: DataFrame, kinds: tuple[str, ...] = ("complaint", "suggestion", "praise")) -> DataFrame:
-    """Totals and distinct texts of all issues and of each kind."""
-    per = [count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds] + [F.count_distinct(F.when(F.col("kind") == k, F.col("text"))).alias(f"distinct_{k}") for k in kinds]
-    return issues.agg(F.count("*").alias("n_issues"), F.count_distinct("rec_id").alias("n_records"), F.count_distinct("text").alias("distinct_texts"), *per)
+    """Totals and distinct texts of all issues and of each kind: texts and records are grouped once each, no row is multiplied."""
+    of = [count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds]
+    texts = issues.groupBy("text").agg(F.count("*").alias("n"), *of)
+    own = F.col("text").isNotNull()
+    per = [F.coalesce(F.sum(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds] + [count_if(own & (F.col(f"n_{k}") > 0)).alias(f"distinct_{k}") for k in kinds]
+    one = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_issues"), count_if(own).alias("distinct_texts"), *per)
+    records = issues.select("rec_id").distinct().agg(F.count("rec_id").alias("n_records"))
+    return one.crossJoin(F.broadcast(records)).select("n_issues", "n_records", "distinct_texts", *[f"n_{k}" for k in kinds], *[f"distinct_{k}" for k in kinds])  # one row
 
 
 def by_language_and_tag(complaints: DataFrame, tagged: DataFrame, least: int = 5, least_tag: int = 3, top: int = 10, top_tag: int = 5) -> DataFrame:

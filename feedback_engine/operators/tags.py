@@ -64,6 +64,19 @@ def backfilled(records: DataFrame, issues: DataFrame, mapping: DataFrame) -> Dat
     return records.join(inferred, "rec_id", "left").withColumn("tags", F.when((F.size("tags") == 0) & F.col("inferred").isNotNull(), F.col("inferred")).otherwise(F.col("tags"))).drop("inferred")
 
 
+def backfilled_by(records: DataFrame, mapping: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """backfilled() for records that hold their topics as an array, and a mapping that is a literal list: no row travels for it."""
+    by_pair: dict[str, list[str]] = {}
+    for side, topic, tag in mapping:
+        by_pair.setdefault(f"{side}\0{topic}", []).append(tag)
+    if not by_pair:
+        return records
+    known = F.create_map(*[x for pair, names in by_pair.items() for x in (F.lit(pair), F.array(*map(F.lit, names)))])
+    found = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.coalesce(F.try_element_at(known, F.concat("sentiment", F.lit("\0"), t)), F.array().cast("array<string>")))
+    inferred = F.array_sort(F.array_distinct(F.flatten(found)))
+    return records.withColumn("tags", F.when(F.size("tags") == 0, inferred).otherwise(F.col("tags")))
+
+
 def multi_tag_stats(df: DataFrame, tags: str = "tags") -> DataFrame:
     n = F.size(tags)
     return df.agg(F.count("*").alias("total"), count_if(n > 0).alias("tagged"), count_if(n == 0).alias("untagged"), count_if(n > 1).alias("multi"), F.coalesce(F.round(F.try_divide(F.sum(n).cast("double"), count_if(n > 0).cast("double")), 2), F.lit(0.0)).alias("per_tagged"))

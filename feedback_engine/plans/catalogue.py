@@ -17,7 +17,7 @@ from feedback_engine.functions import numbers, rule_tables, text as textfn, time
 from feedback_engine.functions import canonical_tables
 from feedback_engine.functions.canonical import canonicalised
 from feedback_engine.operators import issues as issue_ops
-from feedback_engine.operators import agreement, periods, quality, rank, sampling, scan, shape, tags, textmining
+from feedback_engine.operators import agreement, explore, periods, quality, rank, sampling, scan, shape, tags, textmining
 from feedback_engine.plans import views
 from feedback_engine.plans.views import sql, table
 from feedback_engine.session import shared_folder
@@ -482,6 +482,34 @@ def patch_impact(spark, d):
     return issue_ops.impact(changes, complaints)
 
 
+_IMPACT = ORACLE_SQL["patch_impact"]
+_SHOWN = "coalesce(before, 0) + after >= 1"
+
+
+@query(f"WITH i AS ({_IMPACT}) SELECT * FROM i WHERE ord = (SELECT max(ord) FROM i) AND {_SHOWN}")
+def impact_latest(spark, d):
+    """The impact table as it opens: the last season, changes that nobody spoke of hidden."""
+    return explore.revealed(explore.in_period(patch_impact(spark, d)), ["before", "after"])
+
+
+@query(f"WITH i AS ({_IMPACT}) SELECT * FROM i WHERE {_SHOWN}")
+def impact_all_seasons(spark, d):
+    return explore.revealed(explore.in_period(patch_impact(spark, d), explore.ALL), ["before", "after"])
+
+
+@query("SELECT p_type AS class, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS entities FROM part GROUP BY 1")
+def entity_selector(spark, d):
+    return explore.selector(table(spark, d, "part"), "p_type", "p_brand").select(F.col("p_type").alias("class"), F.array_join("options", ",").alias("entities"))
+
+
+@query("""WITH c AS (SELECT p_brand AS entity, p_size % 10 AS ord, count(*) AS changes FROM part GROUP BY 1, 2), n AS (SELECT entity, ord, """ + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS) + """ FROM ri WHERE ord IS NOT NULL GROUP BY 1, 2)
+ SELECT coalesce(c.entity, n.entity) AS entity, coalesce(c.ord, n.ord) AS ord, coalesce(changes, 0) AS changes, """ + ", ".join(f"coalesce({k}, 0) AS {k}" for k in KINDS) + " FROM c FULL JOIN n ON c.entity = n.entity AND c.ord = n.ord")
+def entity_timeline(spark, d):
+    changes = table(spark, d, "part").select(F.col("p_brand").alias("entity"), (F.col("p_size") % 10).cast("int").alias("ord"))
+    counts = views.record_issues(spark, d).filter("ord is not null").groupBy("entity", "ord").agg(*[numbers.count_if(F.col("kind") == k).alias(k) for k in KINDS])
+    return explore.entity_timeline(changes, counts)
+
+
 @query("""SELECT coalesce(n.k, o.k) AS p_partkey, coalesce(n.name, o.name) AS p_name, coalesce(n.price, o.price) AS p_retailprice FROM (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN upper(p_name) END AS name, p_retailprice AS price FROM part WHERE p_partkey % 3 <> 0) n
  FULL JOIN (SELECT p_partkey AS k, p_name AS name, p_retailprice / 2 AS price FROM part WHERE p_partkey % 2 = 0) o ON o.k = n.k""")
 def patch_upsert(spark, d):
@@ -743,11 +771,11 @@ MAPPING = [(s, t, t.lower()) for s in ("negative", "positive") for t in ("STANDA
  SELECT own.rec_id, array_to_string(CASE WHEN len(coalesce(own.tags, [])) = 0 THEN coalesce(inf.tags, []) ELSE own.tags END, ',') AS tags FROM own LEFT JOIN inf ON inf.rec_id = own.rec_id""")
 def backfill_tags(spark, d):
     rows, found = views.records(spark, d).select("rec_id", "sentiment"), views.issues(spark, d)
-    side = F.when(F.col("kind") == "complaint", "negative").when(F.col("kind") == "praise", "positive")
-    own = found.withColumn("sentiment", side).filter("sentiment is not null").groupBy("rec_id", "sentiment").agg(F.array_sort(F.collect_set("topic")).alias("tags"))
-    rows = rows.join(own, ["rec_id", "sentiment"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    mapping = F.broadcast(spark.createDataFrame(MAPPING, "sentiment string, topic string, tag string"))
-    return tags.backfilled(rows, found.select("rec_id", "topic"), mapping).select("rec_id", F.array_join("tags", ",").alias("tags"))
+    of_kind = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("topic")))
+    sets = found.groupBy("rec_id").agg(of_kind("complaint").alias("negative"), of_kind("praise").alias("positive"), F.collect_set("topic").alias("topics"))
+    own = F.when(F.col("sentiment") == "negative", F.col("negative")).otherwise(F.col("positive"))
+    rows = rows.join(sets, "rec_id", "left").withColumn("tags", F.array_sort(F.coalesce(own, F.array().cast("array<string>"))))
+    return tags.backfilled_by(rows, MAPPING).select("rec_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query("SELECT doc_id, sentiment IS NOT NULL OR length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 25 AS worth FROM fb")
