@@ -172,7 +172,7 @@ SUFFIXES = {
     "no counterplay": "no counterplay",
     "uncounterable": "no counterplay",
     "no counter": "no counterplay",
-    "can't counter": 'no counterplay',
+    "can't counter": "no counterplay",
     "lag": "high latency",
     "laggy": "high latency",
     "lags": "high latency",
@@ -195,10 +195,10 @@ SUFFIXES = {
     "kicked": "disconnects",
     "connection issues": "disconnects",
     "game won't launch": "won't launch",
-    'game not launching': "won't launch",
+    "game not launching": "won't launch",
     "won't start": "won't launch",
     "doesn't launch": "won't launch",
-    'not launching': "won't launch",
+    "not launching": "won't launch",
     "can't launch": "won't launch",
     "hackers": "too many cheaters",
     "hacker": "too many cheaters",
