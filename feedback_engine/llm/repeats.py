@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 from feedback_engine.llm.common import dropped, folder_of, met, small_batches, table, written
 
 LEAST = 400
-#: Bytes from which a text loses what it shares: fifty words of five bytes with their blank, so passages of more than fifty words are found in languages of short words too.
-PASSAGE = 250
+#: A text loses what it shares from so many bytes and words on: repeats are found by bytes, in texts of short words too, and those of fewer words stay.
+PASSAGE, WORDS = 200, 50
+#: A part between blanks counts as one word, and as one more for each so many bytes: scripts without blanks have words, too.
+WORD_BYTES = 16
 GRAM = 48
 BLOCK = 1 << 18
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
@@ -357,8 +359,14 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row_key(F.col("doc_id"), F.col("text")))
 
 
-def remaining(data: bytes, flat: list[int] | None) -> tuple[bytes, list[tuple[int, int]]]:
+def words_in(data: bytes) -> int:
+    return sum(1 + len(part) // WORD_BYTES for part in data.split())
+
+
+def remaining(data: bytes, flat: list[int] | None, words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left without the runs of `words` words or more, and these runs."""
     runs = merged(list(zip(flat[::2], flat[1::2], strict=True))) if flat else []
+    runs = [(lo, hi) for lo, hi in runs if not words or words_in(data[lo:hi]) >= words]
     out, at = [], 0
     for lo, hi in runs:
         out.append(data[at:lo])
@@ -366,8 +374,8 @@ def remaining(data: bytes, flat: list[int] | None) -> tuple[bytes, list[tuple[in
     return b"".join(out) + data[at:], runs
 
 
-def without_repeats(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
-    """docs with the repeated bytes of their text removed (and n_chars, if there, brought up to date); the other columns stay."""
+def without_repeats(docs: DataFrame, least: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """docs with the repeated bytes of their text removed where they run for `least` bytes and `words` words (and n_chars, if there, brought up to date); the other columns stay."""
     _, marks = spans(hashed(docs), least)
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text").cast("string")
@@ -378,7 +386,7 @@ def without_repeats(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
         for batch in batches:
             texts = []
             for text, flat in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts.append(remaining(text.encode("utf-8", "surrogatepass"), flat)[0].decode("utf-8", "ignore") if text is not None and flat else text)
+                texts.append(remaining(text.encode("utf-8", "surrogatepass"), flat, words)[0].decode("utf-8", "ignore") if text is not None and flat else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     out = joined.mapInArrow(run, joined.drop("spans").schema)

@@ -106,3 +106,20 @@ def test_copies_share_one_list(spark):
         assert held.count() == 2 * n + 1 and marks.count() == 3
         sizes[n] = sorted(x[0] for x in marks.select(F.size("spans")).collect())
     assert sizes[10_000] == sizes[3] and max(sizes[3]) < 400
+
+
+def test_passages_are_judged_by_words(spark):
+    """51 short words go, also below the 250 bytes of long ones; 40 long words stay, and so do addresses and ids without blanks."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    short = " ".join(word(3) for _ in range(52))
+    few = " ".join(word(9) for _ in range(40))
+    address = word(300)
+    cjk = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(400))
+    own = lambda: " ".join(word(5) for _ in range(60))
+    rows = [(i, f"{own()}\n{p}\n{own()}") for i, p in enumerate([short, short, few, few, address, address, cjk, cjk])] + [(8, own())]
+    got = {x["doc_id"]: x["text"] for x in r.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate([short, short, few, few, address, address, cjk, cjk]):
+        assert (p[10:-10] in got[i]) == (2 <= i < 6)
+        assert rows[i][1][:300] in got[i] and rows[i][1][-300:] in got[i]
+    assert got[8] == rows[8][1]
