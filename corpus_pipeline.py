@@ -29,7 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages they share with others, from repeats.PASSAGE bytes on (about fifty words)."""
+    """Documents without the passages of repeats.WORDS words that they share with others."""
     return repeats.without_repeats(docs)
 
 
