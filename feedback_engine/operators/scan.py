@@ -17,15 +17,25 @@ from feedback_engine.session import shared_folder
 
 #: Spark's ids hold the partition above these bits and the place in it below.
 PLACE_BITS = 33
+_folders: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: df as a table in the shared folder, so ranges are the same whoever reads them, also after a lost executor."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    _folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Remove every table that this process has written here; call it when no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _folders:
+        where = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        where.getFileSystem(conf).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -189,3 +189,14 @@ def test_examples_match_their_patterns():
     for rules in (rule_tables.NEGATIVE, rule_tables.POSITIVE):
         for p in [p for ps in rules.values() for p in ps if not p.isascii()]:
             assert re.search(p, text.example(p), re.I), p
+
+
+def test_tables_of_scans_can_be_removed(spark):
+    import os
+
+    df = scan.placed(spark.range(10).toDF("k"), [F.asc("k")])
+    assert df.count() == 10
+    folders = list(scan._folders)
+    assert folders and all(os.path.isdir(f.removeprefix("file://")) for f in folders)
+    scan.cleaned(spark)
+    assert not scan._folders and not any(os.path.isdir(f.removeprefix("file://")) for f in folders)
