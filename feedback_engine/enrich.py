@@ -31,7 +31,7 @@ def load_rules(path: str) -> list[tuple[str, list[str]]]:
 def by_rules(records: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], text: str = "text") -> DataFrame:
     """records with their tags and a confidence: high with one tag or more, else none."""
     own = F.coalesce(F.col(text), F.lit(""))
-    out, bare, known = prepared(records.withColumn("_own", own), [p for _, ps in rules for p in ps], "_own", spread=False)
+    out, bare, known = prepared(records.withColumn("_own", own), [p for _, ps in rules for p in ps], "_own", deal=False)
     out = out.withColumn("tags", tags(F.col("_own"), rules, bare, known)).drop("_own", "_bare", "_held")
     return out.withColumn("confidence", F.when(F.size("tags") > 0, "high").otherwise("none"))
 

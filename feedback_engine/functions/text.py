@@ -256,14 +256,17 @@ def tags_by_side(text: Column, negative: Column, negatives: Sequence[tuple[str,
     return F.when(negative, tags(text, negatives, bare, known)).otherwise(tags(text, positives, bare, known))
 
 
-def prepared(df: DataFrame, patterns: Iterable[str], text: str = "text", spread: bool = True) -> tuple[DataFrame, Column, tuple[Dictionary, Column]]:
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out if it is read in fewer tasks than there are cores, before costly expressions; a large table is not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def prepared(df: DataFrame, patterns: Iterable[str], text: str = "text", deal: bool = True) -> tuple[DataFrame, Column, tuple[Dictionary, Column]]:
     """df with what matching many patterns shares, made once a text: the plain text (_bare) and the strings it holds (_held). And both as any_match() takes them.
 
-    A table that is read in fewer tasks than there are cores is dealt out first.
+    The table goes through spread() unless told otherwise.
     """
     book = Dictionary(patterns)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    df = df.withColumn("_bare", plain(F.col(text)))
+    df = (spread(df) if deal else df).withColumn("_bare", plain(F.col(text)))
     return df.withColumn("_held", book.far(F.col(text), book.found(F.col("_bare")))), F.col("_bare"), (book, F.col("_held"))

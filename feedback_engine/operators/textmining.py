@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedback_engine.functions.numbers import count_if, percent
-from feedback_engine.functions.text import any_match, ngrams, prepared, tags
+from feedback_engine.functions.text import any_match, ngrams, prepared, spread, tags
 from feedback_engine.operators.rank import top_per_group
 
 #: Lengths from the first bound, below the second.
@@ -50,7 +50,7 @@ def theme_samples(df: DataFrame, rules: dict[str, Sequence[str]], key: str, n: i
 
 def top_ngrams(df: DataFrame, n: int, top: int, text: str = "text") -> DataFrame:
     """The most frequent n-grams, ties to the smaller."""
-    grams = df.select(F.explode(ngrams(F.col(text), n)).alias("gram"))
+    grams = spread(df.select(text)).select(F.explode(ngrams(F.col(text), n)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(top)
 
 
