@@ -11,10 +11,15 @@ def count_if(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
+def half_up(value: Column, digits: int = 1) -> Column:
+    """A double rounded by its multiple, as the SQL does: 29.849999999999998 (44775 of 150000) gives 29.9; F.round goes by the digits printed and gives 29.8."""
+    return F.round(value * 10.0**digits, 0) / 10.0**digits
+
+
 def percent(part: Column, whole: Column, digits: int = 1, half_even: bool = False) -> Column:
     """part / whole in percent; 0 where whole is 0 or null."""
     value = F.try_divide(part.cast("double"), whole.cast("double")) * 100
-    return F.coalesce((F.bround if half_even else F.round)(value, digits), F.lit(0.0))
+    return F.coalesce(F.bround(value, digits) if half_even else half_up(value, digits), F.lit(0.0))
 
 
 def change_percent(now: Column, before: Column) -> Column:

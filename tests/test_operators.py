@@ -30,6 +30,16 @@ def test_brackets_and_percent(spark):
     assert values(df.select(numbers.percent(F.col("a"), F.col("b"), half_even=True).alias("p")), "p")[:3] == [6.2, 31.2, 56.2]
 
 
+def test_percents_of_a_half_go_up(spark):
+    """44775 of 150000 are 29.85 %, as a double 29.849999999999998; held to the SQL's round."""
+    import duckdb
+
+    want = duckdb.connect().execute("SELECT a, n, round(CAST(a AS DOUBLE) / n * 100, 1) AS p FROM (SELECT range * 75 AS a FROM range(2001)), (VALUES (150000), (900000), (7)) v(n)").fetchall()
+    got = spark.createDataFrame(want, "a long, n long, p double").withColumn("got", numbers.percent(F.col("a"), F.col("n")))
+    assert got.filter("got <> p").count() == 0
+    assert got.filter("a = 44775 and n = 150000").first()["got"] == 29.9
+
+
 def test_season_edges(spark):
     d = datetime.datetime
     seasons = spark.createDataFrame([(0, "A", d(2020, 1, 1), d(2020, 2, 1)), (1, "B", d(2020, 3, 1), d(2020, 4, 1))], "ord int, season string, start_ts timestamp_ntz, end_ts timestamp_ntz")
