@@ -70,9 +70,9 @@ def deduplicated(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return first_per_key(df, key, [F.asc_nulls_last(c) for c in order])
 
 
-def merged_results(records: DataFrame, results: DataFrame, key: str, version: str, defaults: Mapping[str, Column]) -> DataFrame:
-    """records with the latest result of each key, or the defaults."""
-    latest = first_per_key(results, key, [F.desc(version)])
+def merged_results(records: DataFrame, results: DataFrame, key: str, version: str, defaults: Mapping[str, Column], ties: Sequence[Column] = ()) -> DataFrame:
+    """records with the latest result of each key, or the defaults; of several results of one version the first by ties."""
+    latest = first_per_key(results, key, [F.desc(version), *ties])
     return records.join(latest.select(key, *defaults), key, "left").withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 

@@ -759,8 +759,10 @@ def join_tags(spark, d):
 
 @query("SELECT o_orderkey, coalesce(tag, 'none') AS tag FROM orders LEFT JOIN (SELECT l_orderkey, l_shipmode AS tag FROM (SELECT l_orderkey, l_linestatus || l_returnflag AS l_shipmode, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS k FROM lineitem) WHERE k = 1) ON l_orderkey = o_orderkey")
 def merge_results(spark, d):
-    results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.concat("l_linestatus", "l_returnflag").alias("tag"))
-    return shape.merged_results(table(spark, d, "orders").select("o_orderkey"), results, "o_orderkey", "l_linenumber", {"tag": F.lit("none")}).select("o_orderkey", "tag")
+    """Lines of an order repeat numbers, which the SQL leaves open: the first by file and row counts, however the files are split."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.concat("l_linestatus", "l_returnflag").alias("tag"), *place)
+    return shape.merged_results(table(spark, d, "orders").select("o_orderkey"), results, "o_orderkey", "l_linenumber", {"tag": F.lit("none")}, [F.asc("file"), F.asc("row")]).select("o_orderkey", "tag")
 
 
 MAPPING = [(s, t, t.lower()) for s in ("negative", "positive") for t in ("STANDARD", "SMALL", "LARGE", "PROMO")]

@@ -40,6 +40,28 @@ def test_percents_of_a_half_go_up(spark):
     assert got.filter("a = 44775 and n = 150000").first()["got"] == 29.9
 
 
+def test_results_of_one_version_go_by_file_and_row(spark, tmp_path):
+    """merge_results: an order's highest line number may repeat, within a file and in several; Spark reads larger files first. Held to the SQL in one thread, which takes rows as they lie."""
+    import duckdb
+
+    from feedback_engine.plans import catalogue
+
+    rng = random.Random(4)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    orders = [(i,) for i in range(300)]
+    spark.createDataFrame(orders, "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    os.makedirs(f"{tmp_path}/lineitem.parquet")
+    for name, n in (("a", 200), ("b", 900), ("c", 500)):
+        rows = [(rng.randrange(290), rng.randrange(1, 4), rng.choice("OF"), rng.choice("ANR")) for _ in range(n)]
+        lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_linestatus string, l_returnflag string")
+        lines.toPandas().to_parquet(f"{tmp_path}/lineitem.parquet/part-{name}.parquet", row_group_size=100)
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(con.execute(catalogue.ORACLE_SQL["merge_results"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["merge_results"](spark, str(tmp_path)).collect())) == want
+
+
 def test_season_edges(spark):
     d = datetime.datetime
     seasons = spark.createDataFrame([(0, "A", d(2020, 1, 1), d(2020, 2, 1)), (1, "B", d(2020, 3, 1), d(2020, 4, 1))], "ord int, season string, start_ts timestamp_ntz, end_ts timestamp_ntz")
